@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, urls
+from . import lines, urls, vectors
 from .common import table
 
 #: Fixed values, as SQL: the ASCII white space, and host and path of a URL.
@@ -55,8 +55,47 @@ SELECT page_id, host, path, rule, CASE
 FROM fits
 """
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+#: Vectors that take part, as SQL.
+SQL_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+OP3_SQL = f"""
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {SQL_FINITE}),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+OP4_SQL = f"""
+WITH RECURSIVE unit AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE {SQL_FINITE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (
+    SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x)
+SELECT x AS vec_id, (SELECT count(*) FROM link WHERE link.x = reach.x) AS n_links, min(y) AS component_id, min(y) = x AS kept
+FROM reach GROUP BY x
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
 }
-SQL: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op5_url_filter": OP5_SQL}
+SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op3_exact_top_k": OP3_SQL,
+    "op4_embedding_near_dedup": OP4_SQL,
+    "op5_url_filter": OP5_SQL,
+}
