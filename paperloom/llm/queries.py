@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, urls, vectors
+from . import lines, packing, pieces, tokens, urls, vectors
 from .common import table
 
 #: Fixed values, as SQL: the ASCII white space, and host and path of a URL.
@@ -87,11 +87,32 @@ SELECT x AS vec_id, (SELECT count(*) FROM link WHERE link.x = reach.x) AS n_link
 FROM reach GROUP BY x
 """
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_offsets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.code_pieces(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op7_token_store": op7_token_store,
+    "op9_packing": op9_packing,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
