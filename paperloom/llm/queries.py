@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pieces, tokens, urls, vectors
+from . import lines, neardup, packing, pieces, tokens, urls, vectors
 from .common import table
 
 #: Fixed values, as SQL: the ASCII white space, and host and path of a URL.
@@ -97,6 +97,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_offsets(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=5)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
     "op7_token_store": op7_token_store,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }
