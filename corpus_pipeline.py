@@ -1,24 +1,59 @@
-"""Corpus pipeline: quality, language, line dedup, near-dedup, packing."""
+"""Corpus pipeline: quality classifier, language ID, line dedup, near-dedup, packing.
+
+Every stage takes and, but for the last, returns rows of the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import lines
+from paperloom.llm import language, lines, neardup, packing, quality
+from paperloom.llm.common import materialize, table
+from paperloom.llm.queries import vocabulary
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.classify(docs, table(spark, sf_dir, "labels")).where("keep").select(*DOCUMENT)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of no certain language go; ``lang`` becomes the identified one."""
+    return language.identify(docs, declared="lang", host="source").where("keep").withColumn("lang", F.col("language")).select(*DOCUMENT)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(docs).select(*DOCUMENT)
+    """Lines of many documents go, and documents of which nothing but white space is left."""
+    cut = lines.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that of the smallest id."""
+    kept = neardup.near_duplicates(docs, percent=80, words=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*DOCUMENT)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("packing", pack),
+]
+#: Tokenisation and trained models are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, neardup, packing, pieces, tokens, urls, vectors
+from . import language, lines, neardup, packing, pieces, quality, tokens, urls, vectors
 from .common import table
 
 #: Fixed values, as SQL: the ASCII white space, and host and path of a URL.
@@ -16,6 +16,11 @@ SQL_HOST = """translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)'
 SQL_PATH = """regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"""
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality", "text_quality", "meta_quality", "keep")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -87,6 +92,17 @@ SELECT x AS vec_id, (SELECT count(*) FROM link WHERE link.x = reach.x) AS n_link
 FROM reach GROUP BY x
 """
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), declared="lang", host="source")
+    return found.select("doc_id", F.col("lang").alias("declared"), "language", "language_probability", "text_language", "keep")
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = language.page_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = language.identify(pages, declared="declared", host="host", suffix="suffix")
+    return found.select("page_id", "declared", "suffix", "language", "language_probability", "text_language", "keep")
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -110,10 +126,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_language_id": op6_language_id,
+    "pages_language_id": pages_language_id,
     "op7_token_store": op7_token_store,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_packing": op9_packing,

@@ -7,7 +7,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir
 
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 #: The characters whose class is the same for every Unicode version, and the
 #: pre-tokenisation of byte-level BPE over them.
@@ -26,7 +26,10 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 PLAIN = re.compile(rf"[\t-\r -~{LETTERS}]*")
 WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTERS}0-9]+|\s+(?!\S)|\s+")
 
-Encoder = Callable[[str], bytes]
+#: Byte-level BPE writes a byte as a character: printable ones of Latin-1 as themselves, the
+#: others as the characters from 256 on, in order.
+SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
 class ByteBpe(dict):
@@ -45,6 +48,7 @@ class ByteBpe(dict):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         split = str(self.library.pre_tokenizer)
+        self.merge = self.library.model.tokenize
         self.by_word = self.library.normalizer is None and "ByteLevel(add_prefix_space=False" in split and "use_regex=True" in split
 
     def whole(self, text: str) -> bytes:
@@ -53,7 +57,7 @@ class ByteBpe(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = self.whole(word)
+        ids = self[word] = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(BYTES))]).tobytes()
         return ids
 
     def __call__(self, text: str) -> bytes:
@@ -133,7 +137,7 @@ class EliasFano:
 
 # ----------------------------------------------------------------------------- token store
 
-STORE = "shard int, part int, n_docs long, n_ids long, doc_ids binary, boundaries binary, ids binary"
+STORE = "shard int, part int, n_docs long, n_ids long, width int, doc_ids binary, boundaries binary, ids binary"
 
 
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text", shards: int | None = None, segment_ids: int = 1 << 20) -> None:
@@ -142,9 +146,9 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     The rows are dealt to shards by ranges of ``id`` and sorted there, so that texts move
     once and ids never.  A shard is a run of segments of about ``segment_ids`` ids each (one
     long document may exceed that), so a task holds one segment at a time.  A segment is
-    one row of the store: its concatenated ids as little-endian unsigned 32-bit integers,
-    the document boundaries in Elias-Fano form, whose select gives the offset of any
-    document in near-minimal space, and the document ids.  Spark's committer writes the
+    one row of the store: its concatenated ids as little-endian unsigned integers of
+    ``width`` bytes (2 where they fit, else 4), the document boundaries in Elias-Fano form,
+    whose select gives the offset of any document in near-minimal space, and the document ids.  Spark's committer writes the
     files, so a lost executor leaves no half-written segment.
 
     Each document's ids end with ``end_id``.  Null texts are empty.  Null ids come first;
@@ -176,8 +180,10 @@ def _segment(shard: int, part: int, doc_ids: list, ids: list[bytes]) -> pa.Recor
     bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
     nulls = sum(x is None for x in doc_ids)  # they come first
     head = np.array([nulls, *[x or 0 for x in doc_ids]], dtype="<i8").tobytes()
-    row = {"shard": shard, "part": part, "n_docs": len(ids), "n_ids": int(bounds[-1]), "doc_ids": head, "boundaries": elias_fano(bounds), "ids": b"".join(ids)}
-    kinds = {"shard": pa.int32(), "part": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64()}
+    flat = np.frombuffer(b"".join(ids), "<u4")
+    width = 2 if flat.max() < 1 << 16 else 4
+    row = {"shard": shard, "part": part, "n_docs": len(ids), "n_ids": int(bounds[-1]), "width": width, "doc_ids": head, "boundaries": elias_fano(bounds), "ids": flat.astype(f"<u{width}").tobytes()}
+    kinds = {"shard": pa.int32(), "part": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64(), "width": pa.int32()}
     return pa.record_batch({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
 
 
@@ -185,15 +191,16 @@ def read_token_store(store: DataFrame) -> DataFrame:
     """Documents of a store: ``doc_id, start, n_tokens, ids_crc32``, in as many tasks as files.
 
     ``start`` counts the ids of all documents before it: totals by shard, then by segment,
-    then the boundary that select returns.  Only the counts of segments are summed over.
+    then the boundary that select returns.  Only the counts of segments are summed over; they
+    are written first, so that Catalyst broadcasts them if small and the ids stay in place.
     """
     counts = store.select("shard", "part", "n_ids")
     by_shard = counts.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.withColumn("within", within).join(by_shard.withColumn("before", before), "shard").select("shard", "part", (F.col("before") + F.col("within")).alias("base"))
-    segments = store.select("shard", "part", "doc_ids", "boundaries", "ids")
-    read = segments.join(bases, ["shard", "part"]).select("base", "doc_ids", "boundaries", "ids")
+    segments = store.select("shard", "part", "width", "doc_ids", "boundaries", "ids")
+    read = segments.join(materialize(bases, "segment-bases"), ["shard", "part"]).select("base", "width", "doc_ids", "boundaries", "ids")
     return read.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -203,7 +210,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head = np.frombuffer(row["doc_ids"], "<i8")
             nulls, doc_ids = int(head[0]), head[1:]
             bounds = EliasFano(row["boundaries"]).run(0, len(doc_ids) + 1)
-            ids = memoryview(row["ids"])
+            ids = memoryview(np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes())
             crc = [zlib.crc32(ids[4 * i : 4 * j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.record_batch({
                 "doc_id": pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nulls), "start": row["base"] + bounds[:-1],
