@@ -1 +1,6 @@
+"""Queries over the driver's tables, one or more for each operator of the inventory."""
 
+from . import filters
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "filters"]
