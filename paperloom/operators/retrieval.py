@@ -24,8 +24,9 @@ def term_coverage(words: DataFrame, id: str, array: str, terms: list[str]) -> Da
 
 
 def cosine(a: Column, b: Column) -> Column:
+    """Null if either is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, tie: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for each operator of the inventory."""
 
-from . import dashboard, filters, matching, values
+from . import dashboard, filters, matching, text, values
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dashboard", "filters", "matching", "values"]
+__all__ = ["QUERIES", "SQL", "dashboard", "filters", "matching", "text", "values"]
