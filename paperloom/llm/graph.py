@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,24 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.select("node", "component")
 
 
+def spanning_links(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
+    """At most a link a row and a column that connect what the matrix of links connects.
+
+    Rows and columns pass the smallest node that they have seen to each other until nothing
+    changes; the same node may stand for a row and a column.
+    """
+    top = np.iinfo(np.int64).max
+    to_row, to_col = rows.astype(np.int64), cols.astype(np.int64)
+    while True:
+        new_row = np.minimum(to_row, np.where(hit, to_col[None, :], top).min(axis=1, initial=top))
+        new_col = np.minimum(to_col, np.where(hit, new_row[:, None], top).min(axis=0, initial=top))
+        if (new_row == to_row).all() and (new_col == to_col).all():
+            break
+        to_row, to_col = new_row, new_col
+    pairs = [*zip(rows.tolist(), to_row.tolist(), strict=True), *zip(cols.tolist(), to_col.tolist(), strict=True)]
+    return [(min(x, y), max(x, y)) for x, y in dict.fromkeys(pairs) if x != y]
+
+
 def _follow(df: DataFrame, column: str, star: DataFrame) -> DataFrame:
     to = star.select(F.col("u").alias("__from"), F.col("p").alias("__to"))
     return df.join(to, F.col(column) == F.col("__from"), "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")

@@ -12,17 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialize
-from .graph import components
+from .graph import components, spanning_links
 
 #: Trees of the forest, hashes of each sorted order, and the shared prefix that makes a region.
 TREES, DEPTH, LEAST = 16, 8, 4
 #: Neighbours on each side that are candidates; regions no larger are covered by them.
 NEAR = 3
-#: Signatures that agree in a smaller share are no candidates inside a region: six standard
-#: deviations, at a similarity of 0.85, under it.
-SIGMAS = 6.0
-#: Rows of a region compared at a time.
-CHUNK = 1024
+#: Sets of a region compared at a time, and columns of their incidence matrix held at a time.
+CHUNK, COLUMNS = 1024, 2048
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -90,11 +87,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id: str
     confirmation, which leaves little of a large group.
 
     Then regions wider than the neighbours' reach are made whole: where one still holds
-    several components, all its pairs of different components are compared, however many,
-    in chunks: first by whole signatures, then on full sets.  So every pair that shares a
+    several components, all its sets are compared, however many, in chunks, inside tasks
+    that return no pairs but a spanning forest of the links.  So every pair that shares a
     prefix of ``LEAST`` values in some order is linked or refused by its full sets, or
-    already connected, or apart in whole signatures by more than ``SIGMAS`` deviations.
-    A pair at 85 % shares no such prefix with a chance of 7 in a million.
+    already connected.  A pair at 85 % shares no such prefix with a chance of 7 in a million.
 
     Null ids and texts without words link with nothing; rows of one id are one document.
     Returns a row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``;
@@ -112,9 +108,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id: str
     open_pairs = _across(pairs.where("NOT first").select("a", "b"), group)
     links = links.unionByName(confirm(open_pairs))
     group = materialize(components(links, "a", "b"), "components")
-    wide = _wide_regions(forest, classes, group, percent, chunk)
+    wide = _wide_regions(forest, rows, group, percent, words, chunk)
     if not wide.isEmpty():
-        links = links.unionByName(confirm(wide))
+        links = links.unionByName(wide)
         group = materialize(components(links, "a", "b"), "components")
 
     of_class = classes.join(group, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c"))
@@ -205,14 +201,19 @@ class _Confirm:
         pairs = materialize(pairs.select("a", "b"), "open-pairs")
         if pairs.isEmpty():
             return pairs
-        wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted")
-        asked = self.rows.join(wanted, F.col("id") == F.col("w"), "left_semi")
-        sets = materialize(asked.mapInArrow(lambda it: _sets(it, words), "id long, shingles binary"), "shingle-sets")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
+        sets = _sets_of(self.rows, wanted, words)
         left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(y)) for x, y in (("ia", "sa"), ("ib", "sb")))
         both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "sa", "sb")
         return materialize(both.mapInArrow(lambda it: _linked(it, percent), "a long, b long").distinct(), "near-links")
 
 
+def _sets_of(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``id, shingles`` of the wanted ids; each text is shingled once."""
+    asked = rows.join(materialize(wanted, "wanted"), F.col("id") == F.col("w"), "left_semi")
+    return materialize(asked.mapInArrow(lambda it: _sets(it, words), "id long, shingles binary"), "shingle-sets")
+
+
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.record_batch({"id": batch["id"], "shingles": pa.array([shingle_set(t, words).tobytes() for t in batch["text"].to_pylist()], pa.binary())})
@@ -235,39 +236,52 @@ def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _wide_regions(forest: DataFrame, classes: DataFrame, group: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Candidate pairs of different components in regions that neighbours do not cover."""
+def _wide_regions(forest: DataFrame, rows: DataFrame, group: DataFrame, percent: int, words: int, chunk: int) -> DataFrame:
+    """Links between different components in regions that neighbours do not cover.
+
+    Sets meet inside a task, a chunk with another of the region, and only a spanning forest
+    of the links found there leaves it.
+    """
     members = forest.where("b IS NULL").groupBy("tree", "prefix", "a").agg(F.max("edge").alias("edge")).join(group, F.col("a") == F.col("node"), "left")
     members = materialize(members.select("tree", "prefix", "edge", F.col("a").alias("rep"), F.coalesce("component", "a").alias("c")), "regions")
     region = members.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.max("edge").alias("at_edge"), F.min("c").alias("low"), F.max("c").alias("high"))
     region = materialize(region.where(F.expr(f"low <> high AND (size > {NEAR + 1} OR at_edge)")).select("tree", "prefix", F.ceil(F.col("size") / chunk).alias("chunks")), "wide-regions")
     place = F.pmod(F.xxhash64("rep"), "chunks")
-    inside = members.join(region, ["tree", "prefix"]).select("tree", "prefix", "rep", "c", "chunks", place.alias("own"))
-    signed = inside.join(classes.select(F.col("rep").alias("r"), "n", "sig"), F.col("rep") == F.col("r"))
-    dealt = signed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cells = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "n", "sig")
-    found = cells.groupBy("tree", "prefix", "i", "j").applyInPandas(lambda pdf: _compare_signatures(pdf, percent), "a long, b long")
-    return materialize(found.distinct(), "wide-candidates")
-
-
-def _compare_signatures(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    sides = [pdf[pdf["own"] == i], pdf[pdf["own"] == j]]
-    sign = [np.frombuffer(b"".join(x["sig"]), ">u4").reshape(len(x), -1).astype(np.uint32) for x in sides]
-    rep, c, n = ([x[k].to_numpy() for x in sides] for k in ("rep", "c", "n"))
-    values, p = TREES * DEPTH, percent / 100
-    least = p - SIGMAS * (p * (1 - p) / values) ** 0.5
-    found = []
-    step = max(1, (1 << 22) // max(1, len(sign[1]) * 8))
-    for at in range(0, len(sign[0]), step):
-        part = slice(at, at + step)
-        agree = np.zeros((len(rep[0][part]), len(rep[1])), dtype=np.int32)
-        for k in range(values):
-            agree += sign[0][part, k, None] == sign[1][None, :, k]
-        small, large = np.minimum(n[0][part, None], n[1][None]), np.maximum(n[0][part, None], n[1][None])
-        hit = (agree >= least * values) & (c[0][part, None] != c[1][None]) & (100 * small >= percent * large)
-        r, s = np.nonzero(hit)
-        x, y = rep[0][part][r], rep[1][s]
-        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-    both = np.concatenate(found) if found else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame(np.unique(both, axis=0), columns=["a", "b"])
+    inside = materialize(members.join(region, ["tree", "prefix"]).select("tree", "prefix", "rep", "c", "chunks", place.alias("own")), "wide-members")
+    if inside.isEmpty():
+        return inside.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    sets = _sets_of(rows, inside.select(F.col("rep").alias("w")).distinct(), words)
+    held = inside.join(sets, F.col("rep") == F.col("id")).drop("id")
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cells = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "shingles")
+    found = cells.groupBy("tree", "prefix", "i", "j").applyInPandas(lambda pdf: _compare_sets(pdf, percent), "a long, b long")
+    return materialize(found.distinct(), "wide-links")
+
+
+def _compare_sets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Exact similarities of all sets of one chunk with those of another, as a product of incidence matrices."""
+    i, j = pdf["own"].min(), pdf["own"].max()
+    sides = [pdf[pdf["own"] == x] for x in ([i] if i == j else [i, j])]
+    sets = [[np.frombuffer(v, np.uint64) for v in x["shingles"]] for x in sides]
+    sizes = [np.array([len(v) for v in x], dtype=np.int64) for x in sets]
+    _, where, counts = np.unique(np.concatenate([v for x in sets for v in x]), return_inverse=True, return_counts=True)
+    column = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[where]  # a shingle of one set is in no intersection
+    parts, at = [], 0
+    for size in sizes:
+        end = at + int(size.sum())
+        parts.append((np.repeat(np.arange(len(size)), size), column[at:end]))
+        at = end
+    common = np.zeros((len(sizes[0]), len(sizes[-1])), dtype=np.float32)
+    width = int(column.max()) + 1
+    for start in range(0, width, COLUMNS):
+        blocks = []
+        for (row, col), size in zip(parts, sizes, strict=True):
+            inside = (col >= start) & (col < start + COLUMNS)
+            block = np.zeros((len(size), min(COLUMNS, width - start)), dtype=np.float32)
+            block[row[inside], col[inside] - start] = 1
+            blocks.append(block)
+        common += blocks[0] @ blocks[-1].T
+    whole = common.astype(np.int64)
+    rep, c = ([x[k].to_numpy() for x in sides] for k in ("rep", "c"))
+    hit = (whole > 0) & (100 * whole >= percent * (sizes[0][:, None] + sizes[-1][None] - whole)) & (c[0][:, None] != c[-1][None])
+    return pd.DataFrame(spanning_links(hit, rep[0], rep[-1]), columns=["a", "b"])

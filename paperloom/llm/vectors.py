@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, with_columns
-from .graph import components
+from .graph import components, spanning_links
 
 #: Cells of a score matrix held at a time, and cells of the histograms of a query block.
 CELLS = 1 << 20
@@ -358,16 +358,8 @@ def _join_intervals(pdf: pd.DataFrame, threshold: float, epsilon: float, leaf: i
         if not own:
             links[-1][k:m] += a["n"][i:j] @ hit
         rows, cols = a["rep"][i:j], b["rep"][k:m]
-        # Smallest class reached inside the block, row by column, until nothing changes.
-        to_row, to_col, top = rows.copy(), cols.copy(), np.iinfo(np.int64).max
-        while True:
-            new_row = np.minimum(to_row, np.where(hit, to_col[None, :], top).min(axis=1))
-            new_col = np.minimum(to_col, np.where(hit, new_row[:, None], top).min(axis=0))
-            if (new_row == to_row).all() and (new_col == to_col).all():
-                break
-            to_row, to_col = new_row, new_col
-        for x, y in [*zip(rows.tolist(), to_row.tolist(), strict=True), *zip(cols.tolist(), to_col.tolist(), strict=True)]:
-            if x != y and (p := root(x)) != (q := root(y)):
+        for x, y in spanning_links(hit, rows, cols):
+            if (p := root(x)) != (q := root(y)):
                 label[max(p, q)] = min(p, q)
     out = {}
     for x, n in zip(sides, links, strict=True):
