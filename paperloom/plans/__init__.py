@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one or more for each operator of the inventory."""
 
-from . import dashboard, extraction, filters, matching, text, values
+from . import dashboard, extraction, filters, matching, text, values, work
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dashboard", "extraction", "filters", "matching", "text", "values"]
+__all__ = ["QUERIES", "SQL", "dashboard", "extraction", "filters", "matching", "text", "values", "work"]

@@ -11,7 +11,7 @@ from .registry import query
 
 @query("c13_field_confidence", """
     SELECT event_id, (CASE event_id % 4 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN least(1.0::DOUBLE, value / 100) WHEN 2 THEN 0.1 ELSE 0 END) * (CASE event_id % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.6 ELSE 0 END) * (0.5::DOUBLE + 0.5::DOUBLE * least(100, value) / 100)
-        * (CASE WHEN event_id % 5 = 0 THEN 0.8::DOUBLE ELSE 1 END) * (CASE WHEN event_id % 7 = 0 THEN 0.6::DOUBLE ELSE 1 END) * (CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.9 END) > 0.30004 AS sure FROM events""")
+        * (CASE WHEN event_id % 5 = 0 THEN 0.8::DOUBLE ELSE 1 END) * (CASE WHEN event_id % 7 = 0 THEN 0.6::DOUBLE ELSE 1 END) * (CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.9 END) > 0.30005 AS sure FROM events""")
 def _(t):
     e, v = F.col("event_id"), F.col("value")
     evidence = F.when(e % 4 == 0, "VERIFIED").when(e % 4 == 1, "FUZZY").when(e % 4 == 2, "UNSUPPORTED").otherwise("NOT_FOUND")
