@@ -21,7 +21,7 @@ def field_confidence(evidence: Column, score: Column, normal: Column, ocr: Colum
     factors = [
         F.when(evidence.isin("VERIFIED", "HUMAN"), 1.0).when(evidence == "FUZZY", F.least(one, F.greatest(F.lit(0.0), score / 100))).when(evidence == "UNSUPPORTED", 0.1).otherwise(0.0),
         F.when(normal == "OK", 1.0).when(normal == "UNCERTAIN", 0.6).otherwise(0.0),
-        F.coalesce(0.5 + 0.5 * F.least(F.lit(100.0), F.greatest(F.lit(0.0), ocr)) / 100, one),
+        F.when(ocr.isNotNull(), 0.5 + 0.5 * F.least(F.lit(100.0), F.greatest(F.lit(0.0), ocr)) / 100).otherwise(one),  # least and greatest pass over nulls
         F.coalesce(anchor, one),
         F.when(conflicts > 0, 0.8).otherwise(1.0),
         F.when(F.coalesce(page_ok, F.lit(True)), 1.0).otherwise(0.95),

@@ -132,3 +132,13 @@ def gates(metrics: DataFrame, bounds: DataFrame) -> DataFrame:
     joined = bounds.join(metrics, "metric", "left")
     ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.col("minimum").isNull() | (F.col("value") >= F.col("minimum"))) & (F.col("maximum").isNull() | (F.col("value") <= F.col("maximum")))
     return joined.withColumn("passed", ok)
+
+
+def metric_at(report: Column, path: str) -> Column:
+    """``struct(value, problem)`` of a number at a path of a JSON report: null values are missing, other kinds and NaN no numbers."""
+    node = F.try_variant_get(F.try_parse_json(report), path, "variant")
+    kind = F.schema_of_variant(node)
+    value = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(F.try_parse_json(report), path, "double"))
+    value = F.when(~F.isnan(value), value)
+    problem = F.when(kind.isNull() | (kind == "VOID"), "missing").when(value.isNull(), "not a number")
+    return F.struct(value.alias("value"), problem.alias("problem"))
