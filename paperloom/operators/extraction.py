@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import name_score, organization
+from ..functions.values import collapse
 from .retrieval import trigrams
 
 # ----------------------------------------------------------------------------- confidence
@@ -182,3 +183,40 @@ def stitch_tables(tables: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "header").orderBy("page")
     fresh = F.coalesce((F.col("page") != F.lag("page").over(order) + 1).cast("int"), F.lit(1))
     return tables.withColumn("fresh", fresh).withColumn("table", F.sum("fresh").over(order)).drop("fresh")
+
+
+def header_offset(first: Column, second: Column, agreement: float = 0.75) -> Column:
+    """How many leading cells the second header lacks if it goes on with the first one's table, else null.
+
+    Most labels agree; a first label of at most one character may be lost, as a garbled "#"
+    is read into the next column.  Null or empty headers go on with nothing.
+    """
+    a, b = (F.transform(x, lambda c: F.lower(collapse(c))) for x in (first, second))
+
+    def agrees(x: Column) -> Column:
+        same = F.size(F.filter(F.zip_with(x, b, lambda p, q: p.eqNullSafe(q)), lambda t: t))
+        return (F.size(b) > 0) & (F.size(x) == F.size(b)) & (same >= agreement * F.size(b))
+
+    short = F.coalesce(F.length(F.get(a, F.lit(0))), F.lit(0)) <= 1
+    return F.when(agrees(a), 0).when(short & agrees(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0)))), 1)
+
+
+def column_bounds(header: Column, words: Column) -> Column:
+    """Where to part each two adjacent columns: few words cut, then far to the right.
+
+    ``header`` are the header cells from left to right and ``words`` the words below, both
+    arrays of ``struct(x0, x1)``.  Candidates lie between two header cells: the middle of
+    their gap, just before the right one, and the middles between neighbouring edges of words.
+    """
+
+    def bound(left: Column, right: Column) -> Column:
+        near = F.filter(words, lambda w: (w["x1"] > left["x0"]) & (w["x0"] < right["x1"]))
+        edges = F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda w: F.array(w["x0"], w["x1"])))))
+        gaps = F.greatest(F.size(edges) - 1, F.lit(0))
+        middles = F.zip_with(F.slice(edges, 1, gaps), F.slice(edges, 2, gaps), lambda p, q: (p + q) / 2)
+        places = F.concat(F.array((left["x1"] + right["x0"]) / 2, right["x0"] - 0.01), F.filter(middles, lambda m: (m >= left["x1"]) & (m < right["x0"])))
+        cuts = lambda x: F.size(F.filter(near, lambda w: (w["x0"] < x) & (w["x1"] > x)))
+        return -F.array_min(F.transform(places, lambda x: F.struct(cuts(x).alias("cuts"), (-x).alias("at"))))["at"]
+
+    pairs = F.greatest(F.size(header) - 1, F.lit(0))
+    return F.zip_with(F.slice(header, 1, pairs), F.slice(header, 2, pairs), bound)

@@ -259,3 +259,18 @@ def _(t):
     for copy in ("a", "b"):
         files.write_report(counts, f"{folder}/{copy}")
     return files.import_reports(t.spark, f"{folder}/*").select("suite", "metric", "value")
+
+
+@query("g08_header_agreement", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS lost FROM nation")
+def _(t):
+    words = lambda *x: F.array(*map(F.lit, x))
+    n = F.col("n_nationkey")
+    second = F.when(n % 3 == 0, words("#", "Item  no", "QTY", "Pr1ce")).when(n % 3 == 1, words("Item No", "Qty", "Price")).otherwise(words("Qty", "Price"))
+    return t.nation.select("n_nationkey", extraction.header_offset(words("#", "Item No", "Qty", "Price"), second).alias("lost"))
+
+
+@query("g06_column_bounds", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [49.99] ELSE [35.0] END AS bounds FROM nation")
+def _(t):
+    boxes = lambda *x: F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1")) for a, b in x])
+    words = F.when(F.col("n_nationkey") % 2 == 0, boxes((0, 18), (50, 66))).otherwise(boxes((0, 18), (40, 66)))
+    return t.nation.select("n_nationkey", extraction.column_bounds(boxes((0, 20), (50, 70)), words).alias("bounds"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import fields, metrics, text
+from paperloom.operators import extraction, fields, metrics, text
 from paperloom.plans.fields import HEADERS, LABELS
 
 LINES = "doc_id long, line int, text string"
@@ -65,3 +65,14 @@ def test_headings():
     assert text.heading("12) Term") == ("12", "Term")
     assert text.heading("4. the buyer pays") is None
     assert text.heading("4. Where the buyer is late,") is None
+
+
+def test_header_offset_and_bounds(spark):
+    rows = [(["#", "Item", "Qty", "Price"], ["Item", "Qty", "Price"], 1), (["Item", "Qty"], ["Item", "Qty"], 0), (["Nr", "Item"], ["Item"], None), ([], [], None), (None, ["a"], None), (["a", "b"], ["c", "b"], None), (["#"], [], None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "nr int, a array<string>, b array<string>, wanted int")
+    found = df.select("nr", "wanted", extraction.header_offset(F.col("a"), F.col("b")).alias("found")).collect()
+    assert [r.nr for r in found if r.found != r.wanted] == []
+    box = "array<struct<x0: double, x1: double>>"
+    df = spark.createDataFrame([([(0.0, 10.0), (20.0, 30.0), (50.0, 60.0)], [(0.0, 12.0), (16.0, 44.0)]), ([(0.0, 1.0)], []), ([], None)], f"h {box}, w {box}")
+    # Between the first two headers the gap of the words; before the third, free from 44 on.
+    assert [r[0] for r in df.select(extraction.column_bounds(F.col("h"), F.coalesce("w", F.array().cast(box)))).collect()] == [[15.0, 49.99], [], []]
