@@ -49,17 +49,18 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     })
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, languages: list[str] | None = None, least_share: float = 0.001, keep_above: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, languages: list[str] | None = None, keep_above: float = 0.5) -> DataFrame:
     """Names the language of every row from four kinds of evidence, fused by Bayes' rule.
 
-    The languages are ``languages``, or those that at least ``least_share`` of all rows
-    declare.  The text model counts byte triples by declared language over all rows: tasks
+    The languages are ``languages``, or all that any row declares, however few do; the text
+    model of a rare one is smoothed towards equal chances.  The model counts byte triples by
+    declared language over all rows: tasks
     sum their own, and one sum a language and bucket follows.  With it each row's text has a
     likelihood of every language, tempered as triples overlap.  Grouped aggregation of the
     likeliest languages gives a prior for each host, smoothed by its domain's, which is
     smoothed by the corpus' (a row's own count is taken out again, so that it does not confirm
     itself).  The posterior is likelihood x declared x suffix x host prior; evidence that is
-    null or names no known language is neutral.
+    null, blank or names no known language is neutral.
 
     Host priors are joined by host: Catalyst broadcasts them if small, AQE splits hot hosts
     otherwise.  Returns the columns of ``docs``, then ``language, language_probability,
@@ -70,18 +71,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     """
     null = F.lit(None).cast("string")
     of = lambda c: F.col(f"`{c}`").cast("string") if c else null
-    base = with_columns(docs, {"__text": of(text), "__declared": F.lower(of(declared)), "__host": F.lower(of(host)), "__suffix": F.lower(of(suffix))})
+    base = with_columns(docs, {"__text": of(text), "__declared": F.nullif(F.trim(F.lower(of(declared))), F.lit("")), "__host": F.lower(of(host)), "__suffix": F.lower(of(suffix))})
     if languages is None:
-        counts = base.where("__declared IS NOT NULL").groupBy("__declared").agg(F.count("*").alias("n"))
-        total = counts.agg(F.sum("n").alias("total"))
-        often = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= least_share * F.col("total"))  # the total is one row
-        languages = sorted(r[0] for r in often.select("__declared").collect())  # 1 / least_share of them at most
+        languages = sorted(r[0] for r in base.where("__declared IS NOT NULL").select("__declared").distinct().collect())  # a language a row
     size = len(languages)
     names = F.array(*map(F.lit, languages)).cast("array<string>")
     sums = base.where(F.col("__declared").isin(languages)).select("__text", "__declared").mapInArrow(_counted, "lang string, bucket int, n long")
-    table = np.full((max(1, size), TRIPLES), 0.0)
+    table, at = np.full((max(1, size), TRIPLES), 0.0), {lang: i for i, lang in enumerate(languages)}
     for r in sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():  # languages x buckets at most
-        table[languages.index(r.lang), r.bucket] = r.n
+        table[at[r.lang], r.bucket] = r.n
     smooth = table + 0.5
     logs = docs.sparkSession.sparkContext.broadcast(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
 
@@ -135,7 +133,7 @@ def _loglik(text: str | None, logs: np.ndarray, size: int) -> np.ndarray:
     t = triples(text)
     if not len(t) or not size:
         return np.zeros(size)
-    return logs[:, t].mean(axis=1) * min(len(t), EFFECTIVE)
+    return logs @ (np.bincount(t, minlength=TRIPLES) * (min(len(t), EFFECTIVE) / len(t)))
 
 
 def _has_letters(text: str | None) -> bool:
@@ -171,16 +169,30 @@ def _vote_rows(counts: dict) -> pa.RecordBatch:
 
 
 def _priors(votes: DataFrame, size: int) -> DataFrame:
-    """``prior_host, prior, weight``: smoothed shares of the languages, and the count behind them."""
+    """``prior_host, prior, weight``: smoothed shares of the languages, and the count behind them.
+
+    Counts are lists of the languages that occur, so the plan does not grow with ``size``.
+    """
     domain = F.regexp_extract(F.coalesce("host", F.lit("")), r"([^.]+\.[^.]+)$|(.*)$", 0)
-    spread = lambda: [F.sum(F.when(F.col("best") == i, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i in range(size)]
-    hosts = votes.groupBy("host", domain.alias("domain")).agg(F.sum("n").alias("n"), *spread())
-    domains = votes.groupBy(domain.alias("of_domain")).agg(F.sum("n").alias("m"), *[x.alias(f"d{i}") for i, x in enumerate(spread())])
-    corpus = votes.agg(F.sum("n").alias("all"), *[x.alias(f"c{i}") for i, x in enumerate(spread())])  # one row
-    joined = hosts.join(domains, F.col("domain") == F.col("of_domain")).crossJoin(F.broadcast(corpus))
-    prior = []
-    for i in range(size):
-        top = (F.col(f"c{i}") + 1.0) / (F.col("all") + size)
-        middle = (F.col(f"d{i}") + DOMAIN_SMOOTHING * top) / (F.col("m") + DOMAIN_SMOOTHING)
-        prior.append((F.col(f"n{i}") + HOST_SMOOTHING * middle) / (F.col("n") + HOST_SMOOTHING))
-    return joined.select(F.col("host").alias("prior_host"), F.array(*prior).cast("array<double>").alias("prior"), (F.col("n") + HOST_SMOOTHING).alias("weight"))
+    hosts = votes.groupBy("host", domain.alias("domain")).agg(F.collect_list("best").alias("best"), F.collect_list("n").alias("n"))
+    shares = votes.groupBy(domain.alias("of_domain"), "best").agg(F.sum("n").alias("n"))
+    domains = shares.groupBy("of_domain").agg(F.collect_list("best").alias("domain_best"), F.collect_list("n").alias("domain_n"))
+    corpus = np.zeros(size)
+    for r in votes.groupBy("best").agg(F.sum("n").alias("n")).collect():  # a language a row
+        corpus[r.best] = r.n
+    top = (corpus + 1.0) / (corpus.sum() + size)
+    joined = hosts.join(domains, F.col("domain") == F.col("of_domain")).select("host", "best", "n", "domain_best", "domain_n")
+    return joined.mapInArrow(lambda it: _smoothed(it, top), "prior_host string, prior array<double>, weight double")
+
+
+def _smoothed(batches: Iterator[pa.RecordBatch], top: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, weights = [], []
+        for best, n, domain_best, domain_n in zip(*(batch[c].to_pylist() for c in ("best", "n", "domain_best", "domain_n")), strict=True):
+            prior = DOMAIN_SMOOTHING * top
+            prior[domain_best] += domain_n
+            prior *= HOST_SMOOTHING / (sum(domain_n) + DOMAIN_SMOOTHING)
+            prior[best] += n
+            weights.append(sum(n) + HOST_SMOOTHING)
+            rows.append(prior / weights[-1])
+        yield pa.record_batch({"prior_host": batch["host"], "prior": pa.array(rows, pa.list_(pa.float64())), "weight": pa.array(weights, pa.float64())})

@@ -60,6 +60,15 @@ def test_language_edges(spark):
     assert {r.language for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
 
 
+def test_rare_languages_are_candidates(spark):
+    rare = ["minä juon kahvia ja syön pullaa kotona", "hän lukee kirjaa ja kuuntelee musiikkia illalla", "tämä talo on vanha mutta hyvin kaunis"]
+    rows = [(i, f"the cat and the dog number {i} are in the garden", "en") for i in range(2000)] + [(i, f"der hund und die katze {i} sind nicht im garten", "de") for i in range(2000, 4000)]
+    rows += [(4000 + i, t, "fi") for i, t in enumerate(rare)] + [(4003, "minä luen kirjaa kotona illalla", None), (4004, "the cat and the dog are in the garden", " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("source", F.concat(F.lit("host"), F.col("doc_id") % 7))
+    out = language.identify(docs).where("doc_id >= 4000 OR language NOT IN ('en', 'de') OR NOT keep").orderBy("doc_id").collect()
+    assert [(r.doc_id, r.language, r.keep) for r in out] == [(4000, "fi", True), (4001, "fi", True), (4002, "fi", True), (4003, "fi", True), (4004, "en", True)]
+
+
 def test_pipeline(spark, folder):
     docs, sizes = spark.read.parquet(f"{folder}/documents.parquet"), []
     for name, stage in corpus_pipeline.STAGES[:-1]:
