@@ -37,8 +37,8 @@ class ByteBpe(dict):
 
     Merges never cross the words of the pre-tokenisation, so a text's ids are those of its
     words, and a worker asks the library once for each distinct word.  Texts with
-    characters outside ``PLAIN`` go to the library whole.  The strings of special tokens in
-    a text are ordinary text.
+    characters outside ``PLAIN``, and those that hold the string of an added token, which the
+    library finds before it splits words, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,10 +46,11 @@ class ByteBpe(dict):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         split = str(self.library.pre_tokenizer)
         self.merge = self.library.model.tokenize
         self.by_word = self.library.normalizer is None and "ByteLevel(add_prefix_space=False" in split and "use_regex=True" in split
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
+        self.holds_added = re.compile("|".join(added)).search if added else lambda text: None
 
     def whole(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -61,7 +62,7 @@ class ByteBpe(dict):
         return ids
 
     def __call__(self, text: str) -> bytes:
-        if self.by_word and PLAIN.fullmatch(text):
+        if self.by_word and PLAIN.fullmatch(text) and not self.holds_added(text):
             return b"".join(map(self.__getitem__, WORDS.findall(text)))
         return self.whole(text)
 

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from paperloom.llm import packing, pieces, tokens
 
@@ -25,6 +26,12 @@ def test_words_are_encoded_as_whole_texts(text):
     assert encoder(text) == encoder.whole(text)
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext| >", "日本 <|endoftext|>", *filter(None, ODD)])
+def test_ids_are_those_of_the_untouched_library(text):
+    wanted = Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+    assert array("I", tokens.encoder(BPE)(text)).tolist() == wanted
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 5000), max_size=700))
 def test_elias_fano_round_trip(gaps):
