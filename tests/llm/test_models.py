@@ -37,6 +37,17 @@ def test_quality_edges(spark):
     assert quality.classify(docs, spark.createDataFrame([(2, 1), (2, None), (None, 0)], labels.schema)).count() == 5
 
 
+def test_co_training_uses_the_whole_pool_and_rare_classes(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 300 = 7, repeat('$$ 77 ', 20 + id % 40), concat_ws(' ', 'plain words of a fine text', id, 'and', id * 7919 % 1000, 'more of them')) AS text", "'en' AS lang", "'s' AS source")
+    labels = docs.where("doc_id < 1500").selectExpr("doc_id", "IF(doc_id % 300 = 7, 0, 1) AS quality")
+    model = quality.train(docs, labels, most=64)
+    assert model is not None and sum(max(r) for r in model.rounds) > 500
+    out = quality.classify(docs, labels, most=64).where("doc_id >= 1500").toPandas()
+    assert (out.keep == (out.doc_id % 300 != 7)).all()
+    table = spark.range(0, 300, 1, 9).select(F.lit(np.ones(quality.TEXT + quality.META, np.float32).tobytes()).alias("features"))
+    assert [quality._over(table, fan)(lambda x: np.array([len(x[0]), x[1].sum()])).tolist() for fan in (None, 2)] == [[300, 300 * quality.META]] * 2
+
+
 def test_language_of_documents(spark):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").withColumnRenamed("lang", "truth")
     wrong = F.when(F.col("doc_id") % 10 == 0, "en").when(F.col("doc_id") % 10 == 1, None).otherwise(F.col("truth"))
