@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Parts of texts whose ids a worker remembers, twice over; longer ones are not remembered.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def wire(data: bytes) -> Iterator[tuple[int, object]]:
@@ -121,62 +121,102 @@ def library_tokenizer(model: Model):
     steps += [normalizers.Prepend(SPACE)] if model.dummy_prefix else []
     tokenizer = Tokenizer(core)
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    decode = [decoders.Replace(SPACE, " "), *([decoders.ByteFallback()] if model.byte_fallback else []), decoders.Fuse()]
-    tokenizer.decoder = decoders.Sequence([*decode, *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    tokenizer.decoder = decoders.Sequence([*decoder_steps(model), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
     own = [AddedToken(p, normalized=True) for p, _, kind in model.pieces if kind == USER_DEFINED]
     if own:
         tokenizer.add_tokens(own)
     return tokenizer
 
 
+def decoder_steps(model: Model) -> list:
+    """From pieces to text; the space of a dummy prefix is still there."""
+    from tokenizers import decoders
+
+    return [decoders.Replace(SPACE, " "), *([decoders.ByteFallback()] if model.byte_fallback else []), decoders.Fuse()]
+
+
 class PieceCoder:
     """Encodes and decodes batches, and checks the library against SentencePiece itself.
 
     Where the vocabulary allows (``splits_at_spaces``) a text is normalised, cut before each
-    run of space markers, and each distinct part is encoded once, in multithreaded batches.
-    Every part is also encoded by SentencePiece on its first use, as is one whole text a batch;
-    ``parity`` says for each text whether all its checks agreed.
+    run of space markers, and each distinct part is encoded and decoded once, in
+    multithreaded batches; a text's ids and its decoded text are those of its parts.
+    ``parity`` says of each text whether SentencePiece gives the whole text the same ids.
     """
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str, threads: int = 2, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import decoders
 
         with open(path, "rb") as file:
             self.model = Model.parse(file.read())
         self.full = library_tokenizer(self.model)
         self.bare = library_tokenizer(self.model)
         self.bare.normalizer = None
+        self.bare.decoder = decoders.Sequence(decoder_steps(self.model))
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
         self.by_part = self.model.splits_at_spaces and plain
-        # A part is checked as a text of its own where normalising it again changes nothing.
-        self.part_is_text = self.model.dummy_prefix and not self.model.remove_extra and not self.model.charsmap
-        self.parts: dict[str, bytes] = {}
-        self.unequal: set[str] = set()
-
-    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
-        """Little-endian 32-bit ids, and parity, of each text."""
+        # Normalising does no more than write markers for spaces.
+        self.marks_only = not self.model.charsmap and not self.model.remove_extra
+        self.remembered = remembered
+        self.parts: dict[str, bytes] = {"": b""}  # ids of parts, as of late
+        self.before: dict[str, bytes] = {}  # and of the time before
+        self.changed: dict[str, str] = {}  # what parts decode to, where that is not the part
+
+    def cut(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.marks_only and SPACE not in text and "  " not in text and text[0] != " ":
+            return ((SPACE if self.model.dummy_prefix else "") + text).replace(" ", " " + SPACE).split(" ")
+        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", self.full.normalizer.normalize_str(text))
+
+    def learn(self, parts: set[str]) -> None:
+        """Makes the ids of ``parts`` known.
+
+        Beyond ``remembered`` parts those of late become those before, and what was before
+        and not met since is forgotten; so frequent parts stay, whatever comes between.
+        """
+        if len(self.parts) > self.remembered:
+            self.before, self.parts = self.parts, {"": b""}
+            self.changed = {p: text for p, text in self.changed.items() if p in self.before}
+        parts = parts.difference(self.parts)
+        again = parts.intersection(self.before)
+        self.parts.update((p, self.before[p]) for p in again)
+        new = list(parts - again)
+        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
+        self.parts.update(zip(new, (array("I", x).tobytes() for x in ids), strict=True))
+        texts = self.bare.decode_batch(ids, skip_special_tokens=False)
+        self.changed.update((p, text) for p, text in zip(new, texts, strict=True) if text != p.replace(SPACE, " "))
+
+    def code_batch(self, texts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
+        """Little-endian 32-bit ids, decoded text, and parity, of each text."""
+        judged = [array("I", x).tobytes() for x in self.judge.encode(texts, num_threads=1)]
         if not self.by_part:
-            ids = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
-            return [array("I", x).tobytes() for x in ids], [x == y for x, y in zip(ids, self.judge.encode(texts), strict=True)]
-        cut = [re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", self.full.normalizer.normalize_str(t) if t else "") for t in texts]
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        new = list({p for parts in cut for p in parts if p not in self.parts})
-        for part, e in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[part] = array("I", e.ids).tobytes()
-        if self.part_is_text:
-            checked = [p for p in new if p[0] == SPACE]
-            for part, ids in zip(checked, self.judge.encode([p[1:].replace(SPACE, " ") for p in checked]), strict=True):
-                if len(part) > 1 and array("I", ids).tobytes() != self.parts[part]:
-                    self.unequal.add(part)
+            found = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+            ids, decoded = [array("I", x).tobytes() for x in found], self.full.decode_batch(found, skip_special_tokens=False)
+            return ids, decoded, [x == y for x, y in zip(ids, judged, strict=True)]
+        cut = [self.cut(t) for t in texts]
+        distinct = set().union(*cut)
+        self.learn(distinct)
         ids = [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
-        same = [not self.unequal or self.unequal.isdisjoint(parts) for parts in cut]
-        whole = range(len(texts)) if not self.part_is_text else [min(range(len(texts)), key=lambda i: abs(len(texts[i]) - 500))][: len(texts)]
-        for i in whole:
-            same[i] &= array("I", self.judge.encode(texts[i])).tobytes() == ids[i]
+        odd = distinct.intersection(self.changed)
+        decoded = [self._told(parts, odd) for parts in cut]
+        for p in distinct:
+            if len(p) > LONGEST:  # what is remembered has a bound in bytes, too
+                self.parts.pop(p)
+                self.changed.pop(p, None)
+        return ids, decoded, [x == y for x, y in zip(ids, judged, strict=True)]
+
+    def _told(self, parts: list[str], odd: set[str]) -> str:
+        told = [self.changed[p] if p in odd else p for p in parts] if odd else parts
+        text = "".join(told).replace(SPACE, " ")
+        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        ids, _, same = self.code_batch(texts)
         return ids, same
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
@@ -190,11 +230,13 @@ def code_pieces(docs: DataFrame, model: str, id: str = "doc_id", text: str = "te
     """Encodes every whole text with a SentencePiece model, decodes it again and checks parity.
 
     The model's protobuf is parsed and rebuilt on the tokenizers library; texts go there in
-    batches of about ``batch_chars`` characters.  No shuffle: a row in, a row out.  Null
-    texts are empty, with no pieces.  Returns ``doc_id, n_pieces, ids_crc32`` (of the ids as
-    little-endian unsigned 32-bit integers), ``ids``, ``decoded, round_trip`` (decoded =
-    text, but for what the model's normaliser changes) and ``parity`` with SentencePiece.
-    Other columns are ignored.
+    batches of about ``batch_chars`` characters.  No shuffle: a row in, a row out, whatever
+    its id, null or repeated.  Null texts are empty, with no pieces; a text longer than a
+    batch is a batch of its own, whole.  Returns ``doc_id, n_pieces, ids_crc32`` (of the ids
+    as little-endian unsigned 32-bit integers), ``ids``, ``decoded, round_trip`` (decoded =
+    text, but for what the model's normaliser changes) and ``parity``: whether SentencePiece
+    itself gives the whole text these ids, asked for every text.  Other columns are ignored,
+    whatever their names.  An empty table gives an empty table.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     shape = "doc_id long, n_pieces long, ids_crc32 long, ids binary, decoded string, round_trip boolean, parity boolean"
@@ -213,12 +255,11 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, batch_chars: int) -> It
                 chars += len(texts[last]) + 1
                 last += 1
             part = texts[first:last]
-            ids, parity = coder.encode_batch(part)
-            decoded = coder.decode_batch(ids)
+            ids, decoded, parity = coder.code_batch(part)
             yield pa.record_batch({
                 "doc_id": batch["doc_id"][first:last], "n_pieces": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": decoded,
-                "round_trip": [x == y for x, y in zip(decoded, part, strict=True)], "parity": parity,
+                "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary()), "decoded": pa.array(decoded, pa.string()),
+                "round_trip": pa.array([x == y for x, y in zip(decoded, part, strict=True)], pa.bool_()), "parity": pa.array(parity, pa.bool_()),
             })
             first = last
 
