@@ -6,8 +6,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -169,26 +169,34 @@ def _found(q: np.ndarray, ids: np.ndarray, own: np.ndarray, scores: np.ndarray)
 GRID = 8
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id", embedding: str = "embedding", interval: int = 4096, leaf: int = 512, fanout: int = 8) -> DataFrame:
+def near_vectors(
+    vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id", embedding: str = "embedding", tile_bytes: int = 16 << 20, leaf: int = 256, fanout: int = 8, counts: dict | None = None
+) -> DataFrame:
     """Links vectors of cosine ``>= threshold`` by an epsilon grid order join.
 
     Equal vectors are one class, so copies are never paired.  Unit vectors of cosine c lie
     ``sqrt(2 - 2c)`` apart: that is epsilon.  The classes are sorted by the cells, epsilon
     wide, of their coordinates on the leading principal dimensions (from second moments of
-    all classes) and cut into intervals of about ``interval`` classes; the id is the last
-    sort key, so a crowded cell is cut as well.  Intervals are joined recursively: a tree of
-    bounding boxes over the sequence is descended by pairs of nodes, and a pair whose boxes
-    are provably more than epsilon apart is dropped.  What is left goes out as pairs of
-    intervals, one group each, where the recursion goes on down to blocks of ``leaf``
-    classes, which a matrix product compares; scores near the threshold are computed again
-    in double precision.  A group returns, for each class with a link, its number of links
-    and the smallest class it reaches there; pairs are never listed.
-
-    Every row is a vector.  Vectors that are null, empty, zero or hold null or non-finite
-    components, and rows with a null id, link with nothing; so do vectors of different
-    length.  Returns ``vec_id, n_links, component_id, kept`` for every row: other rows
-    linked directly, smallest id reachable, and whether that is its own.  Other columns are
-    ignored.
+    all classes), the id last, so a crowded cell is cut as well.  The sequence is cut into
+    leaves of ``leaf`` classes and intervals of many leaves, as many as ``tile_bytes`` hold
+    in single precision (three intervals at least, so that a small table has several tasks).  Intervals are joined recursively: a tree of bounding boxes over the
+    sequence is descended by pairs of nodes, down to pairs of leaves, and what is provably
+    more than epsilon apart is skipped.  Only then do vectors move, and of a pair of
+    intervals only the leaves with a near leaf in the other.  There a matrix product
+    compares near leaves; scores near the threshold are computed again in double precision.
+    A group returns, for each class with a link, its number of links and the smallest class
+    it reaches there; pairs are never listed.
+
+    ``counts``, a dict, is given the numbers of classes, of blocks (pairs of leaves), of
+    blocks that were compared, and of vectors moved to pairs of intervals.  Where no leading
+    dimension spreads wider than epsilon nothing can be skipped: then every vector meets
+    every interval, in tiles.
+
+    Every row is a vector; different vectors of one id have links of their own.  Vectors that are null, empty, zero or hold
+    null or non-finite components, and rows with a null id, link with nothing; so do vectors
+    of different length.  Returns ``vec_id, n_links, component_id, kept`` for every row:
+    other rows linked directly, smallest id reachable, and whether that is its own.  Other
+    columns are ignored, whatever their names.  An empty table gives an empty table.
     """
     double = F.col(f"`{embedding}`").cast("array<double>")
     linkable = F.col(f"`{id}`").isNotNull() & _finite(embedding) & F.exists(double, lambda v: v != 0)
@@ -197,10 +205,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id"
     classes = materialize(
         all_rows.where("v IS NOT NULL").groupBy(*digest).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "vector-classes"
     )
-    links, edges = _grid_join(classes, threshold, interval, leaf, fanout)
+    links, edges = _grid_join(classes, threshold, tile_bytes, leaf, fanout, counts)
     found = components(edges, "rep", "label")
     classes = (
-        classes.select("d1", "d2", "rep", "n").join(links.withColumnRenamed("rep", "l"), F.col("rep") == F.col("l"), "left")
+        classes.select("d1", "d2", "rep", "n").join(links, ["d1", "d2"], "left")
         .join(found, F.col("rep") == F.col("node"), "left")
         .select("d1", "d2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
@@ -212,29 +220,39 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id: str = "vec_id"
     )
 
 
-def _grid_join(classes: DataFrame, threshold: float, interval: int, leaf: int, fanout: int) -> tuple[DataFrame, DataFrame]:
+def _grid_join(classes: DataFrame, threshold: float, tile_bytes: int, leaf: int, fanout: int, counts: dict | None) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
     n, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     epsilon = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7
     width = width or 1
     axes = spark.sparkContext.broadcast(_principal_axes(classes, width))
-    parts = max(1, math.ceil(n / interval))
-    cells = [f"c{i}" for i in range(4)]
-    point = f"rep long, n long, dim int, v binary, p array<double>, {', '.join(f'{c} int' for c in cells)}"
-    points = classes.select("rep", "n", "v").mapInArrow(lambda it: _points(it, axes.value, epsilon, width), point)
-    placed = points.repartitionByRange(parts, "dim", *cells, "rep").drop(*cells)
-    placed = materialize(placed.mapInArrow(_numbered, "interval int, rep long, n long, dim int, v binary, p array<double>"), "grid-order")
-
-    boxes = placed.groupBy("interval").agg(*[f(F.col("p")[i]).alias(f"{s}{i}") for i in range(GRID) for f, s in ((F.min, "lo"), (F.max, "hi"))])
+    intervals = max(3, math.ceil(n * (4 * width + 8 * GRID + 64) / tile_bytes))  # with what goes beside the components
+    size = leaf * max(1, math.ceil(n / intervals / leaf))  # classes of an interval
+    cells = [f"c{i}" for i in range(GRID)]
+    point = f"d1 long, d2 long, rep long, n long, dim int, v binary, p array<double>, {', '.join(f'{c} int' for c in cells)}"
+    points = classes.select("d1", "d2", "rep", "n", "v").mapInArrow(lambda it: _points(it, axes.value, epsilon, width), point)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = points.repartitionByRange(parts, "dim", *cells, "rep").sortWithinPartitions("dim", *cells, "rep").drop(*cells)
+    order = materialize(order.mapInArrow(_numbered, "part int, nr long, d1 long, d2 long, rep long, n long, dim int, v binary, p array<double>"), "grid-order")
+
+    # The place in the whole sequence: a partition's rows come after those of the ones before it.
+    held = order.groupBy("part").agg(F.count("*").alias("held"))
+    before = held.select(F.col("part").alias("of"), (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("before"))
+    place = F.col("before") + F.col("nr")
+    placed = order.join(materialize(before, "grid-offsets"), F.col("part") == F.col("of")).select(
+        F.floor(place / size).cast("int").alias("interval"), F.floor(place % size / leaf).cast("int").alias("leaf"), "d1", "d2", "rep", "n", "dim", "v", "p"
+    )
+    boxes = placed.groupBy("interval", "leaf").agg(*[f(F.col("p")[i]).alias(f"{s}{i}") for s, f in (("lo", F.min), ("hi", F.max)) for i in range(GRID)])
     boxes = materialize(boxes, "grid-boxes")
-    pairs = _interval_pairs(boxes, parts, epsilon, fanout)
-    sides = pairs.select("a", "b", F.col("a").alias("interval"), F.lit(0).alias("side")).unionByName(pairs.where("a <> b").select("a", "b", F.col("b").alias("interval"), F.lit(1).alias("side")))
-    result = (
-        placed.join(sides, "interval").select("a", "b", "side", "rep", "n", "dim", "v", "p")
-        .groupBy("a", "b").applyInPandas(lambda pdf: _join_intervals(pdf, threshold, epsilon, leaf, width), "rep long, links long, label long")
-    )
-    result = materialize(result, "grid-links")
-    return result.groupBy("rep").agg(F.sum("links").alias("links")), result.select("rep", "label")
+    needed = _near_leaves(boxes, math.ceil(n / size), epsilon, fanout)
+    moved = placed.join(needed.where("leaf IS NOT NULL").select("interval", "leaf", "a", "b", "side"), ["interval", "leaf"])
+    result = materialize(moved.groupBy("a", "b").applyInArrow(lambda group: _join_intervals(group, threshold, epsilon, width), "d1 long, d2 long, rep long, links long, label long, moved long"), "grid-links")
+    if counts is not None:
+        leaves = boxes.count()
+        compared, moves = needed.agg(F.sum("near")).first()[0], result.agg(F.sum("moved")).first()[0]
+        counts.update(classes=n, blocks=leaves * (leaves + 1) // 2, compared=compared or 0, moved=moves or 0)
+    result = result.where("rep IS NOT NULL")
+    return result.groupBy("d1", "d2").agg(F.sum("links").alias("links")), result.select("rep", "label")
 
 
 def _principal_axes(classes: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -275,17 +293,85 @@ def _points(batches: Iterator[pa.RecordBatch], axes: tuple, epsilon: float, widt
             raw = _matrix(part["v"])
             p = (_unit(raw, width) - mean) @ basis
             p = np.pad(p, ((0, 0), (0, GRID - p.shape[1])))
-            cell = np.floor(p[:, :4] / epsilon).astype(np.int32)
+            cell = np.floor(p / epsilon).astype(np.int32)
             yield pa.record_batch({
-                "rep": part["rep"], "n": part["n"], "dim": np.full(len(part), d, dtype=np.int32), "v": pa.array([x.tobytes() for x in raw.astype(np.float64)], pa.binary()),
-                "p": pa.ListArray.from_arrays(np.arange(0, p.size + 1, GRID, dtype=np.int32), p.ravel()), **{f"c{i}": cell[:, i] for i in range(4)},
+                "d1": part["d1"], "d2": part["d2"], "rep": part["rep"], "n": part["n"], "dim": np.full(len(part), d, dtype=np.int32), "v": pa.array([x.tobytes() for x in _exact(raw)], pa.binary()),
+                "p": pa.ListArray.from_arrays(np.arange(0, p.size + 1, GRID, dtype=np.int32), p.ravel()), **{f"c{i}": cell[:, i] for i in range(GRID)},
             })
 
 
+def _exact(raw: np.ndarray) -> np.ndarray:
+    """In single precision where the column is, else in double: what is moved is what was read."""
+    return raw if raw.dtype == np.float32 else raw.astype(np.float64)
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId()
+    number, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        own = [pa.array(np.full(len(batch), number, dtype=np.int32)), pa.array(np.arange(at, at + len(batch), dtype=np.int64))]
+        at += len(batch)
+        yield pa.RecordBatch.from_arrays([*own, *batch.columns], ["part", "nr", *batch.schema.names])
+
+
+def _near_leaves(boxes: DataFrame, intervals: int, epsilon: float, fanout: int) -> DataFrame:
+    """``a, b, side, interval, leaf`` of the leaves that a pair of intervals has to compare.
+
+    A row with a null leaf says of each pair how many blocks are near.
+    The boxes of an interval's leaves are a row (16 numbers a leaf), so that a task meets
+    those of two intervals at a time.
+    """
+    names = [f"{s}{i}" for s in ("lo", "hi") for i in range(GRID)]
+    outer = boxes.groupBy("interval").agg(*[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in names])
+    pairs = _interval_pairs(materialize(outer, "interval-boxes"), intervals, epsilon, fanout)
+    leaves = materialize(boxes.groupBy("interval").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("leaf", F.array(*names).alias("box")))), lambda x: x["box"])).alias("box")), "leaf-boxes")
+    left, right = (leaves.select(F.col("interval").alias(i), F.col("box").alias(x)) for i, x in (("ia", "box_a"), ("ib", "box_b")))
+    both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib")).select("a", "b", "box_a", "box_b")
+    return materialize(both.mapInArrow(lambda it: _leaf_pairs(it, epsilon), "a int, b int, side int, interval int, leaf int, near long"), "near-leaves")
+
+
+def _leaf_pairs(batches: Iterator[pa.RecordBatch], epsilon: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), number, dtype=np.int32)), *batch.columns], ["interval", *batch.schema.names])
+        for a, b, box_a, box_b in zip(*(batch[c].to_pylist() for c in ("a", "b", "box_a", "box_b")), strict=True):
+            boxes = [np.array(x).reshape(-1, 2, GRID) for x in ((box_a,) if a == b else (box_a, box_b))]
+            i, j = _descend(boxes[0], boxes[-1], epsilon, a == b)
+            asked = [(0, a, np.union1d(i, j))] if a == b else [(0, a, np.unique(i)), (1, b, np.unique(j))]
+            for side, interval, leaf in asked:
+                yield _needed(a, b, side, interval, pa.array(leaf, pa.int32()), 0)
+            yield _needed(a, b, 0, a, pa.nulls(1, pa.int32()), len(i))
+
+
+def _needed(a: int, b: int, side: int, interval: int, leaf: pa.Array, near: int) -> pa.RecordBatch:
+    same = lambda value, kind: pa.array(np.full(len(leaf), value), kind)
+    return pa.record_batch({
+        "a": same(a, pa.int32()), "b": same(b, pa.int32()), "side": same(side, pa.int32()), "interval": same(interval, pa.int32()), "leaf": leaf,
+        "near": same(near, pa.int64()),
+    })
+
+
+def _descend(a: np.ndarray, b: np.ndarray, epsilon: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves of two sequences (``i <= j`` of the same one) whose boxes come within epsilon.
+
+    Two binary trees of boxes over the sequences are descended by pairs of nodes, a level at a time.
+    """
+    trees = []
+    for boxes in (a, b):
+        levels = [boxes]
+        while len(levels[-1]) > 1 or len(levels) < 1 + math.ceil(math.log2(max(len(a), len(b), 1))):
+            at = np.arange(0, len(levels[-1]), 2)
+            low, high = np.minimum.reduceat(levels[-1][:, 0], at), np.maximum.reduceat(levels[-1][:, 1], at)
+            levels.append(np.stack([low, high], axis=1))
+        trees.append(levels)
+    i = j = np.zeros(1 if len(a) and len(b) else 0, dtype=np.int64)
+    for level in range(len(trees[0]) - 1, -1, -1):
+        x, y = (t[level] for t in trees)
+        gap = np.maximum(0, np.maximum(y[j, 0] - x[i, 1], x[i, 0] - y[j, 1]))
+        near = np.einsum("ij,ij->i", gap, gap) <= epsilon**2
+        i, j = i[near], j[near]
+        if level:
+            i, j = (np.add.outer(2 * i, [0, 0, 1, 1]).ravel(), np.add.outer(2 * j, [0, 1, 0, 1]).ravel())
+            inside = (i < len(trees[0][level - 1])) & (j < len(trees[1][level - 1])) & ((i <= j) | (not same))
+            i, j = i[inside], j[inside]
+    return i, j
 
 
 def _interval_pairs(boxes: DataFrame, parts: int, epsilon: float, fanout: int) -> DataFrame:
@@ -305,15 +391,16 @@ def _interval_pairs(boxes: DataFrame, parts: int, epsilon: float, fanout: int) -
     return materialize(pairs, "grid-pairs")
 
 
-def _join_intervals(pdf: pd.DataFrame, threshold: float, epsilon: float, leaf: int, width: int) -> pd.DataFrame:
-    sides = []
-    for _, part in sorted(pdf.groupby("side"), key=lambda x: x[0]):
-        points = np.stack(part["p"].to_numpy())
-        order = np.lexsort(np.floor(points / epsilon).T[::-1])
-        part = part.iloc[order]
-        unit = np.vstack([_unit(np.frombuffer(v, np.float64)[None], width) for v in part["v"]]) if part["dim"].nunique() > 1 else _unit(np.frombuffer(b"".join(part["v"]), np.float64).reshape(len(part), -1), width)
-        sides.append({"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy().astype(np.float64), "dim": part["dim"].to_numpy(), "p": points[order], "u": unit, "f": unit.astype(np.float32)})
+#: Classes that one leaf is compared with at a time.
+WIDE = 4096
+
+
+def _join_intervals(group: pa.Table, threshold: float, epsilon: float, width: int) -> pa.Table:
+    """Links between the near leaves of two intervals, or within one."""
+    sides = [_side(group.filter(pc.equal(group["side"], side)), width) for side in (0, 1)]
+    sides = [x for x in sides if len(x["rep"])]
     a, b = sides[0], sides[-1]
+    same = group["a"][0].as_py() == group["b"][0].as_py()
     links = [np.zeros(len(x["rep"])) for x in sides]
     label = {int(r): int(r) for x in sides for r in x["rep"]}
 
@@ -323,46 +410,58 @@ def _join_intervals(pdf: pd.DataFrame, threshold: float, epsilon: float, leaf: i
             x = label[x]
         return x
 
-    def box(x: dict, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-        return x["p"][i:j].min(axis=0), x["p"][i:j].max(axis=0)
-
-    todo = [(0, len(a["rep"]), 0, len(b["rep"]))]
-    while todo:
-        i, j, k, m = todo.pop()
-        (alo, ahi), (blo, bhi) = box(a, i, j), box(b, k, m)
-        gap = np.maximum(0, np.maximum(blo - ahi, alo - bhi))
-        if gap @ gap > epsilon**2:
-            continue
-        if max(j - i, m - k) > leaf:
-            if a is b and (i, j) == (k, m):
-                h = (i + j) // 2
-                todo += [(i, h, i, h), (i, h, h, j), (h, j, h, j)]
-            elif j - i >= m - k:
-                h = (i + j) // 2
-                todo += [(i, h, k, m), (h, j, k, m)]
-            else:
-                h = (k + m) // 2
-                todo += [(i, j, k, h), (i, j, h, m)]
-            continue
-        scores = a["f"][i:j] @ b["f"][k:m].T
-        hit = scores >= threshold
-        r, c = np.nonzero(np.abs(scores - threshold) < 1e-4)
-        hit[r, c] = np.einsum("ij,ij->i", a["u"][i + r], b["u"][k + c]) >= threshold
-        hit &= a["dim"][i:j, None] == b["dim"][None, k:m]
-        own = a is b and (i, j) == (k, m)
-        if own:
-            np.fill_diagonal(hit, False)
-        if not hit.any():
-            continue
-        links[0][i:j] += hit @ b["n"][k:m]
-        if not own:
-            links[-1][k:m] += a["n"][i:j] @ hit
-        rows, cols = a["rep"][i:j], b["rep"][k:m]
-        for x, y in spanning_links(hit, rows, cols):
-            if (p := root(x)) != (q := root(y)):
-                label[max(p, q)] = min(p, q)
-    out = {}
+    i, j = _descend(a["box"], b["box"], epsilon, same) if same or len(sides) == 2 else ([], [])
+    order = np.argsort(i, kind="stable")
+    i, j = np.asarray(i)[order], np.asarray(j)[order]
+    for leaf in np.unique(i):
+        rows = np.arange(a["edge"][leaf], a["edge"][leaf + 1])
+        met = np.concatenate([np.arange(b["edge"][k], b["edge"][k + 1]) for k in j[i == leaf]])
+        for start in range(0, len(met), WIDE):
+            cols = met[start : start + WIDE]
+            scores = a["f"][rows] @ b["f"][cols].T
+            hit = scores >= threshold
+            r, c = np.nonzero(np.abs(scores - threshold) < 1e-4)
+            if len(r):
+                hit[r, c] = np.einsum("ij,ij->i", _units(a, rows[r], width), _units(b, cols[c], width)) >= threshold
+            if len(a["dims"]) > 1 or len(b["dims"]) > 1:
+                hit &= a["dim"][rows, None] == b["dim"][None, cols]
+            if same:
+                hit &= rows[:, None] < cols[None]
+            if not hit.any():
+                continue
+            links[0][rows] += hit @ b["n"][cols]
+            links[-1][cols] += a["n"][rows] @ hit
+            r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+            for x, y in spanning_links(hit[np.ix_(r, c)], a["rep"][rows[r]], b["rep"][cols[c]]):
+                if (p := root(x)) != (q := root(y)):
+                    label[max(p, q)] = min(p, q)
+    out = [(None, None, None, 0, None, len(group))]
     for x, n in zip(sides, links, strict=True):
-        for rep, count in zip(x["rep"][n > 0].tolist(), n[n > 0].tolist(), strict=True):
-            out[rep] = (int(count), root(rep))
-    return pd.DataFrame([(r, n, t) for r, (n, t) in out.items()], columns=["rep", "links", "label"])
+        out += [(d1, d2, rep, int(count), root(rep), 0) for d1, d2, rep, count in zip(*(c[n > 0].tolist() for c in (x["d1"], x["d2"], x["rep"], n)), strict=True)]
+    return pa.table([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["d1", "d2", "rep", "links", "label", "moved"])
+
+
+def _side(rows: pa.Table, width: int) -> dict:
+    """One interval's vectors in the order of the sequence, with the bounds and boxes of their leaves."""
+    rows = rows.sort_by("leaf").combine_chunks()
+    leaf, dim = rows["leaf"].to_numpy(), rows["dim"].to_numpy()
+    edge = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf)) if len(leaf) else np.zeros(1, dtype=np.int64)
+    p = pc.list_flatten(rows["p"]).to_numpy().reshape(-1, GRID)
+    box = np.stack([f.reduceat(p, edge[:-1]) for f in (np.minimum, np.maximum)], axis=1) if len(leaf) else np.zeros((0, 2, GRID))
+    side = {**{c: rows[c].to_numpy() for c in ("d1", "d2", "rep")}, "n": rows["n"].to_numpy().astype(np.float64), "dim": dim, "dims": np.unique(dim), "raw": rows["v"], "edge": edge, "box": box}
+    side["f"] = np.zeros((len(leaf), width), dtype=np.float32)
+    for start in range(0, len(leaf), WIDE):
+        at = np.arange(start, min(start + WIDE, len(leaf)))
+        side["f"][at] = _units(side, at, width)
+    return side
+
+
+def _units(side: dict, at: np.ndarray, width: int) -> np.ndarray:
+    """Unit vectors of some rows, in double precision."""
+    out = np.zeros((len(at), width))
+    raw, dim = side["raw"].take(pa.array(at)).to_pylist(), side["dim"][at]
+    for d in np.unique(dim):
+        of = np.flatnonzero(dim == d)
+        kind = np.float32 if len(raw[of[0]]) == 4 * d else np.float64
+        out[of] = _unit(np.frombuffer(b"".join(raw[k] for k in of), kind).reshape(len(of), d), width)
+    return out

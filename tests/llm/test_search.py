@@ -63,7 +63,7 @@ def check_near(spark, rows, **options):
     assert out == {i: (links[i], roots[i], roots[i] == i) for i, _ in rows}
 
 
-@pytest.mark.parametrize("options", [{}, {"interval": 20, "leaf": 4, "fanout": 2}])
+@pytest.mark.parametrize("options", [{}, {"tile_bytes": 4000, "leaf": 4, "fanout": 2}])
 def test_near_vectors(spark, options):
     rng = np.random.default_rng(3)
     rows = []
@@ -74,6 +74,23 @@ def test_near_vectors(spark, options):
     check_near(spark, rows, **options)
 
 
+def test_distant_blocks_are_skipped_and_stay_unmoved(spark):
+    """Of vectors that spread along a few dimensions most blocks are never compared, and no link is lost."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (np.cos(t), np.sin(t), *rng.normal(size=6) * 0.01)]) for i, t in enumerate(rng.uniform(0, 2 * np.pi, 1200))]
+    counts = {}
+    check_near(spark, rows, tile_bytes=20_000, leaf=16, counts=counts)
+    assert counts["classes"] == 1200 and 0 < counts["compared"] < 0.4 * counts["blocks"] and counts["moved"] < 8 * 1200
+
+
+def test_near_vectors_tables(spark):
+    """Repeated ids are rows of their own; other columns, whatever their names, are ignored."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [1.0, 0.0]), (3, None)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"leaf": F.lit("x"), "interval": F.lit(1), "n_links": F.lit(None), "rep": F.lit(0)})
+    out = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()), key=str)
+    assert out == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 0, 3, True), (None, 0, None, True)]
+
+
 def test_near_vectors_of_nothing(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
