@@ -81,24 +81,27 @@ def encoder(path: str) -> ByteBpe:
 
 #: A sample of select for every so many ones.
 SAMPLE = 256
-HEADER = struct.Struct("<4sIQQBQ")
+HEADER = struct.Struct("<4sIIQBQ")
 
 
 def elias_fano(values: np.ndarray) -> bytes:
     """A non-decreasing sequence in about ``2 + log2(last / n)`` bits a value.
 
     The low bits of each value are stored as they are; the high parts as unary gaps, with
-    the place of every ``SAMPLE``-th one for select.
+    the 32-bit place of every ``SAMPLE``-th one for select.
     """
     values = np.asarray(values, dtype=np.uint64)
     n, last = len(values), int(values[-1]) if len(values) else 0
     low = max(0, (last // max(1, n)).bit_length() - 1)
     lows = ((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
     ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
-    highs = np.zeros(int(ones[-1]) + 1 if n else 0, dtype=np.uint8)
+    bits = int(ones[-1]) + 1 if n else 0
+    if bits >= 1 << 32:
+        raise ValueError("too many values for one sequence")
+    highs = np.zeros(bits, dtype=np.uint8)
     highs[ones] = 1
     low_bytes, high_bytes = (np.packbits(x.ravel(), bitorder="little").tobytes() for x in (lows, highs))
-    return HEADER.pack(b"EF01", SAMPLE, n, len(highs), low, len(low_bytes)) + low_bytes + high_bytes + ones[::SAMPLE].astype("<u8").tobytes()
+    return HEADER.pack(b"EF02", SAMPLE, n, bits, low, len(low_bytes)) + low_bytes + high_bytes + ones[::SAMPLE].astype("<u4").tobytes()
 
 
 class EliasFano:
@@ -106,39 +109,54 @@ class EliasFano:
 
     def __init__(self, data: bytes):
         magic, self.sample, self.n, bits, self.low, n_low = HEADER.unpack_from(data)
-        if magic != b"EF01":
+        if magic != b"EF02":
             raise ValueError("not an Elias-Fano sequence")
         at = HEADER.size
         self.lows = np.frombuffer(data, np.uint8, n_low, at)
         self.highs = np.frombuffer(data, np.uint8, (bits + 7) // 8, at + n_low)
-        self.samples = np.frombuffer(data, "<u8", -(-self.n // self.sample), at + n_low + len(self.highs))
+        self.samples = np.frombuffer(data, "<u4", -(-self.n // self.sample), at + n_low + len(self.highs))
 
     def _lows(self, i: int, j: int) -> np.ndarray:
+        if not self.low:
+            return np.zeros(j - i, dtype=np.uint64)
         first, last = i * self.low, j * self.low
         bits = np.unpackbits(self.lows[first // 8 : (last + 7) // 8], bitorder="little")[first % 8 :][: last - first]
-        return bits.reshape(j - i, self.low).astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64)) if self.low else np.zeros(j - i, dtype=np.int64)
+        return bits.reshape(j - i, self.low).astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
 
     def run(self, i: int, j: int) -> np.ndarray:
         """Values i to j, without j: reads only the bits from the sample before i on."""
         if not 0 <= i <= j <= self.n:
             raise IndexError((i, j))
         if i == j:
-            return np.zeros(0, dtype=np.int64)
+            return np.zeros(0, dtype=np.uint64)
         start = i // self.sample
         after = -(-j // self.sample)
         first = int(self.samples[start])
         end = int(self.samples[after]) + 1 if after < len(self.samples) else len(self.highs) * 8
         ones = first + np.flatnonzero(np.unpackbits(self.highs[first // 8 : (end + 7) // 8], bitorder="little")[first % 8 :])
         ones = ones[i - start * self.sample :][: j - i]
-        return ((ones - np.arange(i, j)) << self.low) | self._lows(i, j)
+        return ((ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low)) | self._lows(i, j)
 
     def select(self, i: int) -> int:
         return int(self.run(i, i + 1)[0])
 
+    def first_at_least(self, value: int) -> int:
+        """How many values are smaller, by select."""
+        low, high = 0, self.n
+        while low < high:
+            middle = (low + high) // 2
+            if self.select(middle) < value:
+                low = middle + 1
+            else:
+                high = middle
+        return low
+
 
 # ----------------------------------------------------------------------------- token store
 
-STORE = "shard int, part int, n_docs long, n_ids long, width int, doc_ids binary, boundaries binary, ids binary"
+STORE = "shard int, part int, n_docs long, n_ids long, first_id long, last_id long, width int, doc_ids binary, boundaries binary, ids binary"
+#: Before the ids of a segment's documents: how many are null, and the smallest other one.
+DOC_IDS = struct.Struct("<Iq")
 
 
 def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, id: str = "doc_id", text: str = "text", shards: int | None = None, segment_ids: int = 1 << 20) -> None:
@@ -148,18 +166,21 @@ def write_token_store(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     once and ids never.  A shard is a run of segments of about ``segment_ids`` ids each (one
     long document may exceed that), so a task holds one segment at a time.  A segment is
     one row of the store: its concatenated ids as little-endian unsigned integers of
-    ``width`` bytes (2 where they fit, else 4), the document boundaries in Elias-Fano form,
-    whose select gives the offset of any document in near-minimal space, and the document ids.  Spark's committer writes the
-    files, so a lost executor leaves no half-written segment.
+    ``width`` bytes (2 where they fit, else 4), and, both in Elias-Fano form, whose select
+    answers in near-minimal space, the boundaries of its documents and their ids.  Spark's
+    committer writes the files, so a lost executor leaves no half-written segment.
 
     Each document's ids end with ``end_id``.  Null texts are empty.  Null ids come first;
-    rows of the same id stay adjacent, ordered by text.  An empty table makes an empty store.
+    rows of one id, null or not, are ordered by a hash of their text (null texts first), and
+    however many there are, they are dealt to several shards.  Other columns are ignored, whatever their names.
+    An empty table makes an empty store.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    ordered.mapInArrow(lambda it: _segments(it, tokenizer, end_id, segment_ids), STORE).write.parquet(path)
+    order = [F.col("id").asc_nulls_first(), F.col("digest").asc_nulls_first(), F.col("split")]
+    ordered = rows.withColumns({"digest": F.when(F.col("text").isNotNull(), F.xxhash64("text")), "split": F.spark_partition_id()}).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ordered.select("id", "text").mapInArrow(lambda it: _segments(it, tokenizer, end_id, segment_ids), STORE).write.parquet(path)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, segment_ids: int) -> Iterator[pa.RecordBatch]:
@@ -178,14 +199,50 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, se
 
 
 def _segment(shard: int, part: int, doc_ids: list, ids: list[bytes]) -> pa.RecordBatch:
-    bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
-    nulls = sum(x is None for x in doc_ids)  # they come first
-    head = np.array([nulls, *[x or 0 for x in doc_ids]], dtype="<i8").tobytes()
+    bounds = np.cumsum([0, *[len(x) // 4 for x in ids]])
+    known = [x for x in doc_ids if x is not None]  # null ones come first
+    least = known[0] if known else 0
+    head = DOC_IDS.pack(len(doc_ids) - len(known), least) + elias_fano(np.array([x - least for x in known], dtype=np.uint64))
     flat = np.frombuffer(b"".join(ids), "<u4")
     width = 2 if flat.max() < 1 << 16 else 4
-    row = {"shard": shard, "part": part, "n_docs": len(ids), "n_ids": int(bounds[-1]), "width": width, "doc_ids": head, "boundaries": elias_fano(bounds), "ids": flat.astype(f"<u{width}").tobytes()}
-    kinds = {"shard": pa.int32(), "part": pa.int32(), "n_docs": pa.int64(), "n_ids": pa.int64(), "width": pa.int32()}
-    return pa.record_batch({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+    row = {
+        "shard": shard, "part": part, "n_docs": len(ids), "n_ids": int(bounds[-1]), "first_id": known[0] if known else None, "last_id": known[-1] if known else None,
+        "width": width, "doc_ids": head, "boundaries": elias_fano(bounds), "ids": flat.astype(f"<u{width}").tobytes(),
+    }
+    kinds = {"shard": pa.int32(), "part": pa.int32(), "width": pa.int32(), "doc_ids": pa.binary(), "boundaries": pa.binary(), "ids": pa.binary()}
+    return pa.record_batch({k: pa.array([v], kinds.get(k, pa.int64())) for k, v in row.items()})
+
+
+def _doc_ids(head: bytes) -> tuple[int, int, EliasFano]:
+    """How many documents without an id come first, and the others' ids: the smallest, and how far each is above it."""
+    nulls, least = DOC_IDS.unpack_from(head)
+    return nulls, least, EliasFano(head[DOC_IDS.size :])
+
+
+def lookup(store: DataFrame, asked: list[int]) -> DataFrame:
+    """``doc_id, ids`` (little-endian, 32 bits each) of the documents of some ids, repeated ones all.
+
+    Only segments that may hold one are read; there select finds the document and its two
+    boundaries, without unpacking either sequence.  Ids that no document has give no row.
+    """
+    asked = sorted(set(asked))
+    near = F.exists(F.lit(asked).cast("array<long>"), lambda x: (F.col("first_id") <= x) & (F.col("last_id") >= x))
+    return store.where(near).select("width", "doc_ids", "boundaries", "ids").mapInArrow(lambda it: _looked_up(it, asked), "doc_id long, ids binary")
+
+
+def _looked_up(batches: Iterator[pa.RecordBatch], asked: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            nulls, least, doc_ids = _doc_ids(row["doc_ids"])
+            bounds, flat, found = EliasFano(row["boundaries"]), np.frombuffer(row["ids"], f"<u{row['width']}"), []
+            for x in asked:
+                at = doc_ids.first_at_least(x - least) if x >= least else doc_ids.n
+                while at < doc_ids.n and doc_ids.select(at) == x - least:
+                    first, last = bounds.select(nulls + at), bounds.select(nulls + at + 1)
+                    found.append((x, flat[first:last].astype("<u4").tobytes()))
+                    at += 1
+            if found:
+                yield pa.record_batch({"doc_id": pa.array([x for x, _ in found], pa.int64()), "ids": pa.array([ids for _, ids in found], pa.binary())})
 
 
 def read_token_store(store: DataFrame) -> DataFrame:
@@ -208,9 +265,9 @@ def read_token_store(store: DataFrame) -> DataFrame:
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            head = np.frombuffer(row["doc_ids"], "<i8")
-            nulls, doc_ids = int(head[0]), head[1:]
-            bounds = EliasFano(row["boundaries"]).run(0, len(doc_ids) + 1)
+            nulls, least, known = _doc_ids(row["doc_ids"])
+            doc_ids = np.concatenate([np.zeros(nulls, dtype=np.int64), (known.run(0, known.n) + np.uint64(least % (1 << 64))).astype(np.int64)])
+            bounds = EliasFano(row["boundaries"]).run(0, len(doc_ids) + 1).astype(np.int64)
             ids = memoryview(np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4").tobytes())
             crc = [zlib.crc32(ids[4 * i : 4 * j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.record_batch({
