@@ -8,11 +8,16 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names one; a temporary folder only where nothing is set, as in local tests."""
+    """``spark.checkpoint.dir`` where the cluster names one, else the checkpoint folder set in code.
+
+    Only a local session, as in tests, gets a temporary folder of its own; executors on other
+    machines would not see it, so a cluster that names no folder is an error.
+    """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise RuntimeError("a cluster has to name its shared folder in spark.checkpoint.dir")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
     return context.getCheckpointDir().rstrip("/")
