@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,38 +60,43 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 1024, gro
     """Packs all documents into sequences of at most ``capacity`` tokens.
 
     A document's ids, with ``end_id`` at their end, are cut into full pieces and a rest.
-    Rows are dealt at random (by a hash of their place in the scan, not of their content,
-    so that no key makes a group large) to groups of about ``group_docs`` documents.  Each
-    group packs on its own by first-fit decreasing, over rests only, as full pieces fill a
-    sequence.  Texts and ids stay in the scan's tasks; only lengths and checksums move.
-
-    Sequences are padded to ``capacity``, except those whose tokens are a power of two:
-    ``padded`` of ``padding_of`` says how far.  Null and empty texts are just ``end_id``.
-    Every row is a document, repeated rows and null ids too.  Returns a row a piece:
-    ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.  An empty table
-    gives no pieces.
+    Each row has a number, and lengths, checksums and numbers are written to the shared
+    folder once, so that a task that runs again meets the same rows.  They are dealt at
+    random (by a hash of the number, not of content, so that no key makes a group large) to
+    groups of about ``group_docs`` documents.  Each group packs on its own by first-fit
+    decreasing, over rests only, as full pieces fill a sequence.  Texts and ids stay in the
+    scan's tasks.
+
+    ``sequence_lengths`` says how far each sequence is padded.  Null and empty texts are
+    just ``end_id``; a text however long is cut, never shortened.  Every row is a document,
+    repeated rows and null ids too, ties in length in the order of the scan.  Other columns
+    are ignored, whatever their names.  Returns a row a piece: ``doc_id, start, length,
+    ids_crc32, doc_tokens, sequence_id, offset``.  An empty table gives no pieces.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    groups = max(1, -(-docs.count() // group_docs))
-    cut = rows.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity, seed, groups), "grp int, nr long, doc_id long, doc_tokens long, crcs binary")
-    return cut.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity), PIECE)
+    cut = materialize(rows.mapInArrow(lambda it: _cut(it, tokenizer, end_id, capacity), "nr long, doc_id long, doc_tokens long, crcs binary"), "pieces")
+    groups = max(1, -(-cut.count() // group_docs))  # of the files' footers
+    return cut.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "nr"), F.lit(groups)).cast("int")).groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity), PIECE)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int, seed: int, groups: int) -> Iterator[pa.RecordBatch]:
-    encode, end, task, nr = encoder(tokenizer), array("I", [end_id]).tobytes(), TaskContext.get().partitionId(), 0
+def sequence_lengths(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+    """``sequence_id, tokens, padded``: sequences are padded to ``capacity``, except those whose tokens are a power of two."""
+    tokens = pieces.groupBy("sequence_id").agg(F.sum("length").alias("tokens"))
+    return tokens.withColumn("padded", F.when(F.bit_count("tokens") == 1, F.col("tokens")).otherwise(F.lit(capacity).cast("long")))
+
+
+def _cut(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
+    encode, end, nr = encoder(tokenizer), array("I", [end_id]).tobytes(), TaskContext.get().partitionId() << 40
     for batch in batches:
-        grp, nrs, tokens, crcs = [], [], [], []
+        tokens, crcs = [], []
         for text in batch["text"].to_pylist():
             ids = memoryview((encode(text) if text else b"") + end)
             tokens.append(len(ids) // 4)
             crcs.append(array("I", [zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, len(ids), 4 * capacity)]).tobytes())
-            nrs.append((task << 40) + nr)
-            grp.append(zlib.crc32(b"%d %d %d" % (seed, task, nr)) % groups)
-            nr += 1
         yield pa.record_batch({
-            "grp": pa.array(grp, pa.int32()), "nr": pa.array(nrs, pa.int64()), "doc_id": batch["doc_id"],
-            "doc_tokens": pa.array(tokens, pa.int64()), "crcs": pa.array(crcs, pa.binary()),
+            "nr": pa.array(np.arange(nr, nr + len(batch), dtype=np.int64)), "doc_id": batch["doc_id"], "doc_tokens": pa.array(tokens, pa.int64()), "crcs": pa.array(crcs, pa.binary()),
         })
+        nr += len(batch)
 
 
 def _pack_group(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paperloom.llm import packing, pieces, tokens
@@ -43,6 +44,7 @@ def test_elias_fano_round_trip(gaps):
         assert read.select(i) == values[i]
         assert (read.run(i, min(read.n, i + 300)) == values[i : i + 300]).all()
     assert len(data) <= 60 + len(values) * (2.2 + max(0, np.log2(values[-1] / len(values) + 1))) / 8 + len(values) / 16
+    assert [read.first_at_least(x) for x in (0, int(values[-1]), int(values[-1]) + 1)] == [0, int(np.searchsorted(values, values[-1])), len(values)]
 
 
 def rows(spark, folder):
@@ -72,6 +74,33 @@ def test_token_store_of_nothing_and_nulls(spark):
     assert tokens.token_offsets(docs.limit(0), BPE, 2).count() == 0
 
 
+def test_token_store_has_no_64_bit_tables(spark, folder, tmp_path):
+    """Ids of documents and boundaries take some bits each; any document is found by select."""
+    docs = rows(spark, folder)
+    tokens.write_token_store(docs, str(tmp_path / "store"), BPE, 2, shards=2, segment_ids=20_000)
+    store = spark.read.parquet(str(tmp_path / "store"))
+    size = store.selectExpr("sum(n_docs) AS n", "count(*) AS m", "sum(length(doc_ids)) AS ids", "sum(length(boundaries)) AS bounds").first()
+    assert size.m > 5 and size.ids < 0.6 * 8 * size.n and size.bounds < 0.6 * 8 * size.n
+    want = {}
+    for i, ids in encoded(docs, 2):
+        want.setdefault(i, []).append(ids)
+    asked = [-5, -4, 0, 3, 77, 10_000, 10_005, 999_999]
+    found = sorted((r.doc_id, bytes(r.ids)) for r in tokens.lookup(store, asked).collect())
+    assert found == sorted((i, ids) for i in asked for ids in want.get(i, []))
+
+
+def test_token_store_of_extreme_ids_and_many_null_ones(spark, tmp_path):
+    least, most = -(1 << 63), (1 << 63) - 1
+    texts = [(None, f"text {i % 7}") for i in range(400)] + [(least, "low"), (most, "high"), (0, "x"), (0, "x"), (5, "word " * 30_000)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, id int").withColumns({"digest": F.lit("a"), "split": F.lit(1)})
+    out = sorted(tokens.token_offsets(docs.repartition(5), BPE, 2, shards=4).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [None] * 400 + [least, 0, 0, 5, most]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(out, out[1:], strict=False))
+    tokens.write_token_store(docs.repartition(5), str(tmp_path / "store"), BPE, 2, shards=4)
+    nulls = spark.read.parquet(str(tmp_path / "store")).where("first_id IS NULL OR shard < 3").groupBy("shard").sum("n_docs").collect()
+    assert len(nulls) >= 3 and max(r[1] for r in nulls) < 300
+
+
 def plain_first_fit(lengths, capacity):
     bins, out = [], [None] * len(lengths)
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
@@ -101,15 +130,16 @@ def test_packing(spark, folder):
     for i, texts in wanted.items():
         want = sorted((s, min(4096, len(ids) - 4 * s) // 4, zlib.crc32(ids[4 * s : 4 * s + 4096]), len(ids) // 4) for ids in texts for s in range(0, len(ids) // 4, 1024))
         assert sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in by_doc[i]) == want
+    lengths = {r.sequence_id: (r.tokens, r.padded) for r in packing.sequence_lengths(spark.createDataFrame(found, packing.PIECE)).collect()}
     padded = total = 0
-    for sequence in by_sequence.values():
+    for name, sequence in by_sequence.items():
         at = 0
         for r in sorted(sequence, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 1024
+        assert at <= 1024 and lengths[name] == (at, at if at & (at - 1) == 0 else 1024)
         total += at
-        padded += at if at & (at - 1) == 0 else 1024
+        padded += lengths[name][1]
     assert padded / total < 1.05
 
 
@@ -120,6 +150,13 @@ def test_packing_of_nothing_and_nulls(spark):
     assert packing.pack(docs.limit(0), BPE, 0).count() == 0
 
 
+def test_packing_of_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word " * 50_000), (2, "x" * 300_000), (3, "short")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("nr", "grp", "crcs", "length")})
+    found = packing.pack(docs, BPE, 0).toPandas()
+    of = found.groupby("doc_id")
+    assert (of.length.sum() == of.doc_tokens.max()).all() and of.length.max().max() == 1024 and set(of.groups) == {1, 2, 3}
+
+
 def test_pieces(spark, folder):
     import sentencepiece
 
@@ -136,6 +173,23 @@ def test_pieces(spark, folder):
         assert r.decoded == texts[r.doc_id] == judge.decode(ids) and r.round_trip
 
 
+def test_pieces_tables(spark):
+    """A null id, an empty table, a text far above a batch, and columns of any name."""
+    docs = spark.createDataFrame([(None, "a b"), (1, None), (2, "word\u2581 é  " * 120_000), (2, "x" * 20_000)], "doc_id long, text string").withColumns({"ids": F.lit(1), "parity": F.lit("no")})
+    out = pieces.code_pieces(docs, PIECES, batch_chars=1000).toPandas()
+    assert out.parity.all() and sorted(out.n_pieces)[0] == 0 and out.doc_id.isna().sum() == 1 and out.n_pieces.max() > 400_000
+    assert pieces.code_pieces(docs.limit(0), PIECES).count() == 0
+
+
+def test_parts_come_and_go():
+    """What is remembered is bounded, and forgetting changes nothing."""
+    small, texts = pieces.PieceCoder(PIECES, remembered=50), [f"common words {i} and {i * 7919} {'y' * (i % 90)}\n\u4e2d" for i in range(300)]
+    for i in range(0, 300, 10):
+        ids, decoded, same = small.code_batch(texts[i : i + 10])
+        assert all(same) and decoded == texts[i : i + 10] == small.decode_batch(ids)
+    assert len(small.parts) + len(small.before) < 250 and max(map(len, small.parts)) <= pieces.LONGEST
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_pieces_of_any_text(text):
