@@ -38,6 +38,18 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.select("node", "component")
 
 
+def extended(group: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """``group`` (``node, component``) with further ``links``: only links between its components are worked on."""
+    ends = links.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y"))
+    met = [group.select(F.col("node").alias(f"of_{c}"), F.col("component").alias(f"to_{c}")) for c in ("x", "y")]
+    for c, of in zip(("x", "y"), met, strict=True):
+        ends = ends.join(of, F.col(c) == F.col(f"of_{c}"), "left").withColumn(c, F.coalesce(f"to_{c}", c)).drop(f"of_{c}", f"to_{c}")
+    joined = materialize(components(ends, "x", "y"), "joined-components")
+    top = joined.select(F.col("node").alias("from"), F.col("component").alias("top"))
+    moved = group.join(top, F.col("component") == F.col("from"), "left").select("node", F.coalesce("top", "component").alias("component"))
+    return materialize(moved.unionByName(joined.join(group.select("node"), "node", "left_anti").select("node", "component")), "components")
+
+
 def spanning_links(hit: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> list[tuple[int, int]]:
     """At most a link a row and a column that connect what the matrix of links connects.
 

@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialize
-from .graph import components, spanning_links
+from .graph import components, extended, spanning_links
 
 #: Trees of the forest, hashes of each sorted order, and the shared prefix that makes a region.
 TREES, DEPTH, LEAST = 16, 8, 4
 #: Neighbours on each side that are candidates; regions no larger are covered by them.
 NEAR = 3
-#: Sets of a region compared at a time, and columns of their incidence matrix held at a time.
-CHUNK, COLUMNS = 1024, 2048
+#: Prefixes by which wide regions are made whole, the narrow ones first; the last is ``LEAST``.
+DESCENT = (6, LEAST)
+#: Sets of a region compared at a time, and their bytes; columns of their incidence matrix held at a time.
+CHUNK, CHUNK_BYTES, COLUMNS = 256, 4 << 20, 2048
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -86,32 +88,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, id: str
     those next to each other in a few orders; what these links already join needs no more
     confirmation, which leaves little of a large group.
 
-    Then regions wider than the neighbours' reach are made whole: where one still holds
-    several components, all its sets are compared, however many, in chunks, inside tasks
-    that return no pairs but a spanning forest of the links.  So every pair that shares a
-    prefix of ``LEAST`` values in some order is linked or refused by its full sets, or
-    already connected.  A pair at 85 % shares no such prefix with a chance of 7 in a million.
-
-    Null ids and texts without words link with nothing; rows of one id are one document.
+    Then regions wider than the neighbours' reach are made whole, where they still hold several
+    components: first those of long prefixes, where most of a dense group meets, then, with
+    the components joined so far, those of ``LEAST`` values.  Members of a region that belong
+    to one large component, the others, and sizes too far apart to be alike, are dealt to
+    chunks of their own (``chunk`` sets or 4 MB at most, but for a longer text); chunks of the same
+    component and of unlike sizes never meet.  Two chunks that meet do so inside a task, on
+    full sets, and only a spanning forest of the links found there leaves it.  So every pair
+    that shares a prefix of ``LEAST`` values in some order is linked or refused by its full
+    sets, or already connected.  A pair at 85 % shares no such prefix with a chance of 7 in a
+    million, at 80 % of 2 in 10,000; that is the only loss.
+
+    Null ids and texts without words link with nothing.  Rows of one id are one document:
+    with different texts, ``n_shingles`` is of the row, and what one of them links with, all do.
     Returns a row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``;
-    other columns are ignored.  An empty table gives an empty table.
+    other columns are ignored, whatever their names.  An empty table gives an empty table.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     signed = materialize(rows.mapInArrow(lambda it: _signed(it, words), "id long, n long, digest binary, sig binary"), "signatures")
-    classes = materialize(signed.where("digest IS NOT NULL AND id IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    named = signed.where("digest IS NOT NULL AND id IS NOT NULL")
+    classes = materialize(named.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     forest = materialize(_forest(classes, percent), "forest")
     pairs = materialize(forest.where("b IS NOT NULL").groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
 
+    # Several texts of one id: their classes are linked by the id.
+    several = named.groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select(F.col("id").alias("of"))
+    own = materialize(named.join(several, F.col("id") == F.col("of"), "left_semi").select("id", F.col("digest").alias("d")), "own-texts")
+    own = own.join(classes.select("digest", "rep"), F.col("d") == F.col("digest")).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+
     confirm = _Confirm(rows, percent, words)
-    links = confirm(pairs.where("first"))
-    group = materialize(components(links, "a", "b"), "components")
-    open_pairs = _across(pairs.where("NOT first").select("a", "b"), group)
-    links = links.unionByName(confirm(open_pairs))
-    group = materialize(components(links, "a", "b"), "components")
-    wide = _wide_regions(forest, rows, group, percent, words, chunk)
-    if not wide.isEmpty():
-        links = links.unionByName(wide)
-        group = materialize(components(links, "a", "b"), "components")
+    group = materialize(components(confirm(pairs.where("first")).unionByName(own), "a", "b"), "components")
+    group = extended(group, confirm(_across(pairs.where("NOT first").select("a", "b"), group)), "a", "b")
+    for depth in DESCENT:
+        links = _wide_regions(forest, rows, group, percent, words, chunk, depth)
+        if links is not None:
+            group = extended(group, links, "a", "b")
 
     of_class = classes.join(group, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("component", "rep").alias("c"))
     out = signed.drop("sig").join(of_class, F.col("digest") == F.col("d"), "left")
@@ -124,12 +135,11 @@ def _forest(classes: DataFrame, percent: int) -> DataFrame:
     parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = classes.select("rep", "n", F.posexplode(F.array(*[F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)])).alias("tree", "key"))
     order = keys.select("tree", "key", "rep", "n").repartitionByRange(parts, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return order.mapInArrow(lambda it: _neighbours(it, percent), "tree int, prefix binary, a long, b long, first boolean, edge boolean")
+    return order.mapInArrow(lambda it: _neighbours(it, percent), "tree int, prefix binary, a long, n long, b long, first boolean, edge boolean")
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Compares each row of a sorted partition with the ``NEAR`` rows before it."""
-    kinds = {"tree": pa.int32(), "prefix": pa.binary(), "a": pa.int64(), "b": pa.int64(), "first": pa.bool_(), "edge": pa.bool_()}
     held: tuple | None = None  # the last rows of what came before
     pending: pa.RecordBatch | None = None
 
@@ -137,14 +147,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         key = np.frombuffer(b"".join(batch["key"].to_pylist()), ">u4").reshape(len(batch), DEPTH)
         return batch["tree"].to_numpy(), key, batch["rep"].to_numpy(), batch["n"].to_numpy()
 
-    def members(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, shared: np.ndarray, at_edge: np.ndarray) -> pa.RecordBatch:
+    def members(tree: np.ndarray, key: np.ndarray, rep: np.ndarray, n: np.ndarray, shared: np.ndarray, at_edge: np.ndarray) -> pa.RecordBatch:
         """shared: whether a row shares its prefix with the next."""
         inside = at_edge.copy()
         inside[:-1] |= shared
         inside[1:] |= shared
         at = np.flatnonzero(inside)
         return pa.record_batch({
-            "tree": pa.array(tree[at], pa.int32()), "prefix": pa.array([key[i, :LEAST].tobytes() for i in at], pa.binary()), "a": pa.array(rep[at], pa.int64()),
+            "tree": pa.array(tree[at], pa.int32()), "prefix": pa.array([key[i, : DESCENT[0]].tobytes() for i in at], pa.binary()), "a": pa.array(rep[at], pa.int64()), "n": pa.array(n[at], pa.int64()),
             "b": pa.nulls(len(at), pa.int64()), "first": pa.array(np.zeros(len(at), bool)), "edge": pa.array(at_edge[at]),
         })
 
@@ -168,7 +178,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 i = np.flatnonzero(close & (rep[gap:] != rep[:-gap]))
                 if len(i):
                     yield pa.record_batch({
-                        "tree": pa.array(tree[i], pa.int32()), "prefix": pa.nulls(len(i), pa.binary()), "a": pa.array(np.minimum(rep[i], rep[i + gap])),
+                        "tree": pa.array(tree[i], pa.int32()), "prefix": pa.nulls(len(i), pa.binary()), "a": pa.array(np.minimum(rep[i], rep[i + gap])), "n": pa.nulls(len(i), pa.int64()),
                         "b": pa.array(np.maximum(rep[i], rep[i + gap])), "first": pa.array((tree[i] < 3) & (gap == 1)), "edge": pa.array(np.zeros(len(i), bool)),
                     })
             # Regions at either end of the partition may go on in another.
@@ -178,7 +188,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 at_edge |= same(0)
             if batch is None:
                 at_edge |= same(-1)
-            found = members(tree, key, rep, shared, at_edge)
+            found = members(tree, key, rep, n, shared, at_edge)
             # Rows held over come again with the next batch; members are made distinct later.
             if len(found):
                 yield found
@@ -236,32 +246,43 @@ def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _wide_regions(forest: DataFrame, rows: DataFrame, group: DataFrame, percent: int, words: int, chunk: int) -> DataFrame:
-    """Links between different components in regions that neighbours do not cover.
-
-    Sets meet inside a task, a chunk with another of the region, and only a spanning forest
-    of the links found there leaves it.
-    """
-    members = forest.where("b IS NULL").groupBy("tree", "prefix", "a").agg(F.max("edge").alias("edge")).join(group, F.col("a") == F.col("node"), "left")
-    members = materialize(members.select("tree", "prefix", "edge", F.col("a").alias("rep"), F.coalesce("component", "a").alias("c")), "regions")
-    region = members.groupBy("tree", "prefix").agg(F.count("*").alias("size"), F.max("edge").alias("at_edge"), F.min("c").alias("low"), F.max("c").alias("high"))
-    region = materialize(region.where(F.expr(f"low <> high AND (size > {NEAR + 1} OR at_edge)")).select("tree", "prefix", F.ceil(F.col("size") / chunk).alias("chunks")), "wide-regions")
-    place = F.pmod(F.xxhash64("rep"), "chunks")
-    inside = materialize(members.join(region, ["tree", "prefix"]).select("tree", "prefix", "rep", "c", "chunks", place.alias("own")), "wide-members")
+def _wide_regions(forest: DataFrame, rows: DataFrame, group: DataFrame, percent: int, words: int, chunk: int, depth: int) -> DataFrame | None:
+    """Links between different components in regions of ``depth`` values that neighbours do not cover; None if there are no such regions."""
+    region, block, cell = ["tree", "prefix"], ["tree", "prefix", "size", "alone", "of"], ["tree", "prefix", "i", "j"]
+    found = forest.where("b IS NULL").select("tree", F.substring("prefix", 1, 4 * depth).alias("prefix"), F.col("a").alias("rep"), "n", "edge")
+    members = found.groupBy(*region, "rep").agg(F.max("n").alias("n"), F.max("edge").alias("edge")).join(group, F.col("rep") == F.col("node"), "left")
+    # Of two sizes as far apart as the threshold allows, the logarithms to this base differ by one at most.
+    base = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1e-9
+    members = materialize(members.select(*region, "rep", "n", "edge", F.coalesce("component", "rep").alias("c"), F.floor(F.log("n") / base).cast("long").alias("size")), "regions")
+    wide = members.groupBy(*region).agg(F.count("*").alias("held"), F.max("edge").alias("at_edge"), F.min("c").alias("low"), F.max("c").alias("high"))
+    wide = materialize(wide.where(f"low <> high AND (held > {NEAR + 1} OR at_edge)").select(*region), "wide-regions")
+    inside = materialize(members.join(wide, region, "left_semi").drop("edge"), "wide-members")
     if inside.isEmpty():
-        return inside.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    sets = _sets_of(rows, inside.select(F.col("rep").alias("w")).distinct(), words)
-    held = inside.join(sets, F.col("rep") == F.col("id")).drop("id")
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    cells = dealt.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "c", "shingles")
-    found = cells.groupBy("tree", "prefix", "i", "j").applyInPandas(lambda pdf: _compare_sets(pdf, percent), "a long, b long")
-    return materialize(found.distinct(), "wide-links")
+        return None
+
+    # A component with much of a region has blocks of its own there; the others are mixed.
+    own = inside.groupBy(*region, "size", "c").agg(F.count("*").alias("held")).where(F.col("held") * 2 >= chunk).drop("held").withColumn("alone", F.lit(True))
+    alone = F.coalesce("alone", F.lit(False))
+    blocked = inside.join(materialize(own, "own-blocks"), [*region, "size", "c"], "left").select(*region, "size", "rep", "n", "c", alone.alias("alone"), F.when(alone, F.col("c")).otherwise(0).alias("of"))
+    blocks = blocked.groupBy(*block).agg(F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") * 8 / CHUNK_BYTES)).alias("chunks"))
+    blocks = materialize(blocks, "blocks")
+    name = lambda k: F.xxhash64("size", "alone", "of", k).alias("name")
+    placed = blocked.join(blocks, block).select(*region, name(F.pmod(F.xxhash64("rep"), "chunks")), "rep", "c")
+    chunks = blocks.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(*block, name(F.col("k")))
+    one, other = (chunks.select(*region, *[F.col(c).alias(f"{c}_{x}") for c in ("size", "alone", "of", "name")]) for x in ("i", "j"))
+    alike = F.col("alone_i") & F.col("alone_j") & (F.col("of_i") == F.col("of_j"))
+    near = one.join(other, region).where((F.col("name_i") <= F.col("name_j")) & (F.abs(F.col("size_i") - F.col("size_j")) <= 1) & ~alike)
+    cells = near.select(*region, F.col("name_i").alias("i"), F.col("name_j").alias("j"))
+    dealt = cells.withColumn("name", F.explode(F.array_distinct(F.array("i", "j"))))
+    asked = materialize(placed.join(dealt, [*region, "name"]), "wide-cells")
+    sets = _sets_of(rows, asked.select(F.col("rep").alias("w")).distinct(), words)
+    held = asked.join(sets, F.col("rep") == F.col("id")).select(*cell, F.col("name").alias("own"), "rep", "c", "shingles")
+    return materialize(held.groupBy(*cell).applyInPandas(lambda pdf: _compare_sets(pdf, percent), "a long, b long").distinct(), "wide-links")
 
 
 def _compare_sets(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Exact similarities of all sets of one chunk with those of another, as a product of incidence matrices."""
-    i, j = pdf["own"].min(), pdf["own"].max()
-    sides = [pdf[pdf["own"] == x] for x in ([i] if i == j else [i, j])]
+    sides = [pdf[pdf["own"] == x] for x in pdf["own"].unique()]
     sets = [[np.frombuffer(v, np.uint64) for v in x["shingles"]] for x in sides]
     sizes = [np.array([len(v) for v in x], dtype=np.int64) for x in sets]
     _, where, counts = np.unique(np.concatenate([v for x in sets for v in x]), return_inverse=True, return_counts=True)
