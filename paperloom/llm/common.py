@@ -1,13 +1,14 @@
-"""Shared plumbing of the training-data operators: tables, shared storage, column hygiene."""
+"""Shared plumbing of the training-data operators: tables, shared storage, names of columns."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: The ASCII white space of the contracts, and the ASCII letters.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,29 +18,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is ``spark.checkpoint.dir`` where the cluster names one; a temporary folder is only
-    chosen where nothing is set, as in local tests.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="paperloom-"))
-    return sc.getCheckpointDir().rstrip("/")
+_written: dict[str, list[str]] = {}
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, sizes are known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> list[str]:
+    """The folders that this application has materialised and not removed."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def clear_scratch(spark: SparkSession, *needed: DataFrame, since: list[str]) -> None:
+    """Removes what was materialised after ``since`` was taken from ``scratch``, but for the files that ``needed`` reads.
+
+    For callers that have written a result: a DataFrame that an operator returned reads such
+    files until then.
+    """
+    files = {file for df in needed for file in df.inputFiles()}
+    for path in scratch(spark):
+        if path in since or any(path.rsplit("/", 1)[-1] in file for file in files):
+            continue
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _written[spark.sparkContext.applicationId].remove(path)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``df`` has already."""
+    taken, free = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        free.append(name)
+    return free
+
+
+def own_columns(df: DataFrame, *new: str) -> Column:
+    """The columns of ``df`` but those named ``new`` (in any case) as one struct, which no other name can clash with."""
+    given_way = {name.lower() for name in new}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in given_way]
+    return F.struct(*(kept or [F.lit(None).cast("string").alias("nothing")]))
+
+
+def unpacked(df: DataFrame, own: str, *rest: Column | str) -> DataFrame:
+    """The columns in the struct ``own``, then the others."""
+    return df.select(*[F.col(own).getField(c).alias(c) for c in df.schema[own].dataType.names if len(df.schema[own].dataType) > 1 or c != "nothing"], *rest)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only.  ``lower`` does just that, and faster, where all is ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

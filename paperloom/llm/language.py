@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, with_columns
+from .common import materialize, own_columns, unpacked, with_columns
 
 #: Buckets of byte triples.
 TRIPLES = 4096
@@ -64,36 +64,37 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
 
     Host priors are joined by host: Catalyst broadcasts them if small, AQE splits hot hosts
     otherwise.  Returns the columns of ``docs``, then ``language, language_probability,
-    text_language, keep``; columns of these names in ``docs`` give way.  ``keep`` is false
+    text_language, keep``; columns of these names in ``docs`` give way, all others stay,
+    whatever their names.  Every row is judged, on its whole text, repeated rows and null ids
+    too; of equally likely languages the first by name is taken.  ``keep`` is false
     where the text has no letters at all, or the probability is under ``keep_above``.  Null
     and empty texts have only their other evidence, and are not kept.  If no language is
-    known, ``language`` is null and nothing is kept.
+    known, ``language`` is null and nothing is kept.  An empty table gives an empty table.
     """
     null = F.lit(None).cast("string")
     of = lambda c: F.col(f"`{c}`").cast("string") if c else null
-    base = with_columns(docs, {"__text": of(text), "__declared": F.nullif(F.trim(F.lower(of(declared))), F.lit("")), "__host": F.lower(of(host)), "__suffix": F.lower(of(suffix))})
+    taken = ("language", "language_probability", "text_language", "keep")
+    base = docs.select(own_columns(docs, *taken).alias("own"), of(text).alias("text"), F.nullif(F.trim(F.lower(of(declared))), F.lit("")).alias("declared"), F.lower(of(host)).alias("host"), F.lower(of(suffix)).alias("suffix"))
     if languages is None:
-        languages = sorted(r[0] for r in base.where("__declared IS NOT NULL").select("__declared").distinct().collect())  # a language a row
+        languages = sorted(r[0] for r in base.where("declared IS NOT NULL").select("declared").distinct().collect())  # a language a row
     size = len(languages)
     names = F.array(*map(F.lit, languages)).cast("array<string>")
-    sums = base.where(F.col("__declared").isin(languages)).select("__text", "__declared").mapInArrow(_counted, "lang string, bucket int, n long")
+    sums = base.where(F.col("declared").isin(languages)).select("text", "declared").mapInArrow(_counted, "lang string, bucket int, n long")
     table, at = np.full((max(1, size), TRIPLES), 0.0), {lang: i for i, lang in enumerate(languages)}
     for r in sums.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas().itertuples():  # languages x buckets at most
         table[at[r.lang], r.bucket] = r.n
     smooth = table + 0.5
     logs = docs.sparkSession.sparkContext.broadcast(np.log(smooth / smooth.sum(axis=1, keepdims=True)))
 
-    taken = ("language", "language_probability", "text_language", "keep")
-    own = [c for c in base.columns if not c.startswith("__") and c.lower() not in taken]
-    schema = base.select(*own, "__declared", "__host", "__suffix").schema.add("__loglik", T.ArrayType(T.DoubleType())).add("__letters", "boolean")
-    carried = [*own, "__declared", "__host", "__suffix"]
-    seen = base.select(*carried, "__text").mapInArrow(lambda it: _likelihoods(it, logs, carried, size), schema)
+    carried = ["own", "declared", "host", "suffix"]
+    schema = base.select(*carried).schema.add("loglik", T.ArrayType(T.DoubleType())).add("letters", "boolean")
+    seen = base.select(*carried, "text").mapInArrow(lambda it: _likelihoods(it, logs, carried, size), schema)
 
-    best = F.array_position("__loglik", F.array_max("__loglik")) - 1
-    votes = base.select("__host", "__text").mapInArrow(lambda it: _votes(it, logs, size), "host string, best int, n long").groupBy("host", "best").agg(F.sum("n").alias("n"))
+    best = F.array_position("loglik", F.array_max("loglik")) - 1
+    votes = base.select("host", "text").mapInArrow(lambda it: _votes(it, logs, size), "host string, best int, n long").groupBy("host", "best").agg(F.sum("n").alias("n"))
     votes = materialize(votes, "language-votes")
     priors = _priors(votes, size)
-    joined = seen.join(priors, F.col("__host").eqNullSafe(F.col("prior_host")), "left").withColumn("__best", F.when(F.col("__letters"), best))
+    joined = seen.join(priors, F.col("host").eqNullSafe(F.col("prior_host")), "left").withColumn("best", F.when(F.col("letters"), best))
 
     def named(column: str, chance: float) -> Column:
         """Log chance of the evidence under each language."""
@@ -104,24 +105,24 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     # A row's vote is one of its host's: out of the counts, with the smoothing kept.
     flat = F.array_repeat(F.lit(1.0 / max(1, size)), size)
     smoothed = F.coalesce("prior", flat)
-    mine = F.transform(smoothed, lambda p, i: F.log(F.greatest(F.lit(1e-6), (p * F.coalesce("weight", F.lit(1.0)) - F.when(i == F.col("__best"), 1.0).otherwise(0.0)))))
-    fused = joined.withColumn("__score", F.zip_with(F.zip_with("__loglik", named("__declared", DECLARED), lambda a, b: a + b), F.zip_with(named("__suffix", SUFFIX), mine, lambda a, b: a + b), lambda a, b: a + b))
-    top = F.array_max("__score")
-    fused = fused.withColumns({"__top": top, "__sum": F.aggregate(F.transform("__score", lambda s: F.exp(s - top)), F.lit(0.0), lambda a, b: a + b)})
-    language = F.try_element_at(names, F.array_position("__score", F.col("__top")).cast("int")) if size else null
-    chance = (1 / F.col("__sum")) if size else F.lit(0.0)
+    mine = F.transform(smoothed, lambda p, i: F.log(F.greatest(F.lit(1e-6), (p * F.coalesce("weight", F.lit(1.0)) - F.when(i == F.col("best"), 1.0).otherwise(0.0)))))
+    fused = joined.withColumn("score", F.zip_with(F.zip_with("loglik", named("declared", DECLARED), lambda a, b: a + b), F.zip_with(named("suffix", SUFFIX), mine, lambda a, b: a + b), lambda a, b: a + b))
+    top = F.array_max("score")
+    fused = fused.withColumns({"top": top, "sum": F.aggregate(F.transform("score", lambda s: F.exp(s - top)), F.lit(0.0), lambda a, b: a + b)})
+    language = F.try_element_at(names, F.array_position("score", F.col("top")).cast("int")) if size else null
+    chance = (1 / F.col("sum")) if size else F.lit(0.0)
     out = fused.select(
-        *[f"`{c}`" for c in own], language.alias("language"), chance.alias("language_probability"),
-        (F.when(F.col("__letters"), F.get(names, F.col("__best").cast("int"))) if size else null).alias("text_language"), "__letters",
+        "own", language.alias("language"), chance.alias("language_probability"),
+        (F.when(F.col("letters"), F.get(names, F.col("best").cast("int"))) if size else null).alias("text_language"), "letters",
     )
-    keep = F.col("__letters") & (F.col("language_probability") >= keep_above) & F.col("language").isNotNull()
-    return out.withColumn("keep", keep).drop("__letters")
+    keep = F.col("letters") & (F.col("language_probability") >= keep_above) & F.col("language").isNotNull()
+    return unpacked(out.withColumn("keep", keep), "own", *taken)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        for text, lang in zip(batch["__text"].to_pylist(), batch["__declared"].to_pylist(), strict=True):
+        for text, lang in zip(batch["text"].to_pylist(), batch["declared"].to_pylist(), strict=True):
             counts.setdefault(lang, np.zeros(TRIPLES, dtype=np.int64))
             counts[lang] += np.bincount(triples(text), minlength=TRIPLES)
     for lang, n in counts.items():
@@ -143,17 +144,17 @@ def _has_letters(text: str | None) -> bool:
 def _likelihoods(batches: Iterator[pa.RecordBatch], shared, carried: list[str], size: int) -> Iterator[pa.RecordBatch]:
     logs = shared.value
     for batch in batches:
-        texts = batch["__text"].to_pylist()
+        texts = batch["text"].to_pylist()
         rows = [_loglik(t, logs, size) for t in texts]
         flat = np.concatenate(rows) if rows else np.zeros(0)
         lists = pa.ListArray.from_arrays(np.arange(0, len(texts) * size + 1, max(1, size), dtype=np.int32) if size else np.zeros(len(texts) + 1, dtype=np.int32), flat)
-        yield pa.RecordBatch.from_arrays([*[batch[c] for c in carried], lists, pa.array([_has_letters(t) for t in texts], pa.bool_())], [*carried, "__loglik", "__letters"])
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in carried], lists, pa.array([_has_letters(t) for t in texts], pa.bool_())], [*carried, "loglik", "letters"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
     logs, counts = shared.value, {}
     for batch in batches:
-        for text, host in zip(batch["__text"].to_pylist(), batch["__host"].to_pylist(), strict=True):
+        for text, host in zip(batch["text"].to_pylist(), batch["host"].to_pylist(), strict=True):
             if size and _has_letters(text):
                 key = host, int(np.argmax(_loglik(text, logs, size)))
                 counts[key] = counts.get(key, 0) + 1

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ascii_lower, materialize, with_columns
-
-ID, DIGEST, DROP, LINES = "__line_id", "__line_digest", "__line_drop", "__lines"
+from .common import ASCII_SPACE, ascii_lower, free_names, materialize, with_columns
 
 
 def _lines(text: Column) -> Column:
@@ -52,8 +50,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_doc
     Every row is a document, repeated rows too.  Null and empty texts are one empty line.
     Keys shorter than ``min_chars`` code points stay.  Returns the columns of ``docs`` with
     the new text, then ``n_lines`` (before) and ``n_dropped``; columns of these names in
-    ``docs`` give way.  A null text stays null.  An empty table gives an empty table.
+    ``docs`` give way, all others stay, whatever their names.  A null text stays null, rows
+    with a null id are cut like others.  An empty table gives an empty table.
     """
+    ID, DIGEST, DROP, LINES, HIT_ID, HIT_DIGEST = free_names(docs, "line_id", "line_digest", "line_drop", "lines", "hit_id", "hit_digest")
     frequent = materialize(frequent_lines(docs, text, min_docs, min_chars), "frequent-lines").select("h1", "h2")
     column, key = F.col(f"`{text}`"), F.col(f"`{id}`")
     hits = (
@@ -63,10 +63,10 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_doc
         .join(frequent, ["h1", "h2"], "left_semi")
         .groupBy(ID, DIGEST).agg(F.sort_array(F.collect_set("pos")).alias(DROP))
     )
-    hits = hits.select(F.col(ID).alias("__hit_id"), F.col(DIGEST).alias("__hit_digest"), DROP).hint("shuffle_hash")
+    hits = hits.select(F.col(ID).alias(HIT_ID), F.col(DIGEST).alias(HIT_DIGEST), DROP).hint("shuffle_hash")
     marked = docs.withColumns({ID: key, DIGEST: F.xxhash64(column)})
     cut = (
-        marked.join(hits, F.col(ID).eqNullSafe(F.col("__hit_id")) & (F.col(DIGEST) == F.col("__hit_digest")), "left")
+        marked.join(hits, F.col(ID).eqNullSafe(F.col(HIT_ID)) & (F.col(DIGEST) == F.col(HIT_DIGEST)), "left")
         .withColumns({LINES: _lines(column), DROP: F.coalesce(DROP, F.array().cast("array<int>"))})
     )
     kept = F.zip_with(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_columns
+from .common import materialize, own_columns, unpacked
 
 #: Buckets of byte pairs in the text view, and of languages and sources in the metadata view.
 PAIRS, LANGS, SOURCES = 256, 8, 32
@@ -300,29 +300,28 @@ def classify(docs: DataFrame, labels: DataFrame, keep_above: float = 0.5, id: st
     Every row is scored on its whole text, in the task that reads it.
     Returns the columns of ``docs``, then ``quality`` (combined probability of good quality),
     ``text_quality, meta_quality`` (each view, calibrated) and ``keep`` (``quality >=
-    keep_above``); columns of these names in ``docs`` give way.  Null and blank texts have
-    nothing to keep: quality 0.  Null languages and sources are a value of their own.  With
+    keep_above``, so a score of just that stays); columns of these names in ``docs`` give
+    way, all others stay, whatever their names.  Repeated rows are scored alike, null ids like
+    others.  Null and blank texts have nothing to keep: quality 0.  Null languages and sources are a value of their own.  With
     no usable labels every other document has quality 1.  An empty table stays empty.
     """
     model = train(docs, labels, id, text, lang, source, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = {"quality": "double", "text_quality": "double", "meta_quality": "double", "keep": "boolean"}
-    base = with_columns(docs, {f"__{n}": F.col(f"`{c}`").cast("string") for n, c in (("text", text), ("lang", lang), ("source", source))})
-    base = base.select(*[c for c in base.columns if c.lower() not in added])
-    kept = [c for c in base.columns if not c.startswith("__")]
-    schema = base.select(*kept).schema
+    base = docs.select(own_columns(docs, *added).alias("own"), *[F.col(f"`{c}`").cast("string").alias(n) for n, c in (("text", text), ("lang", lang), ("source", source))])
+    schema = base.select("own").schema
     for name, kind in added.items():
         schema = schema.add(name, kind)
-    return base.mapInArrow(lambda it: _classified(it, shared, keep_above, kept), schema)
+    return unpacked(base.mapInArrow(lambda it: _classified(it, shared, keep_above), schema), "own", *added)
 
 
-def _classified(batches: Iterator[pa.RecordBatch], shared, keep_above: float, kept: list[str]) -> Iterator[pa.RecordBatch]:
+def _classified(batches: Iterator[pa.RecordBatch], shared, keep_above: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = list(_rows(*[batch[f"__{c}"].to_pylist() for c in ("text", "lang", "source")]))
+        rows = list(_rows(*[batch[c].to_pylist() for c in ("text", "lang", "source")]))
         blank = np.array([not d.strip() for d, _, _ in rows], dtype=bool)
         scores = [np.ones(len(rows))] * 3
         if shared.value is not None and len(rows):
             scores = shared.value.scores(np.stack([text_view(d) for d, _, _ in rows]), np.stack([meta_view(*r) for r in rows]))
         scores = [np.where(blank, 0.0, s) for s in scores]
-        columns = [*[batch[c] for c in kept], *[pa.array(s, pa.float64()) for s in scores], pa.array(scores[0] >= keep_above)]
-        yield pa.RecordBatch.from_arrays(columns, [*kept, "quality", "text_quality", "meta_quality", "keep"])
+        columns = [batch["own"], *[pa.array(s, pa.float64()) for s in scores], pa.array(scores[0] >= keep_above)]
+        yield pa.RecordBatch.from_arrays(columns, ["own", "quality", "text_quality", "meta_quality", "keep"])

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, with_columns
+from .common import ascii_lower, free_names, with_columns
 
 SCHEMA = "rule string, is_host boolean, pattern string, verdict string, literals array<string>"
 
@@ -71,8 +71,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     "allow".  Null URLs and those without ``://`` have an empty host and path; they fit
     nothing but literal-free patterns.  Returns the columns of ``pages``, then ``host,
     path, rule`` (of the host rule, else null), ``verdict`` and ``pattern_rule`` (smallest
-    fitting one, else null); columns of these names in ``pages`` give way.
+    fitting one, else null); columns of these names in ``pages`` give way, all others stay,
+    whatever their names.  Repeated rows are judged alike.  An empty table gives an empty
+    table, an empty set of rules allows everything.
     """
+    judged, by_host, by_pattern = free_names(pages, "judged", "by_host", "by_pattern")
     column = F.col(f"`{url}`")
     host, path = _parts(column)
     seen = pages.select(column.alias("url")).where("url IS NOT NULL").distinct()
@@ -91,14 +94,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     )
     fits = asked.join(index, "token").where(F.expr("target RLIKE pattern"))
     best = fits.groupBy("url").agg(
-        F.min(F.when(F.col("is_host"), F.struct((-F.length("rule")).alias("n"), "rule", (F.col("verdict") != "block").alias("ok"), "verdict"))).alias("__by_host"),
-        F.min(F.when(~F.col("is_host"), F.struct((F.col("verdict") != "block").alias("ok"), "rule", "verdict"))).alias("__by_pattern"),
+        F.min(F.when(F.col("is_host"), F.struct((-F.length("rule")).alias("n"), "rule", (F.col("verdict") != "block").alias("ok"), "verdict"))).alias(by_host),
+        F.min(F.when(~F.col("is_host"), F.struct((F.col("verdict") != "block").alias("ok"), "rule", "verdict"))).alias(by_pattern),
     )
-    joined = pages.join(best.withColumnRenamed("url", "__judged"), column == F.col("__judged"), "left")
+    joined = pages.join(best.withColumnRenamed("url", judged), column == F.col(judged), "left")
     return with_columns(joined, {
-        "host": host, "path": path, "rule": F.col("__by_host.rule"),
-        "verdict": F.coalesce("__by_host.verdict", "__by_pattern.verdict", F.lit("allow")), "pattern_rule": F.col("__by_pattern.rule"),
-    }).drop("__judged", "__by_host", "__by_pattern")
+        "host": host, "path": path, "rule": F.col(f"{by_host}.rule"),
+        "verdict": F.coalesce(f"{by_host}.verdict", f"{by_pattern}.verdict", F.lit("allow")), "pattern_rule": F.col(f"{by_pattern}.rule"),
+    }).drop(judged, by_host, by_pattern)
 
 
 def _parts(url: Column) -> tuple[Column, Column]:

@@ -1,10 +1,11 @@
 """Quality and language on held-out rows, their edge cases, and the pipeline."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from paperloom.llm import language, quality
+from paperloom.llm import language, lines, quality, urls
 
 BIG = "/root/testdata/sf0.01"
 
@@ -37,6 +38,33 @@ def test_quality_edges(spark):
     assert quality.classify(docs, spark.createDataFrame([(2, 1), (2, None), (None, 0)], labels.schema)).count() == 5
 
 
+CLASHES = ("__text", "__host", "own", "text_", "prior", "weight", "best", "top", "loglik", "line_id", "__line_id", "hit_id", "judged", "by_host", "__judged")
+
+
+def clashing(df):
+    """Extra columns with the names that operators use inside, now or once."""
+    return df.withColumns({c: F.lit(99) for c in CLASHES})
+
+
+def test_columns_of_any_name_stay(spark):
+    rows = [(1, "the cat and the dog", "en", "a.b", "http://x.net/a"), (1, "the cat and the dog", "en", "a.b", "http://x.net/a"), (None, None, None, None, None)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, url string"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    for out in (quality.classify(docs, labels), language.identify(docs), lines.dedup_lines(docs), urls.judge_urls(docs, urls.default_rules(spark))):
+        found = out.collect()
+        assert out.columns[: len(docs.columns)] == docs.columns and len(found) == 3
+        assert {r[c] for r in found for c in CLASHES} == {99}
+
+
+def test_language_ties_and_very_long_texts(spark):
+    """Of equally likely languages the first by name is taken; a text is judged whole, however long."""
+    rows = [(1, "aaa", "xx", None), (2, "aaa", "yy", None), (3, "aaa", None, None)] + [(4, "123 " * 50_000 + "der hund und die katze " * 20_000, None, None)]
+    rows += [(10 + i, "der hund und die katze im garten", "de", "h") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in language.identify(docs).collect()}
+    assert out[4].language == "de" and out[4].keep and out[3].text_language == "xx"
+
+
 def test_co_training_uses_the_whole_pool_and_rare_classes(spark):
     docs = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 300 = 7, repeat('$$ 77 ', 20 + id % 40), concat_ws(' ', 'plain words of a fine text', id, 'and', id * 7919 % 1000, 'more of them')) AS text", "'en' AS lang", "'s' AS source")
     labels = docs.where("doc_id < 1500").selectExpr("doc_id", "IF(doc_id % 300 = 7, 0, 1) AS quality")
@@ -92,9 +120,29 @@ def test_pipeline(spark, folder):
 
 
 def test_pipeline_edges(spark, folder):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (4, "word " * 50_000, "en", None, 5)]
-    for part in (rows, []):
-        docs = spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long")
-        for name, stage in corpus_pipeline.STAGES:
-            docs = corpus_pipeline.materialize(stage(spark, docs, folder), f"edge-{name.replace(' ', '-')}")
-        assert docs.count() >= 0
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a b c", "en", "s", 5), (3, "a b c", "en", "s", 5), (None, "some words without an id", "en", "s", 5), (4, "word " * 50_000, "en", None, 5)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, shape)
+    scored = quality.classify(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    kept = corpus_pipeline.quality_classifier(spark, docs, folder)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in scored.where("keep").select(*docs.columns).collect())
+    named = corpus_pipeline.language_id(spark, docs, folder)
+    assert named.columns == docs.columns and {r.doc_id for r in named.collect()} == {None, 3, 4} and named.count() == 4
+    cut = corpus_pipeline.line_dedup(spark, docs, folder)
+    assert cut.columns == docs.columns and cut.count() == 6 and {r.n_chars for r in cut.where("text IS NULL").collect()} == {None}
+    one = corpus_pipeline.near_dedup(spark, docs, folder)
+    assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "2", "3", "3", "4", "None"]  # rows of one id are one document
+    packed = corpus_pipeline.pack(spark, docs, folder).toPandas()
+    assert packed.length.sum() == packed.groupby(["doc_id", "sequence_id", "offset"], dropna=False).length.sum().sum() and packed.doc_id.isna().sum() == 1 and (packed[packed.doc_id < 3].length == 1).all()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+def test_scratch_is_cleared(spark):
+    old = corpus_pipeline.materialize(spark.range(2), "old")
+    before = corpus_pipeline.scratch(spark)
+    kept, gone = (corpus_pipeline.materialize(spark.range(3), name) for name in ("kept", "gone"))
+    corpus_pipeline.clear_scratch(spark, kept, since=before)
+    assert kept.count() == 3 and old.count() == 2
+    with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist"):
+        gone.collect()

@@ -142,6 +142,35 @@ def test_near_documents(spark, options):
     check_docs(spark, rows, **options)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_of_planted_pairs(spark, percent):
+    """Of thousands of pairs near the threshold those at or above it are linked, and none below it."""
+    random.seed(percent)
+    rows, alike = [], []
+    for i in range(2500):
+        base = [f"{random.randrange(1 << 30):x}" for _ in range(random.randrange(60, 200))]
+        copy = list(base)
+        for at in random.sample(range(len(base)), random.randrange(1, 4)):
+            copy[at] = "changed"
+        copy += random.choices(base, k=random.randrange(0, 8))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, copy))
+        alike.append(len(a & b) / len(a | b))
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+    near = [i for i, s in enumerate(alike) if 100 * s >= percent]
+    close = [i for i in near if 100 * alike[i] < percent + 10]
+    assert len(close) > 600 and sum(found[2 * i + 1] == 2 * i for i in near) >= 0.999 * len(near)
+    assert {found[2 * i + 1] for i in range(2500) if i not in set(near)} == {2 * i + 1 for i in range(2500) if i not in set(near)}
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    """Each row has the set of its own text; what one of the texts links with, all do."""
+    a, b, c = ("one two three four five six seven", "other words are in this text here now", "and a third text of seven words now")
+    rows = [(5, a), (1, a), (5, b), (9, b), (9, c), (7, "nothing like the others is written in here")]
+    out = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == [(1, 1, True, 3), (5, 1, False, 3), (5, 1, False, 4), (7, 7, True, 4), (9, 1, False, 4), (9, 1, False, 4)]
+
+
 def test_near_documents_tables(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (1, "other words in this text here")]
     out = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))).collect()), key=str)
