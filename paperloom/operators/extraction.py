@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from statistics import median
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,27 +101,43 @@ def tax_id_key(text: Column) -> Column:
     return F.nullif(F.upper(F.regexp_replace(text, "[^0-9A-Za-z]", "")), F.lit(""))
 
 
-def resolve_vendors(docs: DataFrame, vendors: DataFrame, least: float = 85.0) -> DataFrame:
-    """The vendor of each document (``doc_id, name, tax_id``): by tax id, by equal name, by likeness; or none.
+def vendor_candidates(named: DataFrame, vendors: DataFrame, least: float = 0.2, most: int = 25) -> DataFrame:
+    """The ``most`` vendors whose names share most letter triples with each ``key``, by at least ``least`` of all.
 
-    Likeness is only measured for pairs that share one of the three rarest letter triples of
-    the printed name, so names meet few vendors, by an equi-join; the scores are an Arrow UDF.
+    ``named`` has distinct ``key``; ``vendors`` have ``vendor_id, v_key``.  Shared triples are
+    counted by an equi-join on all of them, pre-aggregated before the last shuffle, so no vendor
+    of enough similarity is missed; AQE splits the join of a common triple.
+    """
+    distinct = vendors.select("v_key").where("v_key <> ''").distinct()
+    left = named.select("key", trigrams(F.col("key")).alias("g")).select("key", F.size("g").alias("n"), F.explode("g").alias("gram"))
+    right = distinct.select("v_key", trigrams(F.col("v_key")).alias("g")).select("v_key", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    shared = left.join(right, "gram").groupBy("key", "v_key", "n", "m").agg(F.count("*").alias("shared"))
+    alike = shared.withColumn("alike", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where(F.col("alike") >= least)
+    of = alike.join(vendors, "v_key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("alike"), "vendor_id", "v_key"))
+    return of.withColumn("place", place).where(F.col("place") <= most).select("key", "vendor_id", "v_key", "alike")
+
+
+def resolve_vendors(docs: DataFrame, vendors: DataFrame, aliases: DataFrame | None = None, least: float = 85.0) -> DataFrame:
+    """The vendor of each document (``doc_id, name, tax_id``): by tax id, by equal name or alias, by likeness; or none.
+
+    Only names that neither an id nor an equal name resolves are compared, each distinct one
+    once, with its ``vendor_candidates``; the scores are an Arrow UDF.
     """
     d = docs.select("doc_id", organization("name").alias("key"), tax_id_key(F.col("tax_id")).alias("tax"))
     v = vendors.select("vendor_id", organization("name").alias("v_key"), tax_id_key(F.col("tax_id")).alias("v_tax"))
-    by_tax = d.join(v, d.tax == v.v_tax).select("doc_id", "vendor_id", F.lit(100.0).alias("score"), F.lit(0).alias("step"))
-    named = d.where("key <> ''")
-    by_name = named.join(v, named.key == v.v_key).select("doc_id", "vendor_id", F.lit(100.0).alias("score"), F.lit(1).alias("step"))
-    grams = v.select("vendor_id", "v_key", F.explode(trigrams(F.col("v_key"))).alias("gram"))
-    rarity = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    asked = named.select("doc_id", "key", F.explode(trigrams(F.col("key"))).alias("gram")).join(rarity, "gram")
-    rare = asked.withColumn("nr", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "gram"))).where("nr <= 3")
-    near = rare.join(grams, "gram").select("doc_id", "key", "vendor_id", "v_key").distinct()
-    by_likeness = near.withColumn("score", name_score("key", "v_key")).where(F.col("score") >= least).select("doc_id", "vendor_id", "score", F.lit(2).alias("step"))
-    found = by_tax.unionByName(by_name).unionByName(by_likeness)
-    best = found.groupBy("doc_id").agg(F.min(F.struct("step", (-F.col("score")).alias("s"), "vendor_id")).alias("x"))
-    method = F.element_at(F.array(*map(F.lit, ["tax_id", "name", "likeness"])), F.col("x.step") + 1)
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", "x.vendor_id", F.when(F.col("x").isNotNull(), method).alias("method"))
+    names = v.select("vendor_id", "v_key")
+    if aliases is not None:
+        names = names.unionByName(aliases.select("vendor_id", organization("alias").alias("v_key"))).distinct()
+    by_tax = v.where("v_tax IS NOT NULL").groupBy("v_tax").agg(F.min("vendor_id").alias("of_tax"))
+    by_name = names.where("v_key <> ''").groupBy(F.col("v_key").alias("name_key")).agg(F.min("vendor_id").alias("of_name"))
+    exact = d.join(by_tax, d.tax == by_tax.v_tax, "left").join(by_name, d.key == by_name.name_key, "left").select("doc_id", "key", "of_tax", "of_name")
+    open_ = exact.where("of_tax IS NULL AND of_name IS NULL AND key <> ''").select("key").distinct()
+    scored = vendor_candidates(open_, names).withColumn("score", name_score("key", "v_key")).where(F.col("score") >= least)
+    best = scored.groupBy(F.col("key").alias("like_key")).agg(F.min(F.struct((-F.col("score")).alias("s"), "vendor_id"))["vendor_id"].alias("of_like"))
+    found = exact.join(best, (F.col("key") == F.col("like_key")) & F.col("of_tax").isNull() & F.col("of_name").isNull(), "left")
+    method = F.when(F.col("of_tax").isNotNull(), "tax_id").when(F.col("of_name").isNotNull(), "name").when(F.col("of_like").isNotNull(), "likeness")
+    return found.select("doc_id", F.coalesce("of_tax", "of_name", "of_like").alias("vendor_id"), method.alias("method"))
 
 
 # --------------------------------------------------------------------------------- layout
@@ -126,33 +145,154 @@ def resolve_vendors(docs: DataFrame, vendors: DataFrame, least: float = 85.0) ->
 LINE = "page_id long, line int, segment int, text string, x0 double, y0 double, x1 double, y1 double"
 
 
+class Box(NamedTuple):
+    """A word, a segment of a line, or a block."""
+
+    text: str
+    x0: float
+    y0: float
+    x1: float
+    y1: float
+    size: float
+
+    @classmethod
+    def around(cls, parts: list[Box], glue: str = " ") -> Box:
+        return cls(glue.join(w.text for w in parts), min(w.x0 for w in parts), min(w.y0 for w in parts), max(w.x1 for w in parts), max(w.y1 for w in parts), median(w.size for w in parts))
+
+
+def page_lines(words: list[Box], gap: float = 0.75, overlap: float = 0.5) -> list[list[Box]]:
+    """Segments of each line of a page; words are of a line if they overlap its median band."""
+    lines: list[list[Box]] = []
+    for w in sorted(words, key=lambda w: ((w.y0 + w.y1) / 2, w.x0)):
+        if lines:
+            top, bottom = median(x.y0 for x in lines[-1]), median(x.y1 for x in lines[-1])
+            if min(w.y1, bottom) - max(w.y0, top) >= overlap * min(w.y1 - w.y0, bottom - top):
+                lines[-1].append(w)
+                continue
+        lines.append([w])
+    out = []
+    for line in lines:
+        line.sort(key=lambda w: w.x0)
+        size, segments = median(w.size for w in line), [[line[0]]]
+        for before, w in zip(line, line[1:], strict=False):
+            segments[-1].append(w) if w.x0 - before.x1 <= gap * size else segments.append([w])
+        out.append([Box.around(x) for x in segments])
+    return out
+
+
+def _per_page(words: DataFrame, read: Callable[[list[Box]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``read`` over the words of each page, which are one row: order matters within a page, and pages are small."""
+    word = F.struct("text", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")])
+    pages = words.groupBy("page_id").agg(F.collect_list(word).alias("words"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
+        for batch in batches:
+            rows = []
+            for page, held in zip(batch["page_id"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                rows += [(page, *row) for row in read([Box(**w) for w in held])]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.record_batch([pa.array(c, kinds[k.split()[1]]) for c, k in zip(columns, schema.split(", "), strict=True)], names)
+
+    return pages.mapInArrow(run, schema)
+
+
 def lay_out(words: DataFrame, gap: float = 0.75, overlap: float = 0.5) -> DataFrame:
-    """Lines and column segments of page words (``page_id, text, x0, y0, x1, y1, size``).
+    """Lines and column segments of page words (``page_id, text, x0, y0, x1, y1, size``)."""
 
-    A page's words are grouped into lines by vertical overlap with the line's median band,
-    which depends on order, so a page is one group; pages are small and independent.
-    """
+    def read(held: list[Box]) -> Iterator[tuple]:
+        for i, line in enumerate(page_lines(held, gap, overlap)):
+            for k, s in enumerate(line):
+                yield i, k, s.text, s.x0, s.y0, s.x1, s.y1
+
+    return _per_page(words, read, LINE)
+
+
+#: Pitch and gaps in sizes of type, shares of lines, and words that make prose.
+BLOCK_PITCH, CONTINUATION_GAP, PAIR_GAP, PAIR_LINES, PROSE_WORDS, HEADING_SIZE = 2.0, 1.5, 6.0, 0.6, 4, 1.25
+NUMERIC = "0123456789.,-+/%()$€£¥₹"
+BLOCK = "page_id long, block int, kind string, text string, x0 double, y0 double, x1 double, y1 double"
+
+
+class Block:
+    """Segments ``(line, segment, box)`` that read as one."""
+
+    def __init__(self, line: int, nr: int, box: Box):
+        self.parts, self.box, self.foot = [(line, nr, box)], box, (box.y0 + box.y1) / 2
+
+    def add(self, parts: list[tuple[int, int, Box]]) -> None:
+        self.parts += parts
+        inside = [b for _, _, b in self.parts]
+        self.box = Box.around(inside)._replace(size=inside[0].size)
+        self.foot = max((b.y0 + b.y1) / 2 for b in inside)
+
+    @property
+    def lines(self) -> set[int]:
+        return {line for line, _, _ in self.parts}
+
+    def text(self) -> str:
+        rows: dict[int, list[Box]] = {}
+        for line, _, box in sorted(self.parts, key=lambda p: p[:2]):
+            rows.setdefault(line, []).append(box)
+        return "\n".join(" ".join(b.text for b in row) for row in rows.values())
+
+    def continues_below(self, box: Box) -> bool:
+        """Whether ``box`` is the next line: close below, of about the same size, and in the same column."""
+        pitch = (box.y0 + box.y1) / 2 - self.foot
+        shared = min(box.x1, self.box.x1) - max(box.x0, self.box.x0)
+        in_column = abs(box.x0 - self.box.x0) <= box.size or shared >= 0.3 * min(box.x1 - box.x0, self.box.x1 - self.box.x0)
+        return 0 < pitch <= BLOCK_PITCH * box.size and box.y0 >= self.box.y1 - box.size and 0.7 <= box.size / self.box.size <= 1.4 and in_column
+
+
+def _amounts_only(parts: list[tuple[int, int, Box]]) -> bool:
+    """Whether every text is mostly digits and marks of numbers."""
+    texts = [re.sub(r"\s", "", b.text) for _, _, b in parts]
+    return all(re.search(r"\d", t) and 2 * sum(c in NUMERIC for c in t) >= len(t) for t in texts)
+
+
+def _beside(left: Block, right: Block) -> bool:
+    """Whether ``right`` holds the values of the labels in ``left``: on mostly the same lines, and near or all amounts."""
+    shared, most = len(left.lines & right.lines), max(len(left.lines), len(right.lines))
+    if right.box.x0 <= left.box.x1 or not shared or (shared == 1 and left.lines != right.lines) or shared < PAIR_LINES * most:
+        return False
+    return right.box.x0 - left.box.x1 <= PAIR_GAP * left.box.size or _amounts_only(right.parts)
+
+
+def merge_labels(blocks: list[Block]) -> list[Block]:
+    """Joins columns of labels with the columns of values beside them until no two fit, so that a form reads row by row."""
+    blocks = list(blocks)
+    while pair := next(((a, b) for a in blocks for b in blocks if a is not b and _beside(a, b)), None):
+        pair[0].add(pair[1].parts)
+        blocks.remove(pair[1])
+    return blocks
+
+
+def page_blocks(words: list[Box], merge: bool = True) -> list[tuple[str, Block]]:
+    """Kind and block of the lines of a page, in reading order: down the page, then across."""
+    blocks: list[Block] = []
+    for i, line in enumerate(page_lines(words)):
+        for k, box in enumerate(line):
+            before = line[k - 1] if k else None
+            target = None
+            if before and len(before.text.split()) >= PROSE_WORDS and box.x0 - before.x1 <= CONTINUATION_GAP * before.size:
+                target = next((b for b in blocks if any(p[:2] == (i, k - 1) for p in b.parts)), None)
+            target = target or next((b for b in reversed(blocks) if b.continues_below(box)), None)
+            target.add([(i, k, box)]) if target else blocks.append(Block(i, k, box))
+    body = median(w.size for w in words) if words else 0
+    found = merge_labels(blocks) if merge else blocks
+    kinds = ["heading" if len(b.lines) == 1 and body and b.box.size >= HEADING_SIZE * body else "text" for b in found]
+    return sorted(zip(kinds, found, strict=True), key=lambda x: (round(x[1].box.y0 / (body / 2 or 1)), x[1].box.x0))
+
+
+def blocks(words: DataFrame, merge: bool = True) -> DataFrame:
+    """Blocks of page words in reading order, labels merged with their values or not: ``page_id, block, kind, text`` and the box."""
+
+    def read(held: list[Box]) -> Iterator[tuple]:
+        for nr, (kind, block) in enumerate(page_blocks(held, merge)):
+            yield nr, kind, block.text(), block.box.x0, block.box.y0, block.box.x1, block.box.y1
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list] = []
-        for w in pdf.assign(middle=(pdf.y0 + pdf.y1) / 2).sort_values(["middle", "x0"]).itertuples():
-            if lines:
-                top, bottom = median(x.y0 for x in lines[-1]), median(x.y1 for x in lines[-1])
-                if min(w.y1, bottom) - max(w.y0, top) >= overlap * min(w.y1 - w.y0, bottom - top):
-                    lines[-1].append(w)
-                    continue
-            lines.append([w])
-        rows = []
-        for i, line in enumerate(lines):
-            line.sort(key=lambda w: w.x0)
-            size, segments = median(w.size for w in line), [[line[0]]]
-            for before, w in zip(line, line[1:], strict=False):
-                segments[-1].append(w) if w.x0 - before.x1 <= gap * size else segments.append([w])
-            for k, s in enumerate(segments):
-                rows.append((pdf.page_id.iloc[0], i, k, " ".join(w.text for w in s), min(w.x0 for w in s), min(w.y0 for w in s), max(w.x1 for w in s), max(w.y1 for w in s)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in LINE.split(", ")])
-
-    return words.groupBy("page_id").applyInPandas(page, LINE)
+    return _per_page(words, read, BLOCK)
 
 
 def table_headers(lines: DataFrame, least: int = 3, most_words: int = 4) -> DataFrame:

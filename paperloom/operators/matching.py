@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,16 +126,26 @@ def match_lines_fuzzy(left: DataFrame, right: DataFrame, threshold: float = 85.0
     so a document's lines are matched together in one group; ties go to the first line.
     Returns ``doc_id, left_line, right_line`` with nulls for lines left over.
     """
-    a = left.withColumn("key", reference_key(F.col("sku"))).select("doc_id", "line", "key", "description")
-    b = right.withColumn("key", reference_key(F.col("sku"))).select("doc_id", "line", "key", "description")
-    schema = "doc_id long, left_line long, right_line long"
-    return a.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(lambda x, y: _greedy(x, y, threshold), schema)
+    line = F.struct("line", reference_key(F.col("sku")).alias("key"), "description")
+    a, b = (df.groupBy("doc_id").agg(F.collect_list(line).alias(side)) for df, side in ((left, "a"), (right, "b")))
+    pairs = a.join(b, "doc_id", "full")  # a row a document
+    return pairs.mapInArrow(lambda it: _matched(it, threshold), "doc_id long, left_line long, right_line long")
 
 
-def _greedy(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    free = right.sort_values("line").to_dict("records")
+def _matched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc, a, b in zip(*(batch[c].to_pylist() for c in ("doc_id", "a", "b")), strict=True):
+            rows += [(doc, x, y) for x, y in greedy_pairs(a or [], b or [], threshold)]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "left_line", "right_line"])
+
+
+def greedy_pairs(left: list[dict], right: list[dict], threshold: float) -> list[tuple[int | None, int | None]]:
+    """Line numbers of pairs: by code first, then each left line with the best free description."""
+    free = sorted(right, key=lambda o: o["line"])
     found, rest = [], []
-    for line in left.sort_values("line").to_dict("records"):
+    for line in sorted(left, key=lambda x: x["line"]):
         twin = next((o for o in free if line["key"] and o["key"] == line["key"]), None)
         (found if twin else rest).append((line, twin))
         if twin:
@@ -146,9 +157,7 @@ def _greedy(left: pd.DataFrame, right: pd.DataFrame, threshold: float) -> pd.Dat
         if twin:
             free.remove(twin)
         found.append((line, twin))
-    doc = (left if len(left) else right)["doc_id"].iloc[0]
-    rows = [(doc, a["line"], b["line"] if b else None) for a, b in found] + [(doc, None, o["line"]) for o in free]
-    return pd.DataFrame(rows, columns=["doc_id", "left_line", "right_line"]).astype({"left_line": "Int64", "right_line": "Int64"})
+    return [(a["line"], b["line"] if b else None) for a, b in found] + [(None, o["line"]) for o in free]
 
 
 def pick_order(subjects: DataFrame, orders: DataFrame, on: str) -> DataFrame:

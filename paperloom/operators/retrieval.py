@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +34,51 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, tie: str) -> DataFrame:
-    """Exact top-k rows by cosine for a few queries (``query, q``), ties by ``tie``.
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, tie: str, block: int = 2048) -> DataFrame:
+    """Exact top-k rows by cosine for each query (``query, q``), ties by ``tie``: ``query, tie, similarity, rank``.
 
-    The queries go to every task, so they must be few: hundreds, not a table.
+    The queries are taken in blocks of about ``block`` rows, which go to every task; a pass a
+    block multiplies matrices, and each batch returns at most ``k`` rows a query.  Zero vectors,
+    nulls and vectors of another length are near nothing.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), tie))
-    return scored.withColumn("rank", place).where(F.col("rank") <= k)
+    asked = queries.select(F.col("query").cast("long").alias("query"), F.col("q").cast("array<double>").alias("q")).where("q IS NOT NULL")
+    rows = vectors.select(F.col(tie).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
+    n = max(1, -(-asked.count() // block))
+    parts = []
+    for i in range(n):
+        chosen = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).collect()
+        shared = vectors.sparkSession.sparkContext.broadcast(([r.query for r in chosen], [r.q for r in chosen]))
+        parts.append(rows.mapInArrow(lambda it, shared=shared: _near(it, *shared.value, k), "query long, id long, similarity double"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "id"))
+    found = reduce(DataFrame.unionByName, parts).withColumn("rank", place).where(F.col("rank") <= k)
+    return found.select("query", F.col("id").alias(tie), "similarity", "rank")
+
+
+def _near(batches: Iterator[pa.RecordBatch], names: list[int], asked: list[list[float]], k: int) -> Iterator[pa.RecordBatch]:
+    names, lengths = np.array(names, dtype=np.int64), np.array([len(q) for q in asked])
+    for batch in batches:
+        vectors = batch["v"].to_pylist()
+        own = np.array([len(v) for v in vectors])
+        for d in np.unique(lengths):
+            at, of = np.flatnonzero(own == d), np.flatnonzero(lengths == d)
+            if not d or not len(at):
+                continue
+            ids = batch["id"].to_numpy()[at]
+            m, q = (np.array([[np.nan if x is None else x for x in v] for v in rows], dtype=float) for rows in ([vectors[i] for i in at], [asked[i] for i in of]))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = (m / np.sqrt((m * m).sum(axis=1, keepdims=True))) @ (q / np.sqrt((q * q).sum(axis=1, keepdims=True))).T
+            rounded = np.where(np.isfinite(scores), np.round(scores, 12), -np.inf)
+            for j in range(len(of)):
+                best = np.lexsort((ids, -rounded[:, j]))[:k] if len(at) <= k else _best(rounded[:, j], ids, k)
+                best = best[np.isfinite(rounded[best, j])]
+                if len(best):
+                    yield pa.record_batch({"query": np.full(len(best), names[of[j]]), "id": ids[best], "similarity": scores[best, j]})
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, ties to the smaller id."""
+    near = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
 
 
 def fuse(a: DataFrame, b: DataFrame, keys: list[str], k: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, retrieval
 from .registry import query
 
 
@@ -190,17 +190,18 @@ def _(t):
 
 
 @query("a27_ranking_metrics", """
-    WITH q AS (SELECT vec_id AS query, label FROM embeddings WHERE vec_id < 20), r AS (SELECT q.query, e.vec_id AS item, row_number() OVER (PARTITION BY q.query ORDER BY (e.vec_id * 7919 + q.query) % 503, e.vec_id) AS rank, e.label = q.label AS hit FROM q, embeddings e),
+    WITH x AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    r AS (SELECT q.vec_id AS query, e.label = q.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))), 12) DESC, e.vec_id) AS rank
+        FROM x e, x q WHERE q.vec_id % 20 = 0 QUALIFY rank <= 10),
     per AS (SELECT query, max((rank <= 5 AND hit)::INT) AS hit, sum((rank <= 5 AND hit)::INT) / 5 AS precision, max(CASE WHEN hit THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr,
-        sum(CASE WHEN rank <= 5 AND hit THEN 1 / log2(rank + 1.0) ELSE 0 END) / (SELECT sum(1 / log2(i + 1.0)) FROM range(1, 6) t(i)) AS ndcg FROM r GROUP BY query)
+        sum(CASE WHEN rank <= 5 AND hit THEN 1 / log2(rank + 1.0) ELSE 0 END) / list_sum([1 / log2(i + 1.0) for i in range(1, least(5, sum(hit::INT))::BIGINT + 1)]) AS ndcg FROM r GROUP BY query)
     SELECT round(avg(hit), 9) AS hit, round(avg(precision), 9) AS precision, round(avg(rr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg FROM per""")
 def _(t):
-    q = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("label").alias("wanted"))
-    items = t.embeddings.select(F.col("vec_id").alias("item"), "label")
-    pairs = items.crossJoin(F.broadcast(q))  # twenty fixed queries
-    place = F.row_number().over(Window.partitionBy("query").orderBy((F.col("item") * 7919 + F.col("query")) % 503, "item"))
-    relevant = pairs.where("label = wanted").select("query", "item")
-    per = metrics.ranking_metrics(pairs.select("query", "item", place.alias("rank")), relevant, "query", "item", "rank", 5)
+    """Vectors near every twentieth one, itself included; those of its label among them are the relevant ones."""
+    queries = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("wanted"))
+    near = retrieval.nearest(t.embeddings.select("vec_id", "embedding"), queries, 10, "vec_id").select("query", F.col("vec_id").alias("item"), "rank")
+    of = near.join(t.embeddings.select(F.col("vec_id").alias("item"), "label"), "item").join(queries.select("query", "wanted"), "query")
+    per = metrics.ranking_metrics(near, of.where("label = wanted").select("query", "item"), "query", "item", "rank", 5)
     return per.agg(*[F.round(F.avg(a), 9).alias(b) for a, b in (("hit", "hit"), ("precision", "precision"), ("rr", "mrr"), ("ndcg", "ndcg"))])
 
 

@@ -61,9 +61,29 @@ def _(t):
     return extraction.correction_overlay(fields, fields.where("doc_id % 6 = 0").withColumn("value", F.lit(1).cast("decimal(18,4)"))).withColumn("value", F.col("value").cast("decimal(18,4)"))
 
 
-@query("c18_resolve_vendors", "SELECT doc_id, CASE WHEN doc_id % 5 <= 2 OR doc_id % 5 = 3 THEN doc_id END AS vendor_id, CASE WHEN doc_id % 5 <= 2 THEN 'name' WHEN doc_id % 5 = 3 THEN 'tax_id' END AS method FROM printed_vendors")
+@query("c18_resolve_vendors", """
+    SELECT doc_id, CASE WHEN doc_id % 5 <= 3 THEN doc_id END AS vendor_id, CASE WHEN doc_id % 5 <= 2 THEN 'name' WHEN doc_id % 5 = 3 THEN 'tax_id' END AS method FROM printed_vendors
+    UNION ALL SELECT vendor_id + 1000000000, vendor_id, 'likeness' FROM vendors UNION ALL SELECT vendor_id + 2000000000, vendor_id, 'name' FROM vendors UNION ALL SELECT vendor_id + 3000000000, NULL, NULL FROM vendors""")
 def _(t):
-    return extraction.resolve_vendors(t.printed_vendors, t.vendors)
+    """Printed names and tax ids; then every vendor's name misprinted, its alias, and the name of nobody."""
+    number, none = F.col("vendor_id").cast("string"), F.lit(None).cast("string").alias("tax_id")
+    more = lambda nr, name: t.vendors.select((F.col("vendor_id") + F.lit(nr)).alias("doc_id"), name.alias("name"), none)
+    docs = t.printed_vendors.unionByName(more(1_000_000_000, F.concat(F.lit("Kestrell & Sons "), number))).unionByName(more(2_000_000_000, F.concat(F.lit("KSI no. "), number)))
+    docs = docs.unionByName(more(3_000_000_000, F.concat(F.lit("Osprey Shipping "), number)))
+    return extraction.resolve_vendors(docs, t.vendors, t.vendors.select("vendor_id", F.concat(F.lit("KSI No "), number).alias("alias")))
+
+
+@query("j17_vendor_candidates", """
+    WITH n AS (SELECT vendor_id, 'kestrel and sons ' || vendor_id AS name FROM vendors), q AS (SELECT vendor_id AS k, 'kestrell and sons ' || vendor_id AS key FROM vendors),
+    w AS (SELECT vendor_id, name, unnest(string_split(name, ' ')) AS w FROM n), g AS (SELECT DISTINCT vendor_id, substr('  ' || w || ' ', i, 3) AS gram FROM w, range(1, 12) r(i) WHERE i <= length(w) + 1),
+    x AS (SELECT k, unnest(string_split(key, ' ')) AS w FROM q), h AS (SELECT DISTINCT k, substr('  ' || w || ' ', i, 3) AS gram FROM x, range(1, 12) r(i) WHERE i <= length(w) + 1),
+    gn AS (SELECT vendor_id, count(*) AS m FROM g GROUP BY 1), hn AS (SELECT k, count(*) AS n FROM h GROUP BY 1), s AS (SELECT k, vendor_id, count(*) AS shared FROM h JOIN g USING (gram) GROUP BY 1, 2)
+    SELECT k AS doc_id, vendor_id FROM s JOIN gn USING (vendor_id) JOIN hn USING (k) WHERE shared / (n + m - shared) >= 0.2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY shared / (n + m - shared) DESC, vendor_id) <= 25""")
+def _(t):
+    key = F.concat(F.lit("kestrell and sons "), F.col("vendor_id").cast("string"))
+    asked = t.vendors.select(key.alias("key"), F.col("vendor_id").alias("doc_id"))
+    names = t.vendors.select("vendor_id", F.concat(F.lit("kestrel and sons "), F.col("vendor_id").cast("string")).alias("v_key"))
+    return extraction.vendor_candidates(asked.select("key"), names).join(asked, "key").select("doc_id", "vendor_id")
 
 
 @query("c19_vendor_keys", "SELECT vendor_id, upper(regexp_replace(tax_id, '[^0-9A-Za-z]', '', 'g')) AS tax_key FROM vendors")
@@ -78,13 +98,13 @@ def _words(t):
     """A page an order: a header line, then a line a part, in three columns of words."""
     cell = lambda x, y, s: F.struct(F.lit(float(x)).alias("x0"), y.alias("y0"), s.cast("string").alias("text"))
     nr = F.col("nr")
-    rows = t.po_lines.where("doc_id % 20 = 0").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sku", "description", "quantity"))).alias("lines"))
+    rows = t.po_lines.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sku", "description", "quantity"))).alias("lines"))
     body = rows.select("doc_id", F.posexplode("lines").alias("nr", "l")).select("doc_id", F.inline(F.array(cell(50, 80 + nr * 14.4, F.replace("l.sku", F.lit(" "), F.lit("-"))), cell(200, 80 + nr * 14.4, F.replace("l.description", F.lit(" "), F.lit("-"))), cell(400, 80 + nr * 14.4, F.col("l.quantity")))))
     head = rows.select("doc_id", F.inline(F.array(*[cell(x, F.lit(60.0), F.lit(s)) for x, s in ((50, "Item"), (200, "Description"), (400, "Quantity"))])))
     return head.unionByName(body).select(F.col("doc_id").alias("page_id"), "text", "x0", "y0", (F.col("x0") + 4.5 * F.length("text")).alias("x1"), (F.col("y0") + 9).alias("y1"), F.lit(9.0).alias("size"))
 
 
-@query("g01_lines_and_segments", "SELECT doc_id AS page_id, count(*) + 1 AS lines, 3 * (count(*) + 1) AS segments FROM po_lines WHERE doc_id % 20 = 0 GROUP BY 1")
+@query("g01_lines_and_segments", "SELECT doc_id AS page_id, count(*) + 1 AS lines, 3 * (count(*) + 1) AS segments FROM po_lines GROUP BY 1")
 def _(t):
     return extraction.lay_out(_words(t)).groupBy("page_id").agg(F.countDistinct("line").alias("lines"), F.count("*").alias("segments"))
 
@@ -94,18 +114,47 @@ def _(t):
     return extraction.page_text(extraction.lay_out(_words(t)))
 
 
-@query("g05_table_headers", "SELECT DISTINCT doc_id AS page_id, 0 AS line, ['Item', 'Description', 'Quantity'] AS header FROM po_lines WHERE doc_id % 20 = 0")
+@query("g05_table_headers", "SELECT DISTINCT doc_id AS page_id, 0 AS line, ['Item', 'Description', 'Quantity'] AS header FROM po_lines")
 def _(t):
     return extraction.table_headers(extraction.lay_out(_words(t)))
 
 
 @query("g07_table_cells", """
-    SELECT doc_id AS page_id, unnest([0, 1, 2]) AS "column", unnest([replace(sku, ' ', '-'), replace(description, ' ', '-'), CAST(quantity AS VARCHAR)]) AS text FROM po_lines WHERE doc_id % 20 = 0""")
+    SELECT doc_id AS page_id, unnest([0, 1, 2]) AS "column", unnest([replace(sku, ' ', '-'), replace(description, ' ', '-'), CAST(quantity AS VARCHAR)]) AS text FROM po_lines""")
 def _(t):
     lines = extraction.lay_out(_words(t))
     return extraction.body_cells(lines, extraction.table_headers(lines)).select("page_id", "column", "text")
 
 
+def _form(t):
+    """A page an order like a printed form: a title, labels with their values beside them, and two columns of prose."""
+    cell = lambda x, y, s, size=9.0: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), s.cast("string").alias("text"), F.lit(size).alias("size"))
+    at = lambda x, y, text: [cell(x + 4.5 * text.index(w), y, F.lit(w)) for w in text.split()]
+    words = [cell(50, 40, F.lit("Order"), 14.0), *at(50, 80, "Number:"), *at(50, 92, "Date:"), *at(50, 104, "Total:"), cell(110, 80, F.col("number")), cell(110, 92, F.col("doc_date")), cell(300, 104, F.col("total"))]
+    words += [*at(50, 200, "Goods stay ours"), *at(50, 212, "until paid."), *at(350, 200, "Notices go by"), *at(350, 212, "letter only.")]
+    rows = t.po_header.select("doc_id", F.inline(F.array(*words)))
+    return rows.select(F.col("doc_id").alias("page_id"), "text", "x0", "y0", (F.col("x0") + 4.5 * F.length("text")).alias("x1"), (F.col("y0") + F.col("size")).alias("y1"), "size")
+
+
+FORM = """unnest([{0}]) AS block, unnest([{1}]) AS kind, unnest([{2}]) AS text FROM po_header"""
+PROSE = "'Goods stay ours' || chr(10) || 'until paid.', 'Notices go by' || chr(10) || 'letter only.'"
+
+
+@query("g02_blocks_in_reading_order", "SELECT doc_id AS page_id, " + FORM.format("0, 1, 2, 3, 4, 5", "'heading', 'text', 'text', 'text', 'text', 'text'", "'Order', 'Number:' || chr(10) || 'Date:' || chr(10) || 'Total:', number || chr(10) || doc_date, total::VARCHAR, " + PROSE))
+def _(t):
+    return extraction.blocks(_form(t), merge=False).select("page_id", "block", "kind", "text")
+
+
+@query("g03_labels_with_values", "SELECT doc_id AS page_id, " + FORM.format("0, 1, 2, 3, 4", "'heading', 'text', 'text', 'text', 'text'", "'Order', 'Number: ' || number || chr(10) || 'Date: ' || doc_date || chr(10) || 'Total:', total::VARCHAR, " + PROSE))
+def _(t):
+    return extraction.blocks(_form(t)).select("page_id", "block", "kind", "text")
+
+
+@query("w16_line_bands", "SELECT doc_id AS page_id, count(*) + 1 AS lines FROM po_lines GROUP BY 1")
+def _(t):
+    return extraction.lay_out(_words(t)).groupBy("page_id").agg(F.countDistinct("line").alias("lines"))
+
+
 @query("w14_stitched_tables", """
     WITH x AS (SELECT DISTINCT user_id AS doc_id, CAST(day(ts) AS INT) AS page, event_type AS header FROM events), y AS (SELECT *, page - row_number() OVER (PARTITION BY doc_id, header ORDER BY page) AS grp FROM x)
     SELECT doc_id, page, header, dense_rank() OVER (PARTITION BY doc_id, header ORDER BY grp) AS "table" FROM y""")

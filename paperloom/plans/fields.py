@@ -169,11 +169,11 @@ def _(t):
     return matching.find_duplicates(t.inv_header).where("strong").groupBy("doc_id").agg(F.count("*").alias("older"))
 
 
-@query("j21_row_scores")
+@query("j21_row_scores", "SELECT doc_id, count(*) AS expected, count(*) AS detected, count(*) AS matched FROM po_lines GROUP BY 1")
 def _(t):
     """Rows read against true rows, by code or best likeness."""
-    few, number = "doc_id % 20 = 0", F.regexp_extract("sku", "([0-9]+)", 1).cast("long")
-    read, true = (x.where(few).select("doc_id", number.alias("line"), "sku", "description") for x in (t.inv_lines, t.po_lines))
+    number = F.regexp_extract("sku", "([0-9]+)", 1).cast("long")
+    read, true = (x.select("doc_id", number.alias("line"), "sku", "description") for x in (t.inv_lines, t.po_lines))
     return matching.match_lines_fuzzy(read, true, 75.0).groupBy("doc_id").agg(
         F.count("right_line").alias("expected"), F.count("left_line").alias("detected"), F.count_if(F.col("left_line").isNotNull() & F.col("right_line").isNotNull()).alias("matched"))
 
@@ -190,9 +190,9 @@ def _(t):
     return t.versions.select("doc_id", rules.contract_expiry(F.col("effective_to"), F.lit(False), F.lit("2025-06-01").cast("date"), 90).alias("outcome"))
 
 
-@query("m03_lexeme_array", r"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) AS lexemes FROM documents WHERE n_chars < 500")
+@query("m03_lexeme_array", r"SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''))) AS lexemes FROM documents")
 def _(t):
-    return t.documents.where("n_chars < 500").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+", -1), lambda w: w != ""))).alias("lexemes"))
+    return t.documents.select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+", -1), lambda w: w != ""))).alias("lexemes"))
 
 
 @query("m07_metric_paths", """
@@ -216,12 +216,13 @@ def _(t):
 
 
 @query("x19_merged_passages", """
-    WITH d AS (SELECT doc_id, left(text, 80) AS a, substr(text, 41, 80) AS b FROM documents WHERE n_chars > 200 AND length(text) = strlen(text)),
-    n AS (SELECT *, list_max(list_filter(range(21, 81), lambda n: right(a, n) = left(b, n))) AS n FROM d) SELECT doc_id, a || substr(b, n + 1) AS merged FROM n""")
+    WITH d AS (SELECT doc_id, left(text, (length(text) * 6 + 9) // 10) AS a, right(text, (length(text) * 6 + 9) // 10) AS b FROM documents),
+    n AS (SELECT *, list_max(list_filter(range(21, length(a) + 1), lambda n: right(a, n) = left(b, n))) AS n FROM d) SELECT doc_id, a || substr(b, n + 1) AS merged FROM n""")
 def _(t):
+    """The first and the last six tenths of each text, joined again."""
     merge = F.udf(values.merge_overlapping, "string", useArrow=True)
-    docs = t.documents.where((F.col("n_chars") > 200) & (F.length("text") == F.octet_length("text")))
-    return docs.select("doc_id", merge(F.substring("text", 1, 80), F.substring("text", 41, 80)).alias("merged"))
+    share = F.expr("(length(text) * 6 + 9) div 10").cast("int")
+    return t.documents.select("doc_id", merge(F.left("text", share), F.right("text", share)).alias("merged"))
 
 
 def _unit_rows(df, read):
@@ -269,7 +270,7 @@ def _(t):
     return t.nation.select("n_nationkey", extraction.header_offset(words("#", "Item No", "Qty", "Price"), second).alias("lost"))
 
 
-@query("g06_column_bounds", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [49.99] ELSE [35.0] END AS bounds FROM nation")
+@query("g06_column_bounds", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN [49.99]::DOUBLE[] ELSE [35.0]::DOUBLE[] END AS bounds FROM nation")
 def _(t):
     boxes = lambda *x: F.array(*[F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1")) for a, b in x])
     words = F.when(F.col("n_nationkey") % 2 == 0, boxes((0, 18), (50, 66))).otherwise(boxes((0, 18), (40, 66)))

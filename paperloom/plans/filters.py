@@ -26,12 +26,15 @@ def _(t):
     return t.events.select("event_id", corrected.isNotNull().alias("has_value"))
 
 
-@query("f04_guarded_cast", r"""
-    SELECT doc_id, CASE WHEN regexp_full_match(left(text, 4), '-?[0-9]+(\.[0-9]+)?') THEN TRY_CAST(left(text, 4) AS DECIMAL(18,4)) END AS number,
-        TRY_CAST(CASE WHEN doc_id % 3 = 0 THEN '2026-02-' || CAST(doc_id % 40 AS VARCHAR) ELSE 'none' END AS DATE) AS day FROM documents""")
+PRINTED = "CASE doc_id % 5 WHEN 0 THEN concat('', n_chars) WHEN 1 THEN concat('-', n_chars, '.25') WHEN 2 THEN concat(n_chars, ' pages') WHEN 3 THEN '' ELSE text END"
+
+
+@query("f04_guarded_cast", rf"""
+    SELECT doc_id, CASE WHEN regexp_full_match(p, '-?[0-9]+(\.[0-9]+)?') THEN TRY_CAST(p AS DECIMAL(18,4)) END AS number,
+        TRY_CAST(CASE WHEN doc_id % 3 = 0 THEN '2026-02-' || CAST(doc_id % 40 AS VARCHAR) ELSE 'none' END AS DATE) AS day FROM (SELECT doc_id, {PRINTED} AS p FROM documents)""")
 def _(t):
     printed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2026-02-"), (F.col("doc_id") % 40).cast("string"))).otherwise("none")
-    return t.documents.select("doc_id", access.number_or_null(F.left("text", F.lit(4))).alias("number"), access.date_or_null(printed).alias("day"))
+    return t.documents.select("doc_id", access.number_or_null(F.expr(PRINTED)).alias("number"), access.date_or_null(printed).alias("day"))
 
 
 @query("f05_operator_dispatch", """
@@ -206,11 +209,11 @@ def _(t):
 
 
 @query("j20_cited_sources", """
-    WITH cited AS (SELECT doc_id, unnest(string_split(substr(text, 1, 12), ' ')) AS label FROM documents)
+    WITH cited AS (SELECT doc_id, unnest(string_split(text, ' ')) AS label FROM documents)
     SELECT c.doc_id, c.label, count(*) AS n FROM cited c JOIN (SELECT DISTINCT lang AS label FROM documents UNION SELECT 'The') s USING (label) GROUP BY ALL""")
 def _(t):
     labels = t.documents.select(F.col("lang").alias("label")).distinct().union(t.spark.sql("SELECT 'The'"))
-    cited = t.documents.select("doc_id", F.explode(F.split(F.substring("text", 1, 12), " ")).alias("label"))
+    cited = t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("label"))
     return cited.join(labels, "label").groupBy("doc_id", "label").agg(F.count("*").alias("n"))
 
 
@@ -334,10 +337,11 @@ def _(t):
 
 
 @query("o07_numbers_within", """
-    SELECT doc_id, len(list_filter(regexp_extract_all(text, '[0-9]+'), lambda x: NOT list_contains(regexp_extract_all(substr(text, 1, 400), '[0-9]+'), x))) = 0 AS grounded FROM documents""")
+    SELECT doc_id, len(list_filter(regexp_extract_all(substr(text, length(text) // 2 + 1), '[0-9]+'), lambda x: NOT list_contains(regexp_extract_all(left(text, length(text) // 2), '[0-9]+'), x))) = 0 AS grounded FROM documents""")
 def _(t):
-    numbers = lambda c: F.regexp_extract_all(c, F.lit("([0-9]+)"))
-    return t.documents.select("doc_id", sets.subset(numbers(F.col("text")), numbers(F.substring("text", 1, 400))).alias("grounded"))
+    """Numbers of the second half of a text that the first half has, too."""
+    numbers = lambda c: F.regexp_extract_all(F.expr(c), F.lit("([0-9]+)"))
+    return t.documents.select("doc_id", sets.subset(numbers("substring(text, length(text) div 2 + 1)"), numbers("left(text, length(text) div 2)")).alias("grounded"))
 
 
 @query("o08_distinct_ids", "SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_discount > 0.05")

@@ -8,19 +8,12 @@ from ..functions import similarity, values
 from ..operators import matching, retrieval
 from .registry import query
 
-WORDY = """(SELECT doc_id, left(text, 60) AS text FROM documents)"""
-
-
-def _wordy(t):
-    return t.documents.select("doc_id", F.left("text", F.lit(60)).alias("text"))
-
-
 def _sql(expression: str) -> str:
-    return f"SELECT doc_id, {expression} AS value FROM {WORDY}"
+    return f"SELECT doc_id, {expression} AS value FROM documents"
 
 
 def _register(name, expression, column):
-    query(name, _sql(expression) if expression else None)(lambda t: _wordy(t).select("doc_id", column(F.col("text")).alias("value")))
+    query(name, _sql(expression) if expression else None)(lambda t: t.documents.select("doc_id", column(F.col("text")).alias("value")))
 
 
 SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -31,16 +24,22 @@ _register("x04_reference_key", "nullif(regexp_replace(upper(replace(text, 'ß',
 _register("x08_slug", r"regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 80), '-+$', '')", values.slug)
 _register("x09_plain_text", r"CASE WHEN trim(text) <> '' AND NOT regexp_matches(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') THEN trim(text, ' ') END", values.plain_text)
 _register("x10_clip", f"CASE WHEN length({SPACED}) <= 40 THEN {SPACED} ELSE rtrim(left({SPACED}, 39)) || '…' END", lambda c: values.clip(c, 40))
-_register("x11_classifier_text", r"trim(regexp_replace(regexp_replace(lower(text), '[0-9]', '0', 'g'), '\s+', ' ', 'g'))", values.classifier_text)
+_register("x11_classifier_text", r"trim(regexp_replace(regexp_replace(lower(left(text, 6000)), '[0-9]', '0', 'g'), '\s+', ' ', 'g'))", values.classifier_text)
 _register("x12_enough_text", r"length(regexp_replace(text, '\s+', '', 'g')) >= 20", values.enough_text)
 _register("x13_clause_text", r"trim(regexp_replace(regexp_replace(lower(text), '[^\pL\pN_%€$£.,]', ' ', 'g'), '\s+', ' ', 'g'))", values.clause_text)
 _register("x14_identifier", r"CASE WHEN regexp_matches(text, '[A-Za-z0-9]') THEN upper(regexp_replace(regexp_replace(replace(text, 'ß', 'ss'), '^[ :;,.]+|[ :;,.]+$', '', 'g'), '\s+', '', 'g')) END", values.identifier)
-_register("x17_yes_no", r"CASE WHEN regexp_matches(text, '(?i)\b(not (?:be )?(?:automatically )?renew|no automatic renewal|shall not renew|no|false)\b') THEN FALSE WHEN regexp_matches(text, '(?i)\b(automatically renew|auto[- ]?renew|shall renew|will renew|renews automatically|yes|true)') THEN TRUE END", values.yes_no)
-_register("x20_document_numbers", None, lambda c: values.document_numbers(c))
+_register("x17_yes_no", f"CASE WHEN regexp_matches(text, '{values.phrase_pattern(values.DENIALS, True)}') THEN FALSE WHEN regexp_matches(text, '{values.phrase_pattern(values.ASSENTS, False)}') THEN TRUE END", values.yes_no)
 _register("x01_nfkc", None, values.nfkc)
 _register("n14_estimate_tokens", "ceil(length(text) / 4)::BIGINT", values.estimate_tokens)
 
 
+@query("x20_document_numbers", r"""
+    WITH f AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9/-]{3,}'), lambda t: regexp_matches(t, '[0-9]') AND NOT regexp_full_match(t, '(19|20)[0-9][0-9]')) AS found FROM documents)
+    SELECT doc_id, list_filter(found, lambda t, i: list_position(found, t) = i)[1:5] AS value FROM f""")
+def _(t):
+    return t.documents.select("doc_id", values.document_numbers(F.col("text")).alias("value"))
+
+
 @query("x15_email", r"SELECT doc_id, nullif(lower(regexp_extract(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')), '') AS email FROM documents")
 def _(t):
     return t.documents.select("doc_id", values.email(F.col("text")).alias("email"))

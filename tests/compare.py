@@ -4,11 +4,13 @@ import datetime
 import decimal
 
 
-def plain(value):
+def plain(value, inside=False):
+    if isinstance(value, decimal.Decimal) and inside:  # in a list not the same as an equal float
+        return f"decimal {value}"
     if isinstance(value, float | decimal.Decimal):
         return f"{float(value):.9g}"
     if isinstance(value, list | tuple):
-        return tuple(plain(v) for v in value)
+        return tuple(plain(v, True) for v in value)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None).isoformat()
     return bytes(value) if isinstance(value, bytearray) else str(value)
