@@ -65,7 +65,7 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Vectors that take part, as SQL.
-SQL_FINITE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+SQL_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 OP3_SQL = f"""
 WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings WHERE {SQL_FINITE}),
 scored AS (

@@ -21,7 +21,7 @@ CELLS = 1 << 20
 
 def _finite(embedding: str) -> Column:
     x = F.col(f"`{embedding}`").cast("array<double>")
-    return x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    return x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -41,35 +41,38 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 # ---------------------------------------------------------------------- exact top-k search
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id: str = "vec_id", embedding: str = "embedding", query_block: int = 4096, bins: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id: str = "vec_id", embedding: str = "embedding", query_block: int = 16384, bins: int = 128) -> DataFrame:
     """The ``k`` highest inner products of each query with every other row; ties to the smaller id.
 
-    Components become ``floor(scale * x)``, so scores are whole numbers.  The queries are
-    taken in blocks of at most about ``query_block`` rows, the only rows that reach the
-    driver.  For a block every partition scores all its vectors and returns, for each
-    query, a histogram of its scores, from the top down to its own k-th; the sums of the
-    histograms locate the bin of the global k-th score, the next round divides that bin,
-    until it is one value wide.  A last pass returns the scores above that value and, of
-    those equal to it, as many smallest ids as are still wanted.  Nothing but histograms
-    and at most ``k`` rows a query and partition leaves a task.
+    Components become ``floor(scale * x)``, so scores are whole numbers; these vectors are
+    written to the shared folder once and every scan reads them there.  The queries are taken
+    in blocks of about ``query_block`` rows, the only rows that reach the driver.  For a block
+    every partition scores all its vectors and returns, for each query, a histogram of its
+    scores, from the top down to its own k-th; the sums of the histograms locate the bin of
+    the global k-th score, the next round divides that bin, until it is one value wide.  A
+    last pass returns the scores above that value and, of those equal to it, as many smallest
+    ids as are still wanted.  Nothing but histograms and at most ``k`` rows a query and
+    partition leaves a task, and a bin a query reaches the driver.
 
     Queries are the rows where ``is_query`` holds; repeated query rows are answered once.
-    Rows with a null id, or whose vector is null, empty or has a null or non-finite
-    component, take no part, and vectors of another length than the query's are no
-    candidates.  A row with the query's id is the query's own.  Fewer than ``k`` candidates:
-    all.  Sums beyond 64 bits raise an error.  Returns ``query_id, rank, vec_id, score``;
-    other columns are ignored.
+    Rows with a null id, or whose vector is null or has a null or non-finite component, take no
+    part, and vectors of another length than the query's are no candidates; an empty vector has
+    the score 0 with other empty ones.  A row with the query's id is the query's own.  Fewer
+    than ``k`` candidates: all.  Sums beyond 64 bits raise an error.  Returns ``query_id, rank,
+    vec_id, score``; other columns are ignored, whatever their names.  An empty table, or no
+    queries, give an empty table.
     """
     whole = F.transform(F.col(f"`{embedding}`"), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     asked = F.col(f"`{id}`").isNotNull() & _finite(embedding)
-    rows = vectors.where(asked).select(F.col(f"`{id}`").cast("long").alias("id"), whole.alias("v"))
-    queries = vectors.where(asked & is_query).select(F.col(f"`{id}`").cast("long").alias("id"), whole.alias("v")).distinct()
+    rows = materialize(vectors.where(asked).select(F.col(f"`{id}`").cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")), "whole-vectors")
+    queries = rows.where("asked").select("id", "v").distinct()
+    rows = rows.select("id", "v")
     most, n = (x or 0 for x in (rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0], queries.count()))
     blocks = max(1, math.ceil(n / query_block))
     found = []
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        chosen = part.collect()
+        chosen = part.toArrow().combine_chunks()
         for i in range(0, max(1, len(chosen)), 2 * query_block):
             result = _top_of_block(rows, chosen[i : i + 2 * query_block], k, bins, most)
             found.append(result if blocks == 1 else materialize(result, "top-k"))
@@ -79,38 +82,41 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     return out
 
 
-def _top_of_block(rows: DataFrame, chosen: list, k: int, bins: int, most: int) -> DataFrame:
+def _top_of_block(rows: DataFrame, chosen: pa.Table, k: int, bins: int, most: int) -> DataFrame:
     spark = rows.sparkSession
-    ids = np.array([r.id for r in chosen], dtype=np.int64)
-    by_length: dict[int, np.ndarray] = {}
-    for j, r in enumerate(chosen):
-        by_length.setdefault(len(r.v), []).append(j)
-    queries = {d: (np.array(js), np.array([chosen[j].v for j in js], dtype=np.int64)) for d, js in by_length.items()}
-    bound = np.array([sum(abs(x) for x in r.v) * most for r in chosen] or [0], dtype=object)
-    if bound.max() >= 1 << 62:
-        raise ArithmeticError("inner products leave the range of long")
-    kind = np.float64 if bound.max() < 1 << 53 else np.int64
+    ids = chosen["id"].to_numpy()
+    queries, bound = {}, 0
+    lengths = pc.list_value_length(chosen["v"]).to_numpy(zero_copy_only=False)
+    low = np.zeros(len(ids), dtype=np.int64)
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        matrix = pc.list_flatten(chosen["v"].take(pa.array(at))).to_numpy().reshape(len(at), d).astype(np.int64)
+        queries[int(d)] = at, matrix
+        sums = [sum(abs(x) for x in row) * most for row in matrix.tolist()]  # without overflow
+        bound = max([bound, *sums])
+        if bound >= 1 << 62:
+            raise ArithmeticError("inner products leave the range of long")
+        low[at] = [-x for x in sums]
+    kind = np.float64 if bound < 1 << 53 else np.int64
     shared = spark.sparkContext.broadcast((ids, queries))
-    low = -bound.astype(np.int64)
-    width = int((2 * bound.max() + 1) or 1)
+    width = 2 * bound + 1
     want = np.full(len(ids), k)
     done = np.zeros(len(ids), dtype=bool)  # fewer candidates than wanted: all are taken
     while len(ids) and not (width == 1 or done.all()):
         width = -(-width // bins)
         at = spark.sparkContext.broadcast((low, width, want))
-        counts = rows.mapInArrow(lambda it, at=at: _histograms(it, shared.value, *at.value, bins, kind), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        tops = counts.groupBy("q").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
+        counts = rows.mapInArrow(lambda it, at=at: _histograms(it, shared.value, *at.value, bins, kind), "q int, bin int, n long, want long")
+        summed = counts.groupBy("q", "bin").agg(F.sum("n").alias("n"), F.max("want").alias("want"))
+        summed = summed.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin"))))
+        reached = F.when((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")), F.struct("bin", (F.col("upto") - F.col("n")).alias("above")))
         seen = np.zeros(len(ids), dtype=bool)
-        for q, total, parts in tops.collect():  # a row a query of the block
+        for q, place in summed.groupBy("q").agg(F.max(reached).alias("place")).collect():  # a row a query of the block
             seen[q] = True
-            if total < want[q]:
+            if place is None:
                 done[q] = True
-                continue
-            for number, n in parts:
-                if n >= want[q]:
-                    low[q] += number * width
-                    break
-                want[q] -= n
+            else:
+                low[q] += place.bin * width
+                want[q] -= place.above
         done |= ~seen
     limit = spark.sparkContext.broadcast((np.where(done, np.iinfo(np.int64).min, low), np.where(done, 0, want)))
     kept = rows.mapInArrow(lambda it: _above(it, shared.value, *limit.value, kind), "q int, query_id long, vec_id long, score long")
@@ -142,7 +148,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], shared: tuple, low: np.ndarra
     above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
     q, at = np.nonzero((counts > 0) & (above < want[:, None]))
     if len(q):
-        yield pa.record_batch({"q": q.astype(np.int32), "bin": at.astype(np.int32), "n": counts[q, at]})
+        yield pa.record_batch({"q": q.astype(np.int32), "bin": at.astype(np.int32), "n": counts[q, at], "want": want[q].astype(np.int64)})
 
 
 def _above(batches: Iterator[pa.RecordBatch], shared: tuple, limit: np.ndarray, want: np.ndarray, kind: type) -> Iterator[pa.RecordBatch]:

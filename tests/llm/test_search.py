@@ -13,7 +13,7 @@ SCHEMA = "vec_id long, embedding array<double>"
 
 
 def brute_top(rows, asked, k):
-    whole = [(i, np.floor(1024 * np.array(v)).astype(object)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, np.floor(1024 * np.array(v, dtype=float)).astype(object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, v in {(i, tuple(v)) for i, v in whole if asked(i)}:
         scores = sorted((-int(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in whole if i != q and len(w) == len(v))[:k]
@@ -25,7 +25,7 @@ def brute_top(rows, asked, k):
 def test_top_k(spark, options):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.integers(-3, 4, 4) / 4).tolist()) for i in range(120)]
-    rows += [(500, None), (501, []), (502, [1.0, None, 0.0, 0.0]), (503, [float("nan")] * 4), (None, [1.0] * 4), (510, [1.0, 2.0]), (520, [0.5, 0.5]), (530, [1e3] * 4), (0, rows[0][1])]
+    rows += [(500, None), (501, []), (540, []), (505, []), (502, [1.0, None, 0.0, 0.0]), (503, [float("nan")] * 4), (None, [1.0] * 4), (510, [1.0, 2.0]), (520, [0.5, 0.5]), (530, [1e3] * 4), (0, rows[0][1])]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit(1))
     found = sorted(tuple(r) for r in vectors.top_k(df, F.col("vec_id") % 10 == 0, k=5, **options).select("query_id", "rank", "vec_id", "score").collect())
     assert found == brute_top(rows, lambda i: i % 10 == 0, 5)
