@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import ratio, token_set_ratio
 
 #: Readings of a lower confidence are weak.
 MIN_CONFIDENCE = 0.75
@@ -129,14 +129,45 @@ def match_lines_fuzzy(left: DataFrame, right: DataFrame, threshold: float = 85.0
     line = F.struct("line", reference_key(F.col("sku")).alias("key"), "description")
     a, b = (df.groupBy("doc_id").agg(F.collect_list(line).alias(side)) for df, side in ((left, "a"), (right, "b")))
     pairs = a.join(b, "doc_id", "full")  # a row a document
-    return pairs.mapInArrow(lambda it: _matched(it, threshold), "doc_id long, left_line long, right_line long")
+    return pairs.mapInArrow(lambda it: _matched(it, lambda x, y: greedy_pairs(x, y, threshold)), "doc_id long, left_line long, right_line long")
 
 
-def _matched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def pair_readings(left: DataFrame, right: DataFrame, least: float = 85.0) -> DataFrame:
+    """Pairs the rows of a table that two extractors read: by code, else by the most similar description, else by place.
+
+    Both sides have ``doc_id, line, sku, description``.  Rows pair once, in the order of the
+    left side; if nothing pairs and both read as many rows, they pair in order.  Returns
+    ``doc_id, left_line, right_line`` with nulls for rows left over.
+    """
+    flat = lambda c: F.nullif(F.regexp_replace(F.lower(c), r"\s+", ""), F.lit(""))
+    row = F.struct("line", flat("sku").alias("key"), flat("description").alias("description"))
+    a, b = (df.groupBy("doc_id").agg(F.collect_list(row).alias(side)) for df, side in ((left, "a"), (right, "b")))
+    return a.join(b, "doc_id", "full").mapInArrow(lambda it: _matched(it, lambda x, y: reading_pairs(x, y, least)), "doc_id long, left_line long, right_line long")
+
+
+def reading_pairs(left: list[dict], right: list[dict], least: float) -> list[tuple[int | None, int | None]]:
+    left, free = sorted(left, key=lambda x: x["line"]), sorted(right, key=lambda x: x["line"])
+    rows, pairs = list(free), []
+    name = lambda x: ("code", x["key"]) if x["key"] else ("text", x["description"])
+    for line in left:
+        twin = next((o for o in free if name(line)[1] and name(o) == name(line)), None)
+        if twin is None and line["description"]:
+            scored = [(ratio(line["description"], o["description"]), o) for o in free if o["description"]]
+            best = max(scored, key=lambda s: s[0], default=(0.0, None))
+            twin = best[1] if best[0] >= least else None
+        if twin:
+            free.remove(twin)
+        pairs.append((line["line"], twin["line"] if twin else None))
+    if len(left) == len(rows) and all(b is None for _, b in pairs):
+        return [(a["line"], b["line"]) for a, b in zip(left, rows, strict=True)]
+    return pairs + [(None, o["line"]) for o in free]
+
+
+def _matched(batches: Iterator[pa.RecordBatch], pair: Callable) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc, a, b in zip(*(batch[c].to_pylist() for c in ("doc_id", "a", "b")), strict=True):
-            rows += [(doc, x, y) for x, y in greedy_pairs(a or [], b or [], threshold)]
+            rows += [(doc, x, y) for x, y in pair(a or [], b or [])]
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "left_line", "right_line"])
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Review priorities, first come first.
 PRIORITIES = ["URGENT", "HIGH", "NORMAL", "LOW"]
 LAST_DAY = "9999-12-31"
@@ -80,3 +84,21 @@ def within_budget(df: DataFrame, keys: list[str], order: list[str], cost: Column
     window = Window.partitionBy(*keys).orderBy(*order)
     upto = F.coalesce(F.sum(cost).over(window.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     return df.withColumn("__upto", upto).withColumn("__nr", F.row_number().over(window)).where((F.col("__upto") <= budget) | (F.col("__nr") == 1)).drop("__upto", "__nr")
+
+
+def places(df: DataFrame, key: str, order: list[str], alias: str) -> DataFrame:
+    """The place of each row among those of its ``key``, in an order that ends in a unique column.
+
+    The rows are sorted by range over all tasks, so a key that holds much of the table is many
+    partitions; each adds the rows of the key in the partitions before it, a count a key
+    and partition.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    path = f"{shared_dir(df.sparkSession)}/places-{uuid.uuid4().hex}"
+    df.repartitionByRange(parts, key, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    sorted_ = df.sparkSession.read.parquet(path)
+    counts = sorted_.groupBy(key, "__part").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(key).orderBy("__part")) - F.col("__n")).select(F.col(key).alias("__key"), F.col("__part").alias("__of"), "__before")
+    inside = F.row_number().over(Window.partitionBy(key, "__part").orderBy(*order))
+    joined = sorted_.withColumn("__inside", inside).join(before, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")))
+    return joined.withColumn(alias, F.col("__before") + F.col("__inside")).select(*df.columns, alias)

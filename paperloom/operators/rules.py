@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import find_clause, governing_law, notice_days
+
 #: The configured rules: code, type, document types, severity, parameters.
 RULES = [
     ("INV_DUPLICATE", "duplicate_document", ["INVOICE"], "HIGH", {"date_window_days": "7"}),
@@ -104,6 +108,26 @@ def contract_expiry(expires: Column, renews: Column, today: Column, days: int) -
             .when(expires <= F.date_add(today, days), "WARN").otherwise("PASS"))
 
 
+def notice_period(clauses: Column, extracted: Column, keyword: str = "Termination", most: int = 90) -> Column:
+    """``struct(outcome, days)``: the extracted notice period, else the longest in the clause, against the policy's most.
+
+    Without either there is nothing to judge; a clause that states no days is for a person.
+    """
+    clause = find_clause(clauses, keyword)
+    days = F.coalesce(extracted, F.when(clause.isNotNull(), notice_days(clause["text"])))
+    outcome = F.when(days > most, "FAIL").when(days.isNotNull(), "PASS").when(clause.isNotNull(), "WARN").otherwise("NOT_APPLICABLE")
+    return F.struct(outcome.alias("outcome"), days.alias("days"))
+
+
+def approved_law(clauses: Column, allowed: list[str], keyword: str = "Governing Law") -> Column:
+    """``struct(outcome, place)``: whether the clause names an approved law, in any case; another one, or none, is for Legal."""
+    clause = find_clause(clauses, keyword)
+    flat = F.lower(F.regexp_replace(clause["text"], r"\s+", " "))
+    named = reduce(lambda a, b: a | b, [F.contains(flat, F.lit(x.lower())) for x in allowed])
+    outcome = F.when(clause.isNull(), "NOT_APPLICABLE").when(named, "PASS").otherwise("WARN")
+    return F.struct(outcome.alias("outcome"), F.when(clause.isNotNull(), governing_law(clause["text"])).alias("place"))
+
+
 def terms_limit(terms: Column, issued: Column, due: Column, most: int) -> Column:
     days = F.coalesce(terms, F.datediff(due, issued))
     return F.when(days.isNull(), "NOT_APPLICABLE").when(days > most, "FAIL").otherwise("PASS")

@@ -31,6 +31,19 @@ def related(df: DataFrame, id: str, keys: list[list[str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def related_groups(df: DataFrame, id: str, keys: dict[str, list[str]]) -> DataFrame:
+    """``id, kind, oldest, others``: of each key that a row shares, the smallest id of the group, and how many others it has.
+
+    A group is its members and their number; pairs are never listed, so a frequent value costs
+    a row a member.  Counts are aggregated before they meet the rows again.
+    """
+    parts = []
+    for kind, columns in keys.items():
+        groups = df.dropna(subset=columns).groupBy(*columns).agg(F.min(id).alias("oldest"), (F.count("*") - 1).alias("others")).where("others > 0")
+        parts.append(df.join(groups, columns).select(id, F.lit(kind).alias("kind"), "oldest", "others"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def oldest_copy(df: DataFrame, digest: str, id: str, alias: str) -> DataFrame:
     """The smallest id of each digest; the minimum is aggregated first, so copies make no large window."""
     first = df.groupBy(F.col(digest).alias("__d")).agg(F.min(id).alias(alias))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..operators import extraction, fields, matching, metrics, rules, sets, text
+from ..operators import extraction, fields, matching, metrics, ranking, rules, sets, text
 from ..sources import files
 from ..sources.shared import shared_dir
 from .matching import LINE_RULES, PAIRS, line_rules, three_way
@@ -158,9 +158,12 @@ def _(t):
     return matching.compare_headers(t.inv_header, t.po_header).groupBy("check").agg(F.count_if(F.col("status") == "MISMATCH").alias("mismatches"))
 
 
-@query("j15_duplicate_candidates", "SELECT a.doc_id, b.doc_id AS other_id FROM inv_header a JOIN inv_header b ON a.doc_id <> b.doc_id AND (a.number = b.number OR a.total = b.total)")
+@query("j15_duplicate_candidates", """
+    SELECT doc_id, 'number' AS kind, min(doc_id) OVER w AS oldest, count(*) OVER w - 1 AS others FROM inv_header WINDOW w AS (PARTITION BY number) QUALIFY others > 0
+    UNION ALL SELECT doc_id, 'total', min(doc_id) OVER w AS oldest, count(*) OVER w - 1 AS others FROM inv_header WINDOW w AS (PARTITION BY total) QUALIFY others > 0""")
 def _(t):
-    return sets.related(t.inv_header.select("doc_id", "number", "total"), "doc_id", [["number"], ["total"]])
+    """Documents that share a number or a total, as groups."""
+    return sets.related_groups(t.inv_header.select("doc_id", "number", "total"), "doc_id", {"number": ["number"], "total": ["total"]})
 
 
 @query("z19_corpus_duplicates", """
@@ -206,8 +209,8 @@ def _(t):
 
 @query("q07_department_turns", "SELECT job_id, department, row_number() OVER (PARTITION BY department ORDER BY created_at, job_id)::INT AS turn FROM jobs WHERE status = 'QUEUED'")
 def _(t):
-    turn = F.row_number().over(Window.partitionBy("department").orderBy("created_at", "job_id"))
-    return t.jobs.where("status = 'QUEUED'").select("job_id", "department", turn.alias("turn"))
+    queued = t.jobs.where("status = 'QUEUED'").select("job_id", "department", "created_at")
+    return ranking.places(queued, "department", ["created_at", "job_id"], "turn").select("job_id", "department", F.col("turn").cast("int").alias("turn"))
 
 
 @query("x05_tax_keys", "SELECT vendor_id, nullif(upper(regexp_replace(tax_id, '[^0-9A-Za-z]', '', 'g')), '') AS key FROM vendors")

@@ -1,8 +1,9 @@
 """Fields of printed documents: nulls, empty tables, ties, values against their quotes."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import extraction, fields, metrics, text
+from paperloom.operators import extraction, fields, matching, metrics, ranking, text, tools
 from paperloom.plans.fields import HEADERS, LABELS
 
 LINES = "doc_id long, line int, text string"
@@ -76,3 +77,60 @@ def test_header_offset_and_bounds(spark):
     df = spark.createDataFrame([([(0.0, 10.0), (20.0, 30.0), (50.0, 60.0)], [(0.0, 12.0), (16.0, 44.0)]), ([(0.0, 1.0)], []), ([], None)], f"h {box}, w {box}")
     # Between the first two headers the gap of the words; before the third, free from 44 on.
     assert [r[0] for r in df.select(extraction.column_bounds(F.col("h"), F.coalesce("w", F.array().cast(box)))).collect()] == [[15.0, 49.99], [], []]
+
+
+WORD = "page_id long, text string, x0 double, y0 double, x1 double, y1 double, size double"
+
+
+def words(*cells):
+    return [(1, s, float(x), float(y), x + 5.0 * len(s), y + 10.0, 10.0) for x, y, s in cells]
+
+
+def test_blocks_and_labels(spark):
+    """Columns of labels read with their values, prose in columns reads down, empty pages give nothing."""
+    page = words((10, 10, "Date"), (60, 10, "2024"), (10, 24, "No"), (60, 24, "17"), (10, 100, "left"), (30, 100, "side"), (10, 114, "goes"), (400, 100, "right"), (400, 114, "too"))
+    df = spark.createDataFrame(page, WORD)
+    apart = [r.text for r in extraction.blocks(df, merge=False).orderBy("block").collect()]
+    merged = [r.text for r in extraction.blocks(df).orderBy("block").collect()]
+    assert apart == ["Date\nNo", "2024\n17", "left side\ngoes", "right\ntoo"] and merged == ["Date 2024\nNo 17", "left side\ngoes", "right\ntoo"]
+    assert extraction.blocks(df.limit(0)).count() == 0 and extraction.lay_out(df.limit(0)).count() == 0
+
+
+def test_vendor_recall(spark):
+    """Names with a letter changed, dropped or doubled anywhere still find their vendor, however common their letters are."""
+    names = ["Kestrel Marine", "Osprey Marine", "Harbor and Pine", "Pine Marine Supply", "North Sea Freight", "Marine Freight Nord", "Albatross Lines", "Petrel Lines Freight"]
+    vendors = spark.createDataFrame([(i, n, None) for i, n in enumerate(names)], "vendor_id long, name string, tax_id string")
+    printed = [(100 * i + k, n[:k] + n[k] * 2 + n[k + 1 :], None) for i, n in enumerate(names) for k in range(len(n)) if n[k].isalpha()]
+    printed += [(100 * i + 50 + k, n[:k] + n[k + 1 :], None) for i, n in enumerate(names) for k in range(1, len(n)) if n[k].isalpha()] + [(-1, None, None), (-2, "Nobody", None)]
+    found = {r.doc_id: r.vendor_id for r in extraction.resolve_vendors(spark.createDataFrame(printed, "doc_id long, name string, tax_id string"), vendors).collect()}
+    assert {d: v for d, v in found.items() if d >= 0} == {d: d // 100 for d, _, _ in printed if d >= 0} and found[-1] is None and found[-2] is None
+    aliases = spark.createDataFrame([(3, "PMS Group")], "vendor_id long, alias string")
+    one = spark.createDataFrame([(1, "P.M.S. group ltd", "x")], "doc_id long, name string, tax_id string")
+    assert [(r.vendor_id, r.method) for r in extraction.resolve_vendors(one, vendors, aliases).collect()] == [(3, "name")]
+
+
+def test_places_of_a_hot_key(spark):
+    df = spark.range(1000).selectExpr("IF(id % 10 < 9, 1, NULL) AS k", "id % 7 AS o", "id")
+    got = {(r.k, r.o, r.id): r.place for r in ranking.places(df, "k", ["o", "id"], "place").collect()}
+    for k in (1, None):
+        assert [got[x] for x in sorted(x for x in got if x[0] == k)] == list(range(1, 1 + sum(x[0] == k for x in got)))
+
+
+def test_tools(spark):
+    docs = spark.createDataFrame([(1, "INVOICE", 10.0, None), (2, "INVOICE", 5000.0, None)], "doc_id long, document_type string, total double, doc_date date")
+    tables = {"documents": docs, "tasks": spark.createDataFrame([(1, "OPEN")], "doc_id long, state string")}
+    assert [r.doc_id for r in tools.call("search_documents", tables, query="invoices over 1k").collect()] == [2]
+    assert tools.call("create_review_task", tables, document_id=1, reason="x").count() == 0 and tools.call("create_review_task", tables, document_id=2, reason="x").count() == 1
+    with pytest.raises(KeyError):
+        tools.call("drop_everything", tables)
+    with pytest.raises(PermissionError):
+        tools.call("generate_report", tables, allowed={"get_document"}, document_id=1)
+    with pytest.raises(ValueError, match="document_id"):
+        tools.call("get_document", tables)
+
+
+def test_readings_pair_by_place_when_nothing_else_helps():
+    rows = lambda *names: [{"line": i, "key": None, "description": n} for i, n in enumerate(names)]
+    assert matching.reading_pairs(rows("aaaa", "bbbb"), rows("cccc", "dddd"), 85) == [(0, 0), (1, 1)]
+    assert matching.reading_pairs(rows("blue steel pipe"), rows("red", "blue steel pipes"), 85) == [(0, 1), (None, 0)]
+    assert matching.reading_pairs([], rows("a"), 85) == [(None, 0)] and matching.reading_pairs(rows(None), rows(None, "x"), 85) == [(0, None), (None, 0), (None, 1)]

@@ -109,3 +109,44 @@ def test_limits():
 def test_names():
     assert safe_name("a/b\\c:d?.pdf") == "cd.pdf" and safe_name(" .. ") == "document" and safe_name(None) == "document"
     assert len(safe_name("ü" * 300 + ".pdf").encode()) <= 200 and safe_name("ü" * 300 + ".pdf").endswith(".pdf")
+
+
+@pytest.mark.parametrize(("question", "wanted"), [
+    ("invoices from Kestrel Industrial Supply, Inc.", {"types": ["INVOICE"], "vendor": "Kestrel Industrial Supply", "text": "Inc"}),
+    ("purchase orders from Harbor and Pine", {"types": ["PURCHASE_ORDER"], "vendor": "Harbor and Pine"}),
+    ("documents from Bank of Ohio about loans", {"vendor": "Bank of Ohio", "text": "loans"}),
+    ("documents with payment terms longer than 30 days", {"terms": ("gt", 30)}),
+    ("documents with payment terms of at least 60 days", {"terms": ("gte", 60)}),
+    ("documents with payment terms shorter than 45 days", {"terms": ("lt", 45)}),
+    ("payment terms longer  than\t30 calendar days", {"terms": ("gt", 30)}),
+    ("net 45", {"terms": ("eq", 45)}), ("payment terms net30 days", {"terms": ("eq", 30)}),
+    ("invoices over 2,000", {"types": ["INVOICE"], "amount": ("gt", 2000.0)}), ("purchase orders under 1,000", {"types": ["PURCHASE_ORDER"], "amount": ("lt", 1000.0)}),
+    ("contracts with a total of at most 1.5 million euros", {"types": ["CONTRACT"], "amount": ("lte", 1.5e6)}), ("invoices >= $12,345.67", {"types": ["INVOICE"], "amount": ("gte", 12345.67)}),
+    ("over 30 days", {"text": "over 30 days"}), ("over 20% discount", {"text": "over 20 discount"}),
+    ("invoices in March 2026", {"types": ["INVOICE"], "since": dt.date(2026, 3, 1), "until": dt.date(2026, 3, 31)}),
+    ("receipts during 2025", {"types": ["RECEIPT"], "since": dt.date(2025, 1, 1), "until": dt.date(2025, 12, 31)}),
+    ("in February 2024", {"since": dt.date(2024, 2, 1), "until": dt.date(2024, 2, 29)}),
+    ("between 2026-01-01 and 2026-02-01", {"since": dt.date(2026, 1, 1), "until": dt.date(2026, 2, 1)}),
+    ("between 2026-13-01 and 2026-14-01", {}), ("since 2026-02-30", {"text": "since 2026-02-30"}),
+    ("after 2026-01-31 before 2026-03-01", {"since": dt.date(2026, 2, 1), "until": dt.date(2026, 2, 28)}), ("from 2026-01-01 until 2026-01-31", {"since": dt.date(2026, 1, 1), "until": dt.date(2026, 1, 31)}),
+    ("delivery notes", {"types": ["DELIVERY_NOTE"]}), ("goods received notes and packing slips", {"types": ["DELIVERY_NOTE"], "text": "packing slips"}), ("p.o.s", {"types": ["PURCHASE_ORDER"]}),
+    ("résumés and CVs", {"types": ["RESUME"], "text": "CVs"}), ("insurance policies", {"types": ["POLICY"]}), ("bank statements billed by \"Acme & Co\"", {"types": ["BANK_STATEMENT"], "vendor": "Acme & Co"}),
+    ("contracts containing termination clauses", {"types": ["CONTRACT"], "text": "termination clauses"}), ("from all", {"text": "from"}), ("", {}), ("Flüge nach Köln", {"text": "Flüge nach Köln"}),
+    ("agreements issued by the supplier O'Neil with notes", {"types": ["CONTRACT"], "vendor": "O'Neil", "text": "notes"}), ("find all invoices from Vendor Kestrel", {"types": ["INVOICE"], "vendor": "Kestrel"}),
+])
+def test_search_sentences(question, wanted):
+    parsed = search.parse(question)
+    assert {k: v for k, v in vars(parsed).items() if v and k != "recognized"} == wanted
+    assert bool(parsed.recognized) == any(k != "text" for k in wanted)
+
+
+def test_search_says_what_it_understood():
+    assert search.parse("invoices over 10,000 net 30 in 2026 from Kestrel").recognized == ["dated 2026-01-01 to 2026-12-31", "payment terms exactly 30 days", "total more than 10,000", "type INVOICE", "vendor 'Kestrel'"]
+
+
+@pytest.mark.parametrize(("line", "wanted"), [
+    ("Clause 7 - Fees", ("7", "Fees")), ("Article 3: Term.", ("3", "Term")), ("7.2 Cap", ("7.2", "Cap")), ("7. Fees", ("7", "Fees")), ("7) Fees", ("7", "Fees")), ("7 Fees", None), ("1.2.3.4. Scope", ("1.2.3.4", "Scope")),
+    ("1.2.3.4.5 Deep", None), ("30 Days after", None), ("2. the buyer pays", None), ("2. Where the buyer is late,", None), ("3. " + "Word " * 11, None), ("", None), ("SECTION 12", None), ("section 4.1) Late payment", ("4.1", "Late payment")),
+])
+def test_headings(line, wanted):
+    assert text.heading(line) == wanted
