@@ -62,14 +62,17 @@ def keyed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("key", reference_key(F.col("sku"))).withColumn("weak", F.col("confidence") < MIN_CONFIDENCE)
 
 
-def compare_lines(subject: DataFrame, order: DataFrame, deliveries: DataFrame | None, price_abs=0.01, price_pct=0, quantity_abs=0, currencies_differ: DataFrame | None = None) -> DataFrame:
+def compare_lines(subject: DataFrame, order: DataFrame, deliveries: DataFrame | None, price_abs=0.01, price_pct=0, quantity_abs=0, currencies_differ: DataFrame | None = None, checks: tuple[str, ...] | None = None) -> DataFrame:
     """Comparison items of invoice lines against their order, and the sum of their deliveries.
 
     Lines of a document pair by item code.  All inputs have ``doc_id, sku, quantity,
     confidence``; invoice and order also ``unit_price``.  Returns ``doc_id, key, check,
     status, difference``.  Sums of deliveries are aggregated before the join; every join is
-    on document and code, so one document's lines are the most that meet.
+    on document and code, so one document's lines are the most that meet, and counts over a
+    document are windows over its pairs.  With ``checks`` only those are computed: without
+    the ones of single lines or deliveries, neither is looked for.
     """
+    wanted = lambda *names: checks is None or any(n in checks for n in names)
     left = keyed(subject).select("doc_id", "key", "quantity", "unit_price", "weak")
     right = keyed(order).select("doc_id", "key", "quantity", "unit_price", "weak")
     pairs = pair_by_key(left, right, "doc_id", "key", ["quantity", "unit_price"])
@@ -79,12 +82,16 @@ def compare_lines(subject: DataFrame, order: DataFrame, deliveries: DataFrame |
         pairs = pairs.withColumn("currencies_differ", F.lit(False))
     weak = F.coalesce(F.col("l_weak"), F.lit(False)) | F.coalesce(F.col("r_weak"), F.lit(False))
     both = F.col("l_has").isNotNull() & F.col("r_has").isNotNull()
-    # Of each document: lines on either side, and whether a line that is left over is weak.
-    docs = pairs.groupBy("doc_id").agg(
-        F.count("l_has").alias("n_left"), F.count("r_has").alias("n_right"),
-        F.max(F.when(F.col("r_has").isNull(), F.col("l_weak"))).alias("extra_weak"), F.max(F.when(F.col("l_has").isNull(), F.col("r_weak"))).alias("open_weak"),
-    )
-    rows = pairs.join(docs, "doc_id")
+    if wanted("line_on_order", "line_fulfilled"):
+        # Of each document: lines on either side, and whether a line that is left over is weak.
+        doc = Window.partitionBy("doc_id")
+        rows = pairs.withColumns({
+            "n_left": F.count("l_has").over(doc), "n_right": F.count("r_has").over(doc),
+            "extra_weak": F.max(F.when(F.col("r_has").isNull(), F.col("l_weak"))).over(doc), "open_weak": F.max(F.when(F.col("l_has").isNull(), F.col("r_weak"))).over(doc),
+        })
+    else:
+        none = {"n_left": F.lit(1), "n_right": F.lit(1), "extra_weak": F.lit(False), "open_weak": F.lit(False)}
+        rows = pairs.where(both).withColumns(none)
     null = F.lit(None).cast("decimal(18,4)")
     any_weak = lambda *names: reduce(lambda a, b: a | b, [F.coalesce(F.col(n), F.lit(False)) for n in names])
     items = F.when(both, F.array(
@@ -95,8 +102,8 @@ def compare_lines(subject: DataFrame, order: DataFrame, deliveries: DataFrame |
     )).otherwise(F.array(
         F.struct(F.lit("line_fulfilled").alias("check"), missing_status(F.col("n_left") == 0, any_weak("r_weak", "extra_weak")).alias("status"), null.alias("difference")),
     ))
-    out = rows.select("doc_id", "key", F.inline(items))
-    if deliveries is None:
+    out = rows.select("doc_id", "key", F.inline(items if checks is None else F.filter(items, lambda x: x["check"].isin(*checks))))
+    if deliveries is None or not wanted("quantity_delivered", "line_delivered"):
         return out
     notes = keyed(deliveries).groupBy("doc_id", "key").agg(F.sum("quantity").cast("decimal(18,4)").alias("delivered"), F.max("weak").alias("d_weak"))
     noted = notes.groupBy("doc_id").agg(F.count("*").alias("n_notes"))
@@ -107,7 +114,7 @@ def compare_lines(subject: DataFrame, order: DataFrame, deliveries: DataFrame |
         F.when(has, numeric_status(F.col("quantity"), F.col("delivered"), F.col("weak") | F.coalesce("d_weak", F.lit(False)), quantity_abs)).otherwise(missing_status(F.lit(False), F.col("weak"))).alias("status"),
         F.when(has, F.col("quantity") - F.col("delivered")).cast("decimal(18,4)").alias("difference"),
     )
-    return out.unionByName(delivered)
+    return out.unionByName(delivered if checks is None else delivered.where(F.col("check").isin(*checks)))
 
 
 def compare_headers(subject: DataFrame, order: DataFrame) -> DataFrame:

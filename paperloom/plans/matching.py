@@ -27,9 +27,9 @@ PAIRS = f"""
             FROM l LEFT JOIN notes USING (doc_id, key) WHERE l.doc_id IN (SELECT doc_id FROM notes))"""
 
 
-def _items(t):
+def _items(t, checks=None):
     unlike = t.inv_header.select("doc_id", F.col("currency").alias("a")).join(t.po_header.select("doc_id", "currency"), "doc_id").select("doc_id", (F.col("a") != F.col("currency")).alias("currencies_differ"))
-    return matching.compare_lines(t.inv_lines, t.po_lines, t.dn_lines, currencies_differ=unlike)
+    return matching.compare_lines(t.inv_lines, t.po_lines, t.dn_lines, currencies_differ=unlike, checks=checks)
 
 
 @query("j12_three_way_match", f"WITH {PAIRS} SELECT doc_id, key, \"check\", status, CAST(difference AS DECIMAL(18,4)) AS difference FROM items")
@@ -122,7 +122,7 @@ def line_rules(t):
 
 @query("l02_price_differs", f"WITH {LINE_RULES} SELECT doc_id, failing FROM results WHERE code = 'INV_PO_UNIT_PRICE' AND outcome = 'FAIL'")
 def flagship(t):
-    return rules.line_rules(_items(t)).where("code = 'INV_PO_UNIT_PRICE' AND outcome = 'FAIL'").select("doc_id", "failing")
+    return rules.line_rules(_items(t, ("unit_price",))).where("code = 'INV_PO_UNIT_PRICE' AND outcome = 'FAIL'").select("doc_id", "failing")
 
 
 @query("l06_header_rules", """
