@@ -35,7 +35,12 @@ def text_view(data: bytes) -> np.ndarray:
 
 
 def meta_view(data: bytes, lang: str | None, source: str | None) -> np.ndarray:
-    """What a page is like: its language, source, size, and the layout of its lines and marks."""
+    """What a page is like: its language, source, size, and the layout of its lines and marks.
+
+    The layout is read off the text, but no word or byte sequence is.  Without the shares of
+    marks, digits and spaces this view can hardly tell good pages from bad ones on its own, and
+    then its pseudo-labels make the other view worse.
+    """
     out = np.zeros(META)
     out[zlib.crc32((lang or "").encode()) % LANGS] = 1
     out[LANGS + zlib.crc32((source or "").encode()) % SOURCES] = 1
