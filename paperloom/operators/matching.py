@@ -206,13 +206,15 @@ def pick_order(subjects: DataFrame, orders: DataFrame, on: str) -> DataFrame:
     return joined.groupBy("doc_id").agg(F.max_by("order_id", F.struct(same, F.col("o_date"), F.col("order_id"))).alias("order_id"))
 
 
-def find_duplicates(docs: DataFrame, days: int = 7) -> DataFrame:
+def find_duplicates(docs: DataFrame, days: int = 7, strong: bool = True) -> DataFrame:
     """Older documents that each one duplicates: ``doc_id, original_id, kind, strong``, the strongest first.
 
     Blocking keys make two equi-joins: vendor and number (strong), vendor, amount and
     currency with dates at most ``days`` apart.  Dates fall into buckets of ``days`` and meet
     their neighbours, so a frequent amount does not meet all its rows.  Of two documents the
-    one of the earlier date (then the smaller id) is the original.
+    one of the earlier date (then the smaller id) is the original.  Every pair is a row here;
+    ``strongest`` gives one original a document without them.  ``strong`` = False leaves out
+    pairs of the same number.
     """
     d = docs.select("doc_id", reference_key(F.col("number")).alias("number"), "vendor_id", "total", "currency", "doc_date")
     o = d.select(*[F.col(c).alias(f"o_{c}") for c in d.columns])
@@ -224,9 +226,20 @@ def find_duplicates(docs: DataFrame, days: int = 7) -> DataFrame:
         (F.col("vendor_id") == F.col("o_vendor_id")) & (F.col("total") == F.col("o_total")) & F.col("currency").eqNullSafe(F.col("o_currency")))
     by_amount = by_amount.where(older & (F.datediff("doc_date", "o_doc_date") <= days) & ~F.coalesce(F.col("number") == F.col("o_number"), F.lit(False)))
     out = lambda df, kind, strong: df.select("doc_id", F.col("o_doc_id").alias("original_id"), F.lit(kind).alias("kind"), F.lit(strong).alias("strong"), F.col("o_doc_date").alias("original_date"))
-    return out(by_number, "SAME_VENDOR_AND_NUMBER", True).unionByName(out(by_amount, "SAME_VENDOR_AMOUNT_AND_DATE", False))
+    possible = out(by_amount, "SAME_VENDOR_AMOUNT_AND_DATE", False)
+    return out(by_number, "SAME_VENDOR_AND_NUMBER", True).unionByName(possible) if strong else possible
 
 
-def strongest(duplicates: DataFrame) -> DataFrame:
-    """One original a document: strong before possible, then the oldest."""
-    return duplicates.groupBy("doc_id").agg(F.min(F.struct((~F.col("strong")).alias("weak"), "original_date", "original_id", "kind")).alias("x")).select("doc_id", "x.original_id", "x.kind")
+def strongest(docs: DataFrame, days: int = 7) -> DataFrame:
+    """One original a document, ``doc_id, original_id, kind, strong``: strong before possible, then the oldest.
+
+    The oldest document of a vendor and number is found by a partial minimum, so however many
+    share a number, no pairs are made of them; only documents without such an original look
+    for one of the same amount.
+    """
+    d = docs.withColumn("number_key", reference_key(F.col("number"))).where("vendor_id IS NOT NULL AND number_key IS NOT NULL")
+    first = d.groupBy("vendor_id", "number_key").agg(F.min(F.struct("doc_date", "doc_id"))["doc_id"].alias("original_id"))
+    strong = d.join(first, ["vendor_id", "number_key"]).where("doc_id <> original_id").select("doc_id", "original_id", F.lit("SAME_VENDOR_AND_NUMBER").alias("kind"), F.lit(True).alias("strong"))
+    weak = find_duplicates(docs, days, strong=False).join(strong.select("doc_id"), "doc_id", "left_anti")
+    oldest = weak.groupBy("doc_id").agg(F.min(F.struct("original_date", "original_id", "kind")).alias("x")).select("doc_id", "x.original_id", "x.kind", F.lit(False).alias("strong"))
+    return strong.unionByName(oldest)

@@ -102,7 +102,7 @@ def _(t):
 
 @query("k10_strongest_duplicate", f"WITH {MANY}, {DUPLICATES.replace('inv_header', 'many')} SELECT doc_id, original_id, kind FROM dup QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY strong DESC, original_date, original_id) = 1")
 def _(t):
-    return matching.strongest(matching.find_duplicates(_many(t)))
+    return matching.strongest(_many(t)).drop("strong")
 
 
 LINE_RULES = f"""{PAIRS}, s AS (
@@ -135,7 +135,7 @@ def _(t):
 
 @query("l01_duplicate_rule", f"WITH {MANY}, {DUPLICATES.replace('inv_header', 'many')} SELECT m.doc_id, CASE WHEN bool_or(strong) THEN 'FAIL' WHEN count(d.doc_id) > 0 THEN 'WARN' ELSE 'PASS' END AS outcome FROM many m LEFT JOIN dup d ON m.doc_id = d.doc_id GROUP BY 1")
 def _(t):
-    return rules.duplicate_rule(_many(t), matching.find_duplicates(_many(t)))
+    return rules.duplicate_rule(_many(t), matching.strongest(_many(t)))
 
 
 @query("l07_order_reference", "SELECT doc_id, CASE WHEN po_number IS NULL THEN 'FAIL' WHEN po_number NOT IN (SELECT number FROM po_header WHERE status <> 'P') THEN 'WARN' ELSE 'PASS' END AS outcome FROM inv_header")
