@@ -249,12 +249,20 @@ def _(t):
     return _unit_rows(t.nation.select(F.col("n_nationkey").alias("doc_id"), page.alias("text")), text.text_units)
 
 
-@query("t08_heading_grammar", """
-    SELECT n_nationkey AS doc_id, CASE n_nationkey % 4 WHEN 0 THEN '3' WHEN 1 THEN '4.2' END AS number, CASE n_nationkey % 4 WHEN 0 THEN 'Term' WHEN 1 THEN 'Late payment' END AS title FROM nation""")
+#: Printed lines, and the number and title that they have as headings.
+LINES = [
+    ("Article 3: Term.", "3", "Term"), ("4.2 Late payment", "4.2", "Late payment"), ("5. Where the buyer is late,", None, None), ("6. the buyer pays", None, None), ("Clause 7 - Fees", "7", "Fees"),
+    ("SECTION 2.1) Scope", "2.1", "Scope"), ("7) Fees", "7", "Fees"), ("7 Fees", None, None), ("1.2.3.4 Deep", "1.2.3.4", "Deep"), ("1.2.3.4.5 Deeper", None, None), ("  12. Ünder", None, None), ("", None, None),
+    ("30 Days after that", None, None), ("8. One two three four five six seven eight nine ten eleven", None, None),
+]
+
+
+@query("t08_heading_grammar", f"""
+    SELECT o_orderkey AS doc_id, {[n for _, n, _ in LINES]}[o_orderkey % {len(LINES)} + 1] AS number, {[x for _, _, x in LINES]}[o_orderkey % {len(LINES)} + 1] AS title FROM orders""".replace("None", "NULL"))
 def _(t):
     read = F.udf(text.heading, "struct<number string, title string>", useArrow=True)
-    line = F.element_at(F.array(*map(F.lit, ["Article 3: Term.", "4.2 Late payment", "5. Where the buyer is late,", "6. the buyer pays"])), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    return t.nation.select(F.col("n_nationkey").alias("doc_id"), read(line).alias("h")).select("doc_id", "h.number", "h.title")
+    line = F.element_at(F.array(*[F.lit(x) for x, _, _ in LINES]), (F.col("o_orderkey") % len(LINES) + 1).cast("int"))
+    return t.orders.select(F.col("o_orderkey").alias("doc_id"), read(line).alias("h")).select("doc_id", "h.number", "h.title")
 
 
 @query("s17_reports_once", "SELECT 'orders' AS suite, o_orderpriority AS metric, count(*)::DOUBLE AS value FROM orders GROUP BY 2")

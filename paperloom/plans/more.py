@@ -35,7 +35,7 @@ def _(t):
 
 
 @query("l13_contract_rules", """
-    SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 3 = 0 THEN ['Liability'] ELSE [] END AS missing, CASE WHEN n_nationkey * 10 > 90 THEN 'FAIL' ELSE 'PASS' END AS notice, CASE WHEN n_nationkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS law FROM nation""")
+    SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 3 = 0 THEN ['Liability'] ELSE [] END AS missing, CASE WHEN n_nationkey * 10 > 90 THEN 'FAIL' ELSE 'PASS' END AS notice, CASE WHEN n_nationkey % 2 = 0 THEN 'PASS' ELSE 'WARN' END AS law FROM nation""")
 def _(t):
     n = F.col("n_nationkey")
     clause = lambda title, body: F.struct(F.lit(title).alias("title"), body.alias("text"))
@@ -44,9 +44,9 @@ def _(t):
         clause("Governing Law", F.concat(F.lit("Governed by the laws of the State of "), F.when(n % 2 == 0, "Ohio").otherwise("Texas"), F.lit(".")))))
     wanted = ["Termination", "Liability", "Governing Law"]
     missing = F.array_compact(F.array(*[F.when(text.find_clause(clauses, w).isNull(), F.lit(w)) for w in wanted]))
-    notice = text.notice_days(text.find_clause(clauses, "Termination")["text"])
-    law = text.governing_law(text.find_clause(clauses, "Governing Law")["text"])
-    return t.nation.select(n.alias("doc_id"), missing.alias("missing"), F.when(notice > 90, "FAIL").otherwise("PASS").alias("notice"), F.when(law.isin("Ohio"), "PASS").otherwise("FAIL").alias("law"))
+    notice = rules.notice_period(clauses, F.lit(None).cast("int"), most=90)
+    law = rules.approved_law(clauses, ["Ohio"])
+    return t.nation.select(n.alias("doc_id"), missing.alias("missing"), notice["outcome"].alias("notice"), law["outcome"].alias("law"))
 
 
 @query("l00_applicable_rules", "SELECT doc_id, CASE document_type WHEN 'INVOICE' THEN 14 ELSE 5 END AS n FROM files WHERE document_type IS NOT NULL")
@@ -139,10 +139,12 @@ def _(t):
     return joined.select("doc_id", (F.col("unit_price").cast("decimal(18,4)") == F.col("other").cast("decimal(18,4)")).alias("agree"))
 
 
-@query("d05_derived_terms", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 30 ELSE 45 END AS terms FROM po_header")
+@query("d05_derived_terms", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN terms ELSE doc_id % 77 END::INT AS terms FROM po_header")
 def _(t):
-    due = F.date_add("doc_date", F.when(F.col("doc_id") % 2 == 0, 30).otherwise(45))
-    return t.po_header.select("doc_id", F.datediff(due, "doc_date").alias("terms"))
+    """Stated terms first, else the days from the issue to the due date, across months and leap years; null without either."""
+    kind = F.col("doc_id") % 4
+    due = F.when(kind == 0, F.lit(None)).otherwise(F.date_add("doc_date", (F.col("doc_id") % 77).cast("int")))
+    return t.po_header.select("doc_id", F.coalesce(F.when(kind == 1, F.col("terms")), F.datediff(due, "doc_date")).alias("terms"))
 
 
 @query("w10_older_document", "SELECT doc_id, CASE WHEN (doc_date, doc_id) < (DATE '1995-06-01', 700) THEN TRUE ELSE FALSE END AS older FROM po_header")

@@ -46,11 +46,14 @@ def _(t):
     return text.diff_versions(pairs).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("t12_find_clause", "SELECT item_id, 'Limitation of Liability' AS title FROM benchmark")
+@query("t12_find_clause", """
+    SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'Limitation of Liability' WHEN 1 THEN 'LIABILITY: limits' END AS title FROM orders""")
 def _(t):
-    clause = lambda n, c: F.struct(F.lit(n).alias("title"), c.alias("text"))
-    clauses = F.array(clause("Term", F.col("text")), clause("Limitation of Liability", F.col("text")), clause("Liability", F.col("text")))
-    return t.benchmark.select("item_id", text.find_clause(clauses, "liability")["title"].alias("title"))
+    """The first clause whose title has every word, in any order and case; part of a word is none."""
+    clause = lambda n: F.struct(n.alias("title"), F.lit("-").alias("text"))
+    title = F.element_at(F.array(*map(F.lit, ["Limitation of Liability", "LIABILITY: limits", "Liabilities", "Limited"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    clauses = F.array(clause(F.lit("Term")), clause(title), clause(F.when(F.col("o_orderkey") % 4 < 2, "Liability").otherwise("")))
+    return t.orders.select(F.col("o_orderkey").alias("doc_id"), text.find_clause(clauses, "liability")["title"].alias("title"))
 
 
 @query("t13_notice_days", "SELECT event_id, greatest(user_id, 30) AS days FROM events")
@@ -76,10 +79,14 @@ def _(t):
     return t.documents.select("doc_id", text.sensitivity(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
-@query("t16_payment_terms", "SELECT event_id, [user_id] AS days FROM events")
+@query("t16_payment_terms", """
+    SELECT event_id, CASE event_id % 8 WHEN 0 THEN [user_id] WHEN 1 THEN [user_id] WHEN 2 THEN [user_id, 7] WHEN 3 THEN [user_id] WHEN 4 THEN [] WHEN 5 THEN [user_id] ELSE [] END::BIGINT[] AS days FROM events""")
 def _(t):
+    """Terms in prose: several, none, too far from their words, and no text at all."""
     n = F.col("user_id").cast("string")
-    printed = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Net "), n)).otherwise(F.concat(F.lit("Payment is due within "), n, F.lit(" calendar days")))
+    printed = F.element_at(F.array(
+        F.concat(F.lit("Net "), n), F.concat(F.lit("Payment is due within "), n, F.lit(" calendar days")), F.concat(F.lit("net "), n, F.lit(", late ones due in 7 days")), F.concat(F.lit("Terms: "), n),
+        F.concat(n, F.lit(" days")), F.concat(F.lit("PAYABLE, unless agreed, in "), n, F.lit(" days.")), F.concat(F.lit("Payment follows the custom of the trade and of the port, "), n, F.lit(" days")), F.lit("")), (F.col("event_id") % 8 + 1).cast("int"))
     return t.events.select("event_id", F.transform(text.payment_terms(printed), lambda d: d.cast("long")).alias("days"))
 
 

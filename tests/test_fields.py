@@ -1,5 +1,7 @@
 """Fields of printed documents: nulls, empty tables, ties, values against their quotes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +136,28 @@ def test_readings_pair_by_place_when_nothing_else_helps():
     assert matching.reading_pairs(rows("aaaa", "bbbb"), rows("cccc", "dddd"), 85) == [(0, 0), (1, 1)]
     assert matching.reading_pairs(rows("blue steel pipe"), rows("red", "blue steel pipes"), 85) == [(0, 1), (None, 0)]
     assert matching.reading_pairs([], rows("a"), 85) == [(None, 0)] and matching.reading_pairs(rows(None), rows(None, "x"), 85) == [(0, None), (None, 0), (None, 1)]
+
+
+def plain_bounds(header, words):
+    """Column bounds by trying every place."""
+    out = []
+    for (a0, a1), (b0, b1) in zip(header, header[1:], strict=False):
+        near = [w for w in words if w[1] > a0 and w[0] < b1]
+        edges = sorted({e for w in near for e in w})
+        places = [(a1 + b0) / 2, b0 - 0.01, *[(p + q) / 2 for p, q in zip(edges, edges[1:], strict=False) if a1 <= (p + q) / 2 < b0]]
+        out.append(min(places, key=lambda x: (sum(w[0] < x < w[1] for w in near), -x)))
+    return out
+
+
+def test_column_bounds_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        edges = sorted(rng.sample(range(0, 400), 6))
+        header = [(float(edges[k]), float(edges[k + 1])) for k in (0, 2, 4)][: rng.randrange(1, 4)]
+        words = [(float(x), float(x + rng.randrange(5, 90))) for x in rng.sample(range(0, 400), rng.randrange(0, 9))]
+        rows.append((i, header, words))
+    box = "array<struct<x0 double, x1 double>>"
+    df = spark.createDataFrame(rows, f"id long, header {box}, words {box}")
+    found = {r.id: r.bounds for r in df.select("id", extraction.column_bounds(F.col("header"), F.col("words")).alias("bounds")).collect()}
+    assert {i: pytest.approx(plain_bounds(h, w)) for i, h, w in rows} == found
