@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions, extraction, matching, rules
-from .matching import _items
+from .matching import LINE_RULES, _items
 from .registry import query
 
 
@@ -109,7 +109,8 @@ def _(t):
     return extraction.lay_out(_words(t)).groupBy("page_id").agg(F.countDistinct("line").alias("lines"), F.count("*").alias("segments"))
 
 
-@query("g04_page_text")
+@query("g04_page_text", """
+    SELECT doc_id AS page_id, 'Item' || chr(10) || 'Description' || chr(10) || 'Quantity' || chr(10) || string_agg(replace(sku, ' ', '-') || chr(10) || replace(description, ' ', '-') || chr(10) || CAST(quantity AS VARCHAR), chr(10) ORDER BY sku, description, quantity) AS text FROM po_lines GROUP BY 1""")
 def _(t):
     return extraction.page_text(extraction.lay_out(_words(t)))
 
@@ -171,9 +172,23 @@ def _(t):
     return t.conversations.select("conv_id", "turn", "role", decisions.intent(F.col("text")).alias("intent"))
 
 
-@query("b02_recommendation")
+#: Outcomes of the line and the header rules of each invoice, as SQL.
+OUTCOMES = f"""{LINE_RULES}, outcomes AS (
+    SELECT doc_id, code, outcome FROM results UNION ALL SELECT i.doc_id, unnest(['INV_PO_VENDOR', 'INV_PO_CURRENCY', 'INV_PO_PAYMENT_TERMS']),
+        unnest([CASE WHEN i.vendor_id = o.vendor_id THEN 'PASS' ELSE 'FAIL' END, CASE WHEN i.currency = o.currency THEN 'PASS' ELSE 'FAIL' END, CASE WHEN i.terms = o.terms THEN 'PASS' ELSE 'FAIL' END])
+    FROM inv_header i JOIN po_header o ON i.po_number = o.number)"""
+SEVERE = ", ".join(f"'{code}'" for code, _, _, severity, _ in rules.RULES if severity in ("HIGH", "CRITICAL"))
+
+
+def _outcomes(t):
+    return rules.line_rules(_items(t)).select("doc_id", "code", "outcome").unionByName(rules.header_rules(matching.compare_headers(t.inv_header, t.po_header)))
+
+
+@query("b02_recommendation", f"""
+    WITH {OUTCOMES}, per AS (SELECT doc_id, count(*) FILTER (WHERE outcome = 'FAIL') AS failing, count(*) FILTER (WHERE outcome = 'WARN') AS attention, bool_or(outcome = 'FAIL' AND code IN ({SEVERE})) AS severe, FALSE AS duplicate FROM outcomes GROUP BY 1)
+    SELECT *, CASE WHEN severe THEN 'HOLD' WHEN failing > 0 THEN 'REVIEW' WHEN attention > 0 THEN 'CHECK' ELSE 'APPROVE' END AS action FROM per""")
 def _(t):
-    return decisions.recommendation(rules.line_rules(_items(t)).join(rules.rule_frame(t.spark).select("code", "severity"), "code"))
+    return decisions.recommendation(_outcomes(t).join(rules.rule_frame(t.spark).select("code", "severity"), "code"))
 
 
 @query("b03_confidence", """
@@ -195,8 +210,9 @@ def _(t):
     return decisions.snapshot(t.nation, ["n_name", "n_regionkey"]).select("n_nationkey", "sha256")
 
 
-@query("k11_assessment")
+@query("k11_assessment", f"""
+    WITH {OUTCOMES} SELECT doc_id, count(*) FILTER (WHERE outcome = 'PASS') AS pass, count(*) FILTER (WHERE outcome = 'WARN') AS warn, count(*) FILTER (WHERE outcome = 'FAIL') AS fail,
+        count(*) FILTER (WHERE outcome = 'NOT_APPLICABLE') AS not_applicable FROM outcomes GROUP BY 1""")
 def _(t):
     """All rules of each invoice in one pass."""
-    results = rules.line_rules(_items(t)).select("doc_id", "code", "outcome").unionByName(rules.header_rules(matching.compare_headers(t.inv_header, t.po_header)))
-    return results.groupBy("doc_id").agg(*[F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("PASS", "WARN", "FAIL", "NOT_APPLICABLE")])
+    return _outcomes(t).groupBy("doc_id").agg(*[F.count_if(F.col("outcome") == o).alias(o.lower()) for o in ("PASS", "WARN", "FAIL", "NOT_APPLICABLE")])

@@ -209,6 +209,10 @@ def _(t):
     return t.events.groupBy("user_id").agg(F.min("event_id").alias("x0"), F.max("event_id").alias("x1"), F.min("value").alias("y0"), F.max("value").alias("y1"), ((F.min("event_id") + F.max("event_id")) / 2).alias("centre"))
 
 
-@query("r15_trigram_vendors")
+@query("r15_trigram_vendors", """
+    WITH w AS (SELECT vendor_id, unnest(regexp_split_to_array(lower(name), '[^a-z0-9]+')) AS w FROM vendors UNION ALL SELECT -1, unnest(['kestrel', 'sons', '42'])),
+    g AS (SELECT DISTINCT vendor_id, substr('  ' || w || ' ', i, 3) AS gram FROM w, range(1, 30) r(i) WHERE w <> '' AND i <= length(w) + 1), q AS (SELECT gram FROM g WHERE vendor_id = -1),
+    s AS (SELECT vendor_id, count(*) FILTER (WHERE gram IN (SELECT gram FROM q)) AS shared, count(*) AS n FROM g WHERE vendor_id >= 0 GROUP BY 1)
+    SELECT vendor_id, round(shared / (n + (SELECT count(*) FROM q) - shared), 6) AS score FROM s WHERE shared / (n + (SELECT count(*) FROM q) - shared) >= 0.2""")
 def _(t):
     return t.vendors.withColumn("score", retrieval.trigram_similarity(F.col("name"), F.lit("kestrel sons 42"))).where("score >= 0.2").select("vendor_id", F.round("score", 6).alias("score"))

@@ -150,3 +150,54 @@ def test_search_says_what_it_understood():
 ])
 def test_headings(line, wanted):
     assert text.heading(line) == wanted
+
+
+@given(st.lists(st.tuples(st.floats(0, 50), st.integers(1, 3)), max_size=40))
+def test_token_bucket_by_hand(steps):
+    """A bucket of two tokens that gains one in three seconds; what it lacks is refused."""
+    times, at = [], 0.0
+    for gap, _ in steps:
+        at += gap
+        times.append(at)
+    passed, _ = jobs.token_bucket(times, 2, 1 / 3)
+    left, last, wanted = 2.0, None, []
+    for now in times:
+        left = 2.0 if last is None else min(2.0, left + (now - last) / 3)
+        last = now
+        wanted.append(left >= 1 - 1e-9)
+        left -= wanted[-1]
+    close = [abs(x) for x in times]  # at the very edge either is right
+    assert len(passed) == len(close) and sum(a != b for a, b in zip(passed, wanted, strict=True)) == 0
+
+
+@given(st.lists(st.booleans(), max_size=60))
+def test_lockouts_by_hand(results):
+    locked, _ = jobs.lockouts(results, 3)
+    failures, wanted = 0, []
+    for good in results:
+        wanted.append(failures >= 3)
+        if good and failures < 3:
+            failures = 0
+        elif not good:
+            failures += 1
+    assert locked == wanted
+
+
+def test_cover_density_prefers_close_terms():
+    import pandas as pd
+
+    rank = embed.text_rank(["red", "pipe"]).func
+    near, far, none, empty = rank(pd.Series(["a red pipe here", "red " + "word " * 30 + "pipe", "nothing", None]))
+    assert near > far > 0 and none == 0 and not empty > 0
+
+
+@given(st.text("abcde ", max_size=30), st.text("abcde ", max_size=30))
+def test_name_similarity_is_symmetric_and_bounded(a, b):
+    x, y = similarity.token_set_ratio(a, b), similarity.token_set_ratio(b, a)
+    assert x == pytest.approx(y) and 0 <= x <= 100 and (similarity.ratio(a, a) == 100)
+
+
+def test_hash_vectors_are_unit_and_alike_for_like_texts():
+    a, b, c = (embed.hash_vector(x, 256) for x in ("red steel pipes", "red steel pipe", "holiday photographs"))
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    assert dot(a, a) == pytest.approx(1) and dot(a, b) > 0.5 > dot(a, c)
