@@ -130,33 +130,30 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at, pa.int32()), "n": pa.array(n[at])})
 
 
-def _loglik(text: str | None, logs: np.ndarray, size: int) -> np.ndarray:
+def _loglik(text: str | None, logs: np.ndarray, size: int) -> tuple[np.ndarray, bool]:
+    """Log chances of the text under each language, and whether it has letters at all."""
     t = triples(text)
     if not len(t) or not size:
-        return np.zeros(size)
-    return logs @ (np.bincount(t, minlength=TRIPLES) * (min(len(t), EFFECTIVE) / len(t)))
-
-
-def _has_letters(text: str | None) -> bool:
-    return len(triples(text)) > 0
+        return np.zeros(size), len(t) > 0
+    return logs @ (np.bincount(t, minlength=TRIPLES) * (min(len(t), EFFECTIVE) / len(t))), True
 
 
 def _likelihoods(batches: Iterator[pa.RecordBatch], shared, carried: list[str], size: int) -> Iterator[pa.RecordBatch]:
     logs = shared.value
     for batch in batches:
-        texts = batch["text"].to_pylist()
-        rows = [_loglik(t, logs, size) for t in texts]
-        flat = np.concatenate(rows) if rows else np.zeros(0)
-        lists = pa.ListArray.from_arrays(np.arange(0, len(texts) * size + 1, max(1, size), dtype=np.int32) if size else np.zeros(len(texts) + 1, dtype=np.int32), flat)
-        yield pa.RecordBatch.from_arrays([*[batch[c] for c in carried], lists, pa.array([_has_letters(t) for t in texts], pa.bool_())], [*carried, "loglik", "letters"])
+        read = [_loglik(t, logs, size) for t in batch["text"].to_pylist()]
+        flat = np.concatenate([row for row, _ in read]) if read else np.zeros(0)
+        lists = pa.ListArray.from_arrays(np.arange(0, len(read) * size + 1, max(1, size), dtype=np.int32) if size else np.zeros(len(read) + 1, dtype=np.int32), flat)
+        yield pa.RecordBatch.from_arrays([*[batch[c] for c in carried], lists, pa.array([letters for _, letters in read], pa.bool_())], [*carried, "loglik", "letters"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch], shared, size: int) -> Iterator[pa.RecordBatch]:
     logs, counts = shared.value, {}
     for batch in batches:
         for text, host in zip(batch["text"].to_pylist(), batch["host"].to_pylist(), strict=True):
-            if size and _has_letters(text):
-                key = host, int(np.argmax(_loglik(text, logs, size)))
+            row, letters = _loglik(text, logs, size)
+            if size and letters:
+                key = host, int(np.argmax(row))
                 counts[key] = counts.get(key, 0) + 1
         if len(counts) > 50_000:  # the sums of a task stay small, whatever its hosts
             yield _vote_rows(counts)
@@ -174,7 +171,8 @@ def _priors(votes: DataFrame, size: int) -> DataFrame:
 
     Counts are lists of the languages that occur, so the plan does not grow with ``size``.
     """
-    domain = F.regexp_extract(F.coalesce("host", F.lit("")), r"([^.]+\.[^.]+)$|(.*)$", 0)
+    host = F.coalesce("host", F.lit(""))
+    domain = F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
     hosts = votes.groupBy("host", domain.alias("domain")).agg(F.collect_list("best").alias("best"), F.collect_list("n").alias("n"))
     shares = votes.groupBy(domain.alias("of_domain"), "best").agg(F.sum("n").alias("n"))
     domains = shares.groupBy("of_domain").agg(F.collect_list("best").alias("domain_best"), F.collect_list("n").alias("domain_n"))

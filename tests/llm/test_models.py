@@ -1,5 +1,7 @@
 """Quality and language on held-out rows, their edge cases, and the pipeline."""
 
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +101,69 @@ def test_language_edges(spark):
     assert {r.language for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {None}
 
 
+def brute_languages(rows):
+    """Language and probability of each ``text, declared, host, suffix``, by the formulas, in one process."""
+    names = sorted({d.strip().lower() for _, d, _, _ in rows if d and d.strip()})
+    table = np.zeros((len(names), language.TRIPLES))
+    for text, declared, _, _ in rows:
+        if declared and declared.strip():
+            table[names.index(declared.strip().lower())] += np.bincount(language.triples(text), minlength=language.TRIPLES)
+    logs = np.log((table + 0.5) / (table + 0.5).sum(axis=1, keepdims=True))
+    domain = lambda h: ".".join((h or "").split(".")[-2:])
+    read, hosts, domains, corpus = [], {}, {}, np.zeros(len(names))
+    for text, _, host, _ in rows:
+        t = language.triples(text)
+        row = logs @ np.bincount(t, minlength=language.TRIPLES) * min(len(t), language.EFFECTIVE) / len(t) if len(t) else np.zeros(len(names))
+        best = int(np.argmax(row)) if len(t) else None
+        read.append((row, best))
+        if best is not None:
+            for counts, key in ((hosts, host), (domains, domain(host))):
+                counts.setdefault(key, np.zeros(len(names)))[best] += 1
+            corpus[best] += 1
+    out = []
+    for (row, best), (_, declared, host, suffix) in zip(read, rows, strict=True):
+        prior, weight = np.full(len(names), 1 / len(names)), 1.0
+        if host in hosts:
+            near = domains[domain(host)]
+            up = (near + language.DOMAIN_SMOOTHING * (corpus + 1) / (corpus.sum() + len(names))) / (near.sum() + language.DOMAIN_SMOOTHING)
+            weight = hosts[host].sum() + language.HOST_SMOOTHING
+            prior = (hosts[host] + language.HOST_SMOOTHING * up) / weight
+        mine = prior * weight
+        if best is not None:
+            mine[best] -= 1
+        score = row + np.log(np.maximum(1e-6, mine))
+        for said, chance in ((declared, language.DECLARED), (suffix, language.SUFFIX)):
+            if said and said.strip().lower() in names:
+                score += np.where(np.arange(len(names)) == names.index(said.strip().lower()), np.log(chance), np.log((1 - chance) / (len(names) - 1)))
+        out.append((names[int(np.argmax(score))], 1 / np.exp(score - score.max()).sum(), best is not None))
+    return out
+
+
+def test_languages_by_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").orderBy("doc_id").limit(120).collect()
+    hosts = ["a.example.com", "b.example.com", "example.org", "x", None]
+    rows = [(d.text[: 40 + 37 * i % 900], [d.lang, None, "en", " ", d.lang.upper()][i % 5], hosts[i % 4 if i % 11 else 4], ["de", None, "zz"][i % 3]) for i, d in enumerate(docs)]
+    rows += [(None, "fr", "x", None), ("", None, None, "de"), ("12 -- 34", "en", "b.example.com", "en"), ("word", None, "new.host", None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, lang string, source string, suffix string")
+    out = {r.id: r for r in language.identify(df, suffix="suffix").collect()}
+    for i, (name, chance, letters) in enumerate(brute_languages(rows)):
+        assert (out[i].language, out[i].keep) == (name, letters and chance >= 0.5) and abs(out[i].language_probability - chance) < 1e-6
+
+
+def test_training_over_tables_is_training_over_arrays(spark, folder):
+    """What tasks add up gives the model that one process gives."""
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs.repartition(5), labels, rounds=2)
+    rows = [(r.doc_id, np.concatenate([quality.text_view(r.text.encode()), quality.meta_view(r.text.encode(), r.lang, r.source)]).astype(np.float32).astype(float)) for r in docs.collect()]
+    truth = {r.doc_id: float(r.quality) for r in labels.collect()}
+    known = sorted((r for r in rows if r[0] in truth), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0]))
+    x, pool = np.stack([v for _, v in known]), np.stack([v for i, v in rows if i not in truth])
+    own = quality.co_train((x[:, : quality.TEXT], x[:, quality.TEXT :]), np.array([truth[i] for i, _ in known]), (pool[:, : quality.TEXT], pool[:, quality.TEXT :]), rounds=2)
+    whole = np.stack([v for _, v in rows])
+    for a, b in zip(model.scores(whole[:, : quality.TEXT], whole[:, quality.TEXT :]), own.scores(whole[:, : quality.TEXT], whole[:, quality.TEXT :]), strict=True):
+        assert np.abs(a - b).max() < 1e-3
+
+
 def test_rare_languages_are_candidates(spark):
     rare = ["minä juon kahvia ja syön pullaa kotona", "hän lukee kirjaa ja kuuntelee musiikkia illalla", "tämä talo on vanha mutta hyvin kaunis"]
     rows = [(i, f"the cat and the dog number {i} are in the garden", "en") for i in range(2000)] + [(i, f"der hund und die katze {i} sind nicht im garten", "de") for i in range(2000, 4000)]
