@@ -41,16 +41,16 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
 # ---------------------------------------------------------------------- exact top-k search
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id: str = "vec_id", embedding: str = "embedding", query_block: int = 16384, bins: int = 128) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id: str = "vec_id", embedding: str = "embedding", query_bytes: int = 64 << 20, bins: int = 128) -> DataFrame:
     """The ``k`` highest inner products of each query with every other row; ties to the smaller id.
 
     Components become ``floor(scale * x)``, so scores are whole numbers; these vectors are
     written to the shared folder once and every scan reads them there.  The queries are taken
-    in blocks of about ``query_block`` rows, the only rows that reach the driver.  For a block
-    every partition scores all its vectors and returns, for each query, a histogram of its
+    in blocks of about ``query_bytes`` (at most twice that, but one query at least), the only
+    rows that reach the driver, and are let go after their block.  For a block every partition scores all its vectors and returns, for each query, a histogram of its
     scores, from the top down to its own k-th; the sums of the histograms locate the bin of
-    the global k-th score, the next round divides that bin, until it is one value wide.  A
-    last pass returns the scores above that value and, of those equal to it, as many smallest
+    the global k-th score, the next round divides that bin and counts nothing beyond it, until
+    it is one value wide.  A last pass returns the scores above that value and, of those equal to it, as many smallest
     ids as are still wanted.  Nothing but histograms and at most ``k`` rows a query and
     partition leaves a task, and a bin a query reaches the driver.
 
@@ -67,15 +67,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     rows = materialize(vectors.where(asked).select(F.col(f"`{id}`").cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asked")), "whole-vectors")
     queries = rows.where("asked").select("id", "v").distinct()
     rows = rows.select("id", "v")
-    most, n = (x or 0 for x in (rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0], queries.count()))
-    blocks = max(1, math.ceil(n / query_block))
+    most = rows.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+    n, longest = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    block_rows = max(1, query_bytes // (8 * ((longest or 0) + bins)))  # a query's components and histogram
+    blocks = max(1, math.ceil(n / block_rows))
     found = []
     for block in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         chosen = part.toArrow().combine_chunks()
-        for i in range(0, max(1, len(chosen)), 2 * query_block):
-            result = _top_of_block(rows, chosen[i : i + 2 * query_block], k, bins, most)
-            found.append(result if blocks == 1 else materialize(result, "top-k"))
+        for i in range(0, max(1, len(chosen)), 2 * block_rows):
+            found.append(_top_of_block(rows, chosen[i : i + 2 * block_rows], k, bins, most))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -103,8 +104,8 @@ def _top_of_block(rows: DataFrame, chosen: pa.Table, k: int, bins: int, most: in
     want = np.full(len(ids), k)
     done = np.zeros(len(ids), dtype=bool)  # fewer candidates than wanted: all are taken
     while len(ids) and not (width == 1 or done.all()):
-        width = -(-width // bins)
-        at = spark.sparkContext.broadcast((low, width, want))
+        last, width = width, -(-width // bins)
+        at = spark.sparkContext.broadcast((low, last, width, want))
         counts = rows.mapInArrow(lambda it, at=at: _histograms(it, shared.value, *at.value, bins, kind), "q int, bin int, n long, want long")
         summed = counts.groupBy("q", "bin").agg(F.sum("n").alias("n"), F.max("want").alias("want"))
         summed = summed.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin"))))
@@ -117,11 +118,15 @@ def _top_of_block(rows: DataFrame, chosen: pa.Table, k: int, bins: int, most: in
             else:
                 low[q] += place.bin * width
                 want[q] -= place.above
+        at.destroy()
         done |= ~seen
     limit = spark.sparkContext.broadcast((np.where(done, np.iinfo(np.int64).min, low), np.where(done, 0, want)))
     kept = rows.mapInArrow(lambda it: _above(it, shared.value, *limit.value, kind), "q int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = materialize(kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "top-k")
+    shared.destroy()
+    limit.destroy()
+    return top
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared: tuple, kind: type) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -138,11 +143,13 @@ def _scores(batches: Iterator[pa.RecordBatch], shared: tuple, kind: type) -> Ite
                 yield own[i : i + step], numbers, scores, own[i : i + step, None] != ids[numbers][None, :]
 
 
-def _histograms(batches: Iterator[pa.RecordBatch], shared: tuple, low: np.ndarray, width: int, want: np.ndarray, bins: int, kind: type) -> Iterator[pa.RecordBatch]:
+def _histograms(batches: Iterator[pa.RecordBatch], shared: tuple, low: np.ndarray, last: int, width: int, want: np.ndarray, bins: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """Counts by bins of ``width`` of the scores from ``low`` on, within the bin of width ``last`` that they divide."""
     counts = np.zeros((len(low), bins), dtype=np.int64)
     for _, numbers, scores, counted in _scores(batches, shared, kind):
-        at = (scores - low[numbers]) // width
-        counted &= (at >= 0) & (at < bins)
+        beyond = scores - low[numbers]
+        at = beyond // width
+        counted &= (beyond >= 0) & (beyond < last)
         flat = (np.arange(len(numbers)) * bins + at)[counted]
         counts[numbers] += np.bincount(flat, minlength=len(numbers) * bins).reshape(-1, bins)
     above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts

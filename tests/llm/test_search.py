@@ -21,7 +21,7 @@ def brute_top(rows, asked, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"query_block": 2, "bins": 4}])
+@pytest.mark.parametrize("options", [{}, {"query_bytes": 100, "bins": 4}])
 def test_top_k(spark, options):
     rng = np.random.default_rng(5)
     rows = [(i, (rng.integers(-3, 4, 4) / 4).tolist()) for i in range(120)]
@@ -31,6 +31,21 @@ def test_top_k(spark, options):
     assert found == brute_top(rows, lambda i: i % 10 == 0, 5)
 
 
+@pytest.mark.parametrize("bins", [3, 7, 100, 128])
+def test_top_k_of_dense_scores(spark, bins):
+    """Scores of any value, so that a bin's neighbours are full; widths that are no powers of the bins."""
+    rows = list(enumerate((np.random.default_rng(bins).normal(size=(700, 8)) * 0.4).tolist()))
+    found = sorted(tuple(r) for r in vectors.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0, k=10, bins=bins).collect())
+    assert found == brute_top(rows, lambda i: i % 50 == 0, 10)
+
+
+@pytest.mark.parametrize("every", [20, 100])
+def test_top_k_of_the_table(spark, every):
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    found = sorted(tuple(r) for r in vectors.top_k(table, F.col("vec_id") % every == 0, k=10).collect())
+    assert found == brute_top([tuple(r) for r in table.collect()], lambda i: i % every == 0, 10)
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([(1, [1.0])], SCHEMA)
     assert vectors.top_k(df.limit(0), F.lit(True)).count() == 0
