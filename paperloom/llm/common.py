@@ -21,12 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _written: dict[str, list[str]] = {}
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends here, sizes are known."""
+#: Spark's own switch that removes a query's shuffle files when the query ends.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: lineage ends here, sizes are known.
+
+    With ``release`` the shuffle files of this write go once it is done, not when the driver
+    happens to collect garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(RELEASE, None)
+    if release and before is not None:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release and before is not None:
+            spark.conf.set(RELEASE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
