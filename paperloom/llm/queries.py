@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, neardup, packing, pieces, quality, repeats, tokens, urls, vectors
+from . import language, lines, neardup, packing, pieces, quality, repeats, runs, tokens, urls, vectors
 from .common import table
 
 #: Fixed values, as SQL: the ASCII white space, and host and path of a URL.
@@ -130,6 +130,30 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def replanted(docs: DataFrame) -> DataFrame:
+    """The contract's input: of every tenth document, by the checksum of its id, the words from one on become periodic."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))  # a null id: as it is
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    g, n = F.floor(h / 10), F.size("words")
+    a = g % n
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % period).cast("int")))
+    marked = docs.withColumn("words", F.when(h % 10 == 0, words))
+    return marked.withColumn("text", F.when(F.size("words") > 0, F.array_join(again, " ")).otherwise(F.col("text"))).drop("words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(replanted(table(spark, sf_dir, "documents").select("doc_id", "text")), shortest=12)
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r.length).alias("length"), r.start.alias("start"), r.period.alias("period")))), 0)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    found = found.withColumns({"longest": longest, "lines": F.array_join(lines, "")})
+    length, period = -F.col("longest.length"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -143,6 +167,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_suffix_array_dedup": op11_suffix_array_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
