@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +69,13 @@ def clear_scratch(spark: SparkSession, *needed: DataFrame, since: list[str]) ->
         _written[spark.sparkContext.applicationId].remove(path)
 
 
+def in_parts(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch`` in parts of about ``size`` bytes of ``column``; a longer value is a part."""
+    part = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)  # noqa: B905
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, with underscores before those that ``df`` has already."""
     taken, free = {c.lower() for c in df.columns}, []

@@ -6,12 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_columns, unpacked
+from .common import in_parts, own_columns, unpacked
 
 #: Grid points and bytes of text looked at together, and words whose suffixes are sorted together (but for longer documents).
 POINTS, TEXT, WORDS = 1 << 20, 1 << 22, 1 << 16
@@ -48,12 +47,9 @@ def periodic_runs(docs: DataFrame, text: str = "text", shortest: int = 12) -> Da
 
 
 def _judged(batches: Iterator[pa.RecordBatch], shortest: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        sizes = pc.binary_length(whole["text"]).to_numpy()
-        part = np.cumsum(sizes, dtype=np.int64) // TEXT
-        for rows in np.split(np.arange(len(whole)), np.flatnonzero(part[1:] != part[:-1]) + 1):
-            if len(rows):
-                yield _judged_together(whole.slice(rows[0], len(rows)), shortest)
+    for batch in batches:
+        for part in in_parts(batch, "text", TEXT):
+            yield _judged_together(part, shortest)
 
 
 def _judged_together(batch: pa.RecordBatch, shortest: int) -> pa.RecordBatch:
