@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, neardup, packing, pieces, quality, repeats, runs, tokens, urls, vectors
-from .common import table
+from . import language, lines, neardup, packing, pieces, quality, repeats, runs, tokens, trie, urls, vectors
+from .common import materialize, table
 
 #: Fixed values, as SQL: the ASCII white space, and host and path of a URL.
 SQL_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -154,6 +154,50 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def shared_beginnings(sequences: DataFrame) -> DataFrame:
+    """The contract's input: each conversation begins with the first turns of the first of its five."""
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(9)).cast("int")
+    others = sequences.select(F.col("conv_id").alias("base"), F.col("turns").alias("base_turns"))
+    met = sequences.join(others, F.col("conv_id") - F.col("conv_id") % 5 == F.col("base"), "left").withColumn("h", h)
+    nothing = F.slice("turns", 1, 0)
+    return met.select("conv_id", F.concat(F.coalesce(F.slice("base_turns", 1, F.col("h")), nothing), F.slice("turns", F.col("h") + 1, F.size("turns"))).alias("turns"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(shared_beginnings(materialize(trie.turn_sequences(table(spark, sf_dir, "conversations")), "turn-sequences")))
+
+
+OP13_SQL = """
+WITH turned AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (SELECT range AS v, list_reduce(list_prepend(range::UBIGINT, range(8)::UBIGINT[]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS crc FROM range(256)),
+crcs AS (SELECT list(crc ORDER BY v) AS t FROM bits),
+conv AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base,
+        xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM turned), crcs),
+rebuilt AS (
+    SELECT c.conv_id, t.i, 0 AS own, t.role, t.text FROM conv c JOIN turned t ON t.conv_id = c.base AND t.i <= c.h
+    UNION ALL SELECT c.conv_id, t.i, 1, t.role, t.text FROM conv c JOIN turned t ON t.conv_id = c.conv_id AND t.i > c.h),
+step AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth, sha256(length(role) || ':' || role || text) AS turn, strlen(text) AS size FROM rebuilt),
+prefix AS (
+    SELECT conv_id, depth, size, sha256(string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node, count(*) OVER (PARTITION BY conv_id) AS long FROM step
+    UNION ALL SELECT conv_id, 0, 0, '', (SELECT count(*) FROM step s WHERE s.conv_id = conv.conv_id) FROM conv),
+link AS (SELECT conv_id, depth, node, size, long, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent FROM prefix),
+node AS (
+    SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) * (count(*) - 1) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE long = depth), '')) AS ends_sha256
+    FROM link GROUP BY node, depth),
+kids AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL),
+flat AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM node n LEFT JOIN kids USING (node, depth)),
+below AS (
+    SELECT top.node, top.depth, sum(low.saved) AS saved_tokens, count(*) FILTER (WHERE low.n_children = 0) AS n_leaves
+    FROM flat low JOIN link me ON me.conv_id = low.conv_id AND me.depth <= low.depth JOIN node top ON top.node = me.node AND top.depth = me.depth GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM flat f JOIN below b USING (node, depth) LEFT JOIN node p ON p.node = f.parent AND p.depth = f.depth - 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -168,10 +212,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_suffix_array_dedup": op11_suffix_array_dedup,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op3_exact_top_k": OP3_SQL,
     "op4_embedding_near_dedup": OP4_SQL,
     "op5_url_filter": OP5_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }
