@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def term_weights(words: DataFrame, array: str, terms: list[str]) -> DataFrame:
     """``term, idf`` with ``idf = ln((N + 1) / (df + 0.5))``: one pass, a row a term."""
@@ -34,24 +36,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, tie: str, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, tie: str, block_bytes: int = 32 << 20) -> DataFrame:
     """Exact top-k rows by cosine for each query (``query, q``), ties by ``tie``: ``query, tie, similarity, rank``.
 
-    The queries are taken in blocks of about ``block`` rows, which go to every task; a pass a
-    block multiplies matrices, and each batch returns at most ``k`` rows a query.  Zero vectors,
-    nulls and vectors of another length are near nothing.
+    The queries are taken in blocks of about ``block_bytes`` (at most twice that, but one query
+    at least), which go to every task; a pass a block multiplies matrices, each batch returns
+    at most ``k`` rows a query, and the block's result is written before the block is let go:
+    the driver holds one block at a time.  Zero vectors, nulls and vectors of another length
+    are near nothing.
     """
     asked = queries.select(F.col("query").cast("long").alias("query"), F.col("q").cast("array<double>").alias("q")).where("q IS NOT NULL")
     rows = vectors.select(F.col(tie).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL AND id IS NOT NULL")
-    n = max(1, -(-asked.count() // block))
+    total = asked.agg(F.sum(8 * (F.size("q") + 1))).first()[0] or 0
+    n = max(1, -(-total // block_bytes))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "id"))
     parts = []
     for i in range(n):
-        chosen = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).collect()
-        shared = vectors.sparkSession.sparkContext.broadcast(([r.query for r in chosen], [r.q for r in chosen]))
-        parts.append(rows.mapInArrow(lambda it, shared=shared: _near(it, *shared.value, k), "query long, id long, similarity double"))
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "id"))
-    found = reduce(DataFrame.unionByName, parts).withColumn("rank", place).where(F.col("rank") <= k)
-    return found.select("query", F.col("id").alias(tie), "similarity", "rank")
+        chosen = asked.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i).toArrow().combine_chunks()
+        shared = vectors.sparkSession.sparkContext.broadcast((chosen["query"].to_pylist(), chosen["q"].to_pylist()))
+        found = rows.mapInArrow(lambda it, shared=shared: _near(it, *shared.value, k), "query long, id long, similarity double")
+        parts.append(stored(found.withColumn("rank", place).where(F.col("rank") <= k), "nearest"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts).select("query", F.col("id").alias(tie), "similarity", "rank")
 
 
 def _near(batches: Iterator[pa.RecordBatch], names: list[int], asked: list[list[float]], k: int) -> Iterator[pa.RecordBatch]:

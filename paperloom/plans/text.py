@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import embed
-from ..operators import retrieval, search, text
+from ..operators import retrieval, search, text, vector_index
+from ..sources.shared import new_folder
 from .registry import query
 
 
@@ -120,6 +121,40 @@ def _(t):
     return retrieval.nearest(t.embeddings.select("vec_id", "embedding"), _vector_queries(t), 10, "vec_id").select("query", "vec_id", "rank")
 
 
+def _indexed(t, keep=None):
+    """The vectors of the table, indexed anew in the shared folder."""
+    path = new_folder(t.spark, "vector-index")
+    vector_index.write_index(t.embeddings, vector_index.fit_cells(t.embeddings, "embedding"), path, "vec_id", "embedding", keep)
+    return path
+
+
+@query("r01_indexed_top_k")
+def _(t):
+    """Top 10 of every 20th vector through the index: approximate, see r01_index_recall."""
+    return vector_index.search(t.spark, _indexed(t), _vector_queries(t), 10).select("query", F.col("id").alias("vec_id"), "rank", F.round("similarity", 9).alias("similarity"))
+
+
+@query("r01_filtered_top_k", """
+    WITH n AS (SELECT count(*) FILTER (WHERE label = 3) AS n FROM embeddings) SELECT q.vec_id AS query, least(10, n) AS found, true AS pass FROM embeddings q, n WHERE q.vec_id % 20 = 0 AND n > 0""")
+def _(t):
+    """Under a filter the scan goes on, until ten rows remain or all cells are seen; all found rows pass the filter."""
+    found = vector_index.search(t.spark, _indexed(t, ["label"]), _vector_queries(t), 10, where=F.col("label") == 3)
+    labels = t.embeddings.select(F.col("vec_id").alias("id"), "label")
+    return found.join(labels, "id").groupBy("query").agg(F.count("*").alias("found"), F.bool_and(F.col("label") == 3).alias("pass"))
+
+
+@query("r01_index_recall")
+def _(t):
+    """Recall at 10 against all rows, and the share of rows that the queries read."""
+    path = _indexed(t)
+    found = vector_index.search(t.spark, path, _vector_queries(t), 10)
+    exact = retrieval.nearest(t.embeddings.select("vec_id", "embedding"), _vector_queries(t), 10, "vec_id").select("query", F.col("vec_id").alias("id"), F.lit(1).alias("hit"))
+    cells = vector_index.open_cells(t.spark, path)
+    share = found.groupBy("query").agg(F.max("cells").alias("cells")).agg(F.avg(F.col("cells") / len(cells.centroids)).alias("cells_read"))
+    recall = exact.join(found.select("query", "id", F.lit(1).alias("seen")), ["query", "id"], "left").agg(F.avg(F.coalesce("seen", F.lit(0))).alias("recall"), F.count("*").alias("wanted"))
+    return recall.crossJoin(F.broadcast(share))  # a row each
+
+
 @query("r02_cover_density")
 def _(t):
     scored = t.documents.select("doc_id", embed.text_rank(["the", "version", "license"])("text").alias("density"))
