@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import embed, values
-from ..operators import classify, ranking, retrieval, rules, sets, text
+from ..operators import classify, lexical_index, ranking, retrieval, rules, sets, text
 from ..sources import files
-from ..sources.shared import shared_dir
+from ..sources.shared import new_folder, shared_dir, stored
 from .registry import query
 
 
@@ -77,14 +77,18 @@ def _(t):
 
 @query("r11_text_search")
 def _(t):
-    """Lexical and dense candidates, fused, the best chunk of each document."""
-    chunks = text.chunk_documents(t.documents, target=100, most=160, overlap=15)
-    asked = F.array(*[F.lit(float(x)) for x in embed.hash_vector("apache license version", 128)])
-    dense = chunks.select("doc_id", "chunk_index", retrieval.cosine(embed.embedder(128)("content"), asked).alias("s")).where("s >= 0.05").orderBy(F.desc("s"), "doc_id", "chunk_index").limit(60)
-    lexical = chunks.select("doc_id", "chunk_index", embed.text_rank(["apache", "license", "version"])("content").alias("s")).where("s > 0").orderBy(F.desc("s"), "doc_id", "chunk_index").limit(60)
-    number = lambda d: d.select(F.lit(0).alias("q"), "doc_id", "chunk_index", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id", "chunk_index")).alias("rank"))
-    both = number(dense).select("q", F.struct("doc_id", "chunk_index").alias("id"), "rank"), number(lexical).select("q", F.struct("doc_id", "chunk_index").alias("id"), "rank")
-    fused = retrieval.fuse(*both, ["q", "id"]).select("id.doc_id", "id.chunk_index", "score", "place")
+    """Lexical and dense candidates of a question, fused, the best chunk of each document: chunks are analysed once for all questions."""
+    question, candidates, least = "apache license version", 60, 0.05
+    chunks = stored(text.chunk_documents(t.documents, target=100, most=160, overlap=15).select(F.struct("doc_id", "chunk_index").alias("id"), F.xxhash64("doc_id", "chunk_index").alias("nr"), "content"), "chunks")
+    path = new_folder(t.spark, "chunk-index")
+    lexical_index.write_index(chunks, ["id"], "content", path)
+    index = lexical_index.LexicalIndex(t.spark, path)
+    lexical = index.rank({0: index.terms(question)}, k=candidates)
+    vectors = stored(chunks.select("nr", "id", embed.embedder(128)("content").alias("embedding")), "chunk-vectors")
+    asked = t.spark.createDataFrame([(0, embed.hash_vector(question, 128).tolist())], "query long, q array<double>")
+    near = retrieval.nearest(vectors, asked, candidates, "nr").where(F.col("similarity") >= least).join(vectors.select("nr", "id"), "nr")
+    dense = near.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 12)), "id")))
+    fused = retrieval.fuse(dense, lexical, ["query", "id"]).select("id.doc_id", "id.chunk_index", "score", "place")
     return ranking.top_per_group(fused, ["doc_id"], [F.col("place")], 1)
 
 

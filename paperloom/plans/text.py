@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import embed
-from ..operators import retrieval, search, text, vector_index
-from ..sources.shared import new_folder
+from ..operators import lexical_index, retrieval, search, text, vector_index
+from ..sources.shared import new_folder, stored
 from .registry import query
 
 
@@ -155,10 +155,43 @@ def _(t):
     return recall.crossJoin(F.broadcast(share))  # a row each
 
 
+#: How many candidates each ranking passes on, as a knowledge search asks for.
+CANDIDATES = 20
+
+
+def _lexical(t, stemmed=True):
+    """The documents' index, written anew in the shared folder; many questions would share it."""
+    path = new_folder(t.spark, "lexical-index")
+    lexical_index.write_index(t.documents, ["doc_id"], "text", path, stemmed=stemmed)
+    return lexical_index.LexicalIndex(t.spark, path)
+
+
+@query("f17_indexed_match", "SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^a-z]+'), ['license', 'apache'])")
+def _(t):
+    return _lexical(t, stemmed=False).match(["license", "apache"])
+
+
 @query("r02_cover_density")
 def _(t):
-    scored = t.documents.select("doc_id", embed.text_rank(["the", "version", "license"])("text").alias("density"))
-    return scored.where("density > 0").orderBy(F.desc("density"), "doc_id").limit(60)
+    """The 60 densest documents of three terms, from the positions in the index."""
+    index = _lexical(t)
+    return index.rank({0: index.terms("the version license")}, k=60).select("doc_id", "density")
+
+
+@query("r02_two_terms", """
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS spot, unnest(w) AS term FROM w), m AS (SELECT * FROM p WHERE term IN ('version', 'license')),
+    n AS (SELECT *, count(DISTINCT term) OVER (PARTITION BY doc_id) AS held, max(CASE WHEN term = 'version' THEN spot END) OVER o AS v, max(CASE WHEN term = 'license' THEN spot END) OVER o AS l FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY spot)),
+    c AS (SELECT doc_id, spot, CASE WHEN held = 1 THEN spot ELSE least(v, l) END AS start FROM n WHERE held = 1 OR (v IS NOT NULL AND l IS NOT NULL)),
+    d AS (SELECT doc_id, start, min(spot) AS spot FROM c GROUP BY 1, 2), s AS (SELECT doc_id, sum(1.0::DOUBLE / (spot - start + 1)) AS x FROM d GROUP BY 1)
+    SELECT doc_id, round(x / (x + 1), 9) AS density FROM s ORDER BY x / (x + 1) DESC, doc_id LIMIT 60""")
+def _(t):
+    """Cover density of two plain words: each start of a span that holds both counts once, with its shortest span."""
+    return _lexical(t, stemmed=False).rank({0: ["version", "license"]}, k=60).select("doc_id", F.round("density", 9).alias("density"))
+
+
+@query("r04_indexed_weights", "SELECT term, round(ln((n + 1) / (df + 0.5)), 9) AS idf FROM (SELECT unnest(['the', 'license', 'zzz']) AS term) q, LATERAL (SELECT count(*) AS n, count(*) FILTER (WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), term)) AS df FROM documents)")
+def _(t):
+    return _lexical(t, stemmed=False).weights(["the", "license", "zzz"]).select("term", F.round("idf", 9).alias("idf"))
 
 
 @query("r04_term_weights", "SELECT term, round(ln((n + 1) / (df + 0.5)), 9) AS idf FROM (SELECT unnest(['the', 'license', 'zzz']) AS term) q, LATERAL (SELECT count(*) AS n, count(*) FILTER (WHERE list_contains(regexp_split_to_array(lower(text), '[^a-z]+'), term)) AS df FROM documents)")
@@ -185,14 +218,13 @@ def _(t):
 
 @query("r07_hybrid_retrieval")
 def _(t):
-    """Dense and lexical top 60 of a question over all documents, fused."""
+    """Dense and lexical candidates of a question over all documents, fused: vectors and postings are made once for all questions."""
     question = "license version terms of the product"
-    asked = F.array(*[F.lit(float(x)) for x in embed.hash_vector(question, 256)])
-    vectors = t.documents.select("doc_id", retrieval.cosine(embed.embedder(256)("text"), asked).alias("s"))
-    dense = vectors.where("s IS NOT NULL").orderBy(F.desc("s"), "doc_id").limit(60)
-    lexical = t.documents.select("doc_id", embed.text_rank(question.split())("text").alias("s")).where("s > 0").orderBy(F.desc("s"), "doc_id").limit(60)
-    number = lambda d: d.select(F.lit(0).alias("q"), "doc_id", F.row_number().over(Window.orderBy(F.desc("s"), "doc_id")).alias("rank"))
-    return retrieval.fuse(number(dense), number(lexical), ["q", "doc_id"]).where("place <= 10").select("doc_id", "score", "place")
+    index = _lexical(t)
+    vectors = stored(t.documents.select("doc_id", embed.embedder(256)("text").alias("embedding")), "text-vectors")
+    asked = t.spark.createDataFrame([(0, embed.hash_vector(question, 256).tolist())], "query long, q array<double>")
+    dense, lexical = retrieval.nearest(vectors, asked, CANDIDATES, "doc_id"), index.rank({0: index.terms(question)}, k=CANDIDATES)
+    return retrieval.fuse(dense, lexical, ["query", "doc_id"]).where("place <= 10").select("doc_id", "score", "place")
 
 
 @query("r08_hash_embeddings")
