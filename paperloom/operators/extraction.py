@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import name_score, organization
 from ..functions.values import collapse
-from .retrieval import trigrams
+from .likeness import most_alike
 
 # ----------------------------------------------------------------------------- confidence
 
@@ -104,18 +104,15 @@ def tax_id_key(text: Column) -> Column:
 def vendor_candidates(named: DataFrame, vendors: DataFrame, least: float = 0.2, most: int = 25) -> DataFrame:
     """The ``most`` vendors whose names share most letter triples with each ``key``, by at least ``least`` of all.
 
-    ``named`` has distinct ``key``; ``vendors`` have ``vendor_id, v_key``.  Shared triples are
-    counted by an equi-join on all of them, pre-aggregated before the last shuffle, so no vendor
-    of enough similarity is missed; AQE splits the join of a common triple.
+    ``named`` has distinct ``key``; ``vendors`` have ``vendor_id, v_key``.  The pairs come from
+    a prefix-filtered join of distinct names (``most_alike``); of a name that very many vendors
+    have only the ``most`` of smallest id go on.
     """
-    distinct = vendors.select("v_key").where("v_key <> ''").distinct()
-    left = named.select("key", trigrams(F.col("key")).alias("g")).select("key", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    right = distinct.select("v_key", trigrams(F.col("v_key")).alias("g")).select("v_key", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    shared = left.join(right, "gram").groupBy("key", "v_key", "n", "m").agg(F.count("*").alias("shared"))
-    alike = shared.withColumn("alike", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).where(F.col("alike") >= least)
-    of = alike.join(vendors, "v_key")
+    alike = most_alike(named, vendors, "key", "v_key", least, most).select(F.col("name").alias("key"), F.col("other").alias("v_key"), "alike")
+    first = F.row_number().over(Window.partitionBy("v_key").orderBy("vendor_id"))
+    few = vendors.where("v_key <> ''").select("vendor_id", "v_key").distinct().withColumn("nr", first).where(F.col("nr") <= most).drop("nr")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("alike"), "vendor_id", "v_key"))
-    return of.withColumn("place", place).where(F.col("place") <= most).select("key", "vendor_id", "v_key", "alike")
+    return alike.join(few, "v_key").withColumn("place", place).where(F.col("place") <= most).select("key", "vendor_id", "v_key", "alike")
 
 
 def resolve_vendors(docs: DataFrame, vendors: DataFrame, aliases: DataFrame | None = None, least: float = 85.0) -> DataFrame:

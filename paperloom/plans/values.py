@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity, values
-from ..operators import matching, retrieval
+from ..operators import likeness, matching, retrieval
 from .registry import query
 
 def _sql(expression: str) -> str:
@@ -216,3 +216,16 @@ def _(t):
     SELECT vendor_id, round(shared / (n + (SELECT count(*) FROM q) - shared), 6) AS score FROM s WHERE shared / (n + (SELECT count(*) FROM q) - shared) >= 0.2""")
 def _(t):
     return t.vendors.withColumn("score", retrieval.trigram_similarity(F.col("name"), F.lit("kestrel sons 42"))).where("score >= 0.2").select("vendor_id", F.round("score", 6).alias("score"))
+
+
+@query("r15_alike_names", """
+    WITH n AS (SELECT vendor_id, lower(name) AS name FROM vendors), w AS (SELECT vendor_id, unnest(regexp_split_to_array(name, '[^a-z0-9]+')) AS w FROM n),
+    g AS (SELECT DISTINCT vendor_id, substr('  ' || w || ' ', i, 3) AS gram FROM w, range(1, 30) r(i) WHERE w <> '' AND i <= length(w) + 1), c AS (SELECT vendor_id, count(*) AS n FROM g GROUP BY 1),
+    s AS (SELECT a.vendor_id AS x, b.vendor_id AS y, count(*) AS shared FROM g a JOIN g b USING (gram) WHERE a.vendor_id < b.vendor_id GROUP BY 1, 2)
+    SELECT x, y, round(shared / (p.n + q.n - shared), 6) AS alike FROM s JOIN c p ON x = p.vendor_id JOIN c q ON y = q.vendor_id WHERE shared / (p.n + q.n - shared) >= 0.75""")
+def _(t):
+    """Pairs of vendors whose names are alike, over the whole table."""
+    names = t.vendors.select("vendor_id", F.lower("name").alias("name"))
+    pairs = likeness.alike_pairs(*likeness.rare_first(names, names, "name", "name"), 0.75)
+    ids = lambda c, to: names.select(F.col("name").alias(c), F.col("vendor_id").alias(to))
+    return pairs.join(ids("name", "x"), "name").join(ids("other", "y"), "other").where("x < y").select("x", "y", F.round("alike", 6).alias("alike"))
