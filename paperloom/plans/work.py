@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import sets
 from ..sources import files
-from ..sources.shared import shared_dir
-from ..streaming import jobs
+from ..sources.shared import new_folder, shared_dir
+from ..streaming import jobs, timed
 from .registry import query
 
 
@@ -36,13 +36,18 @@ def _(t):
 
 @query("q05_window_counts_stream", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute, event_type, count(*) AS hits, count(*) > 1 AS rejected FROM events GROUP BY 1, 2")
 def _(t):
-    """The same from a stream that runs to its end; every batch rewrites the whole result in the shared folder."""
+    """The same from a stream that runs to its end: a batch writes the minutes that it has changed, and only minutes behind the watermark are forgotten.
+
+    Of a minute's counts in several batches the last is the result, as counts only grow.
+    """
     stream = t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events.parquet*")
-    folder = f"{shared_dir(t.spark)}/counts-{uuid.uuid4().hex}"
+    folder = new_folder(t.spark, "counts")
     counts = jobs.window_counts(stream, "event_type", 1)
-    run = counts.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/rows"))
-    run.start().awaitTermination()
-    return t.spark.read.schema(counts.schema).parquet(f"{folder}/rows").withColumn("minute", F.col("minute").cast("timestamp_ntz"))
+    run = counts.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    run.foreachBatch(lambda df, batch: df.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")).start().awaitTermination()
+    written = t.spark.read.schema(counts.schema).parquet(f"{folder}/rows")
+    last = written.groupBy("minute", "event_type").agg(F.max("hits").alias("hits"), F.bool_or("rejected").alias("rejected"))
+    return last.withColumn("minute", F.col("minute").cast("timestamp_ntz"))
 
 
 @query("q02_distinct_jobs", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
@@ -80,9 +85,14 @@ def _(t):
     return half_open(t.events, "ts", "2024-01-05 00:00:00", "2024-01-15 00:00:00").where("user_id = 3").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("z03_token_bucket")
+@query("z03_token_bucket", """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT event_id, user_id, n, at, 2.0::DOUBLE AS had FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.n, e.at, least(2.0::DOUBLE, s.had - (s.had >= 1)::INT + (e.at - s.at) * (1.0::DOUBLE / 3600)) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT event_id, had >= 1 AS passed FROM s""")
 def _(t):
-    return jobs.stateful(t.events, "user_id", lambda times, state: jobs.token_bucket(times, 2, 1 / 3600, state))
+    passed = timed.judged(t.events, "user_id", timed.TokenBucket(2, 1 / 3600))
+    return passed.select("event_id", F.col("accepted").alias("passed"))
 
 
 @query("z04_token_families", """
@@ -92,9 +102,35 @@ def _(t):
     return jobs.token_families(t.events.select(F.col("user_id").alias("family"), (F.col("event_id") % 7).alias("token"), F.col("event_id").alias("use_id"), F.col("event_id").alias("at")))
 
 
-@query("z05_lockouts")
+@query("z05_lockouts", """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, event_type = 'purchase' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    z AS (SELECT event_id, user_id, n, at, good, 0 AS failures, 0.0::DOUBLE AS until, FALSE AS locked FROM e WHERE n = 0
+        UNION ALL SELECT event_id, user_id, n, at, good, CASE WHEN good THEN 0 ELSE 1 END, 0.0::DOUBLE, FALSE FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.n, e.at, e.good,
+            CASE WHEN e.at < z.until THEN z.failures WHEN e.good THEN 0 WHEN z.failures + 1 >= 5 THEN 0 ELSE z.failures + 1 END,
+            CASE WHEN e.at < z.until THEN z.until WHEN NOT e.good AND z.failures + 1 >= 5 THEN e.at + 43200 ELSE 0 END, e.at < z.until
+        FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1)
+    SELECT event_id, locked FROM z""")
+def _(t):
+    """Five failures in a row lock an account for twelve hours; what is not a purchase is a failure."""
+    attempts = t.events.withColumn("good", F.col("event_type") == "purchase")
+    return timed.judged(attempts, "user_id", timed.Lockout(5, 12 * 3600)).where("kind = 'row'").select("event_id", (~F.col("accepted")).alias("locked"))
+
+
+LEASED = "CASE event_type WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'done' ELSE 'claim' END"
+
+
+@query("q03_leases", f"""
+    WITH RECURSIVE e AS (SELECT event_id, user_id % 40 AS job, event_id % 3 AS worker, epoch_us(ts) / 1e6 AS at, {LEASED} AS action, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events),
+    z AS (SELECT event_id, job, n, (CASE WHEN action = 'claim' THEN worker END) AS holder, (CASE WHEN action = 'claim' THEN at + 3600 END) AS until, action = 'claim' AS accepted, NULL::DOUBLE AS ended FROM e WHERE n = 1
+        UNION ALL SELECT event_id, job, n, CASE WHEN ok THEN CASE WHEN action <> 'done' THEN worker END ELSE held END, CASE WHEN ok THEN CASE WHEN action <> 'done' THEN at + 3600 END WHEN held IS NOT NULL THEN until END, ok, over
+        FROM (SELECT e.*, z.until, CASE WHEN z.until > e.at THEN z.holder END AS held, CASE WHEN z.until <= e.at THEN z.until END AS over,
+            CASE WHEN e.action = 'claim' THEN coalesce(z.until <= e.at, TRUE) ELSE coalesce(z.until > e.at AND z.holder = e.worker, FALSE) END AS ok FROM z JOIN e ON e.job = z.job AND e.n = z.n + 1) x)
+    SELECT event_id, job, 'row' AS kind, accepted FROM z UNION ALL SELECT NULL, job, 'expired', NULL FROM z WHERE ended IS NOT NULL""")
 def _(t):
-    return jobs.stateful(t.events, "user_id", lambda times, state: jobs.lockouts([int(x * 1e6) % 3 == 0 for x in times], 5, state))
+    """Claims, heartbeats and ends of jobs by three workers: leases of an hour, extended by their holder, over by themselves."""
+    acted = t.events.select("event_id", "ts", (F.col("user_id") % 40).alias("job"), (F.col("event_id") % 3).cast("string").alias("worker"), F.expr(LEASED).alias("action"))
+    return timed.judged(acted, "job", timed.Lease(3600)).select("event_id", "job", "kind", "accepted")
 
 
 @query("z06_identifier_narrowing", "SELECT doc_id, CASE WHEN number = 'INV-30' THEN 'own' ELSE 'quoted' END AS kind FROM inv_header WHERE number = 'INV-30' OR (po_number = 'INV-30' AND NOT EXISTS (SELECT 1 FROM inv_header WHERE number = 'INV-30'))")

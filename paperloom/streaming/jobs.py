@@ -6,13 +6,8 @@ results can be held against each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Legal moves of an action, and states that end it.
 MOVES = {"PROPOSED": ["APPROVED", "REJECTED", "EXPIRED"], "APPROVED": ["RUNNING", "CANCELLED"], "RUNNING": ["DONE", "FAILED"], "FAILED": ["RUNNING"]}
@@ -41,55 +36,6 @@ def replace_partitions(batch: DataFrame, path: str, key: str) -> None:
     batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-# ------------------------------------------------------------------- rules over one key's rows
-
-
-def token_bucket(times: list[float], capacity: float, per_second: float, state: tuple[float, float] | None = None) -> tuple[list[bool], tuple[float, float]]:
-    """Which of ordered requests pass a bucket that refills, and the state after them."""
-    left, last = state or (capacity, times[0] if times else 0.0)
-    passed = []
-    for t in times:
-        left, last = min(capacity, left + max(0.0, t - last) * per_second), max(last, t)
-        passed.append(left >= 1)
-        left -= passed[-1]
-    return passed, (left, last)
-
-
-def lockouts(results: list[bool], most: int, state: tuple[float, float] | None = None) -> tuple[list[bool], tuple[float, float]]:
-    """Whether each attempt meets a locked account, and the state after: so many failures in a row lock it."""
-    locked, failures = [], int(state[0]) if state else 0
-    for good in results:
-        locked.append(failures >= most)
-        failures = 0 if good and not locked[-1] else failures + (not good)
-    return locked, (float(failures), 0.0)
-
-
-def stateful(events: DataFrame, key: str, rule: Any, at: str = "ts") -> DataFrame:
-    """``event_id, passed`` of a token bucket (or any rule of its shape) for each key of a stream or table."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        passed, after = rule(rows["at"].tolist(), state.get if state.exists else None)
-        state.update(after)
-        yield pd.DataFrame({"event_id": rows["event_id"], "passed": passed})
-
-    seconds = events.select("event_id", F.col(key), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("at"))
-    if events.isStreaming:
-        return seconds.groupBy(key).applyInPandasWithState(step, "event_id long, passed boolean", "left double, last double", "append", GroupStateTimeout.NoTimeout)
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, after = None, None
-        for batch in batches:
-            for k, rows in batch.groupby(key, sort=False):
-                passed, after = rule(rows["at"].tolist(), after if k == last else None)
-                last = k
-                yield pd.DataFrame({"event_id": rows["event_id"], "passed": passed})
-
-    # A key's rows pass through a task in order, a batch at a time; only the state is kept.
-    ordered = seconds.repartition(key).sortWithinPartitions(key, "at", "event_id")
-    return ordered.mapInPandas(whole, "event_id long, passed boolean")
-
-
 # --------------------------------------------------------------------- states of jobs, in batch
 
 

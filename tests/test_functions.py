@@ -2,6 +2,7 @@
 
 import datetime as dt
 from decimal import Decimal
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from paperloom.functions import embed, similarity, values
 from paperloom.operators import metrics, search, text
 from paperloom.sources.files import safe_name
-from paperloom.streaming import jobs
+from paperloom.streaming import timed
 
 
 @pytest.mark.parametrize(("printed", "value", "ambiguous"), [
@@ -101,9 +102,21 @@ def test_stems_and_vectors():
     assert embed.cover_density([[1], [2]]) > embed.cover_density([[1], [9]]) > embed.cover_density([[1], []]) == 0
 
 
+def steps_of(rule, rows):
+    """What a rule says to rows (time, good) of one key."""
+    state, out = None, []
+    for at, good in rows:
+        if state is not None and rule.end(state) is not None and rule.end(state) <= at:
+            state = None
+        state, accepted = rule.step(state, SimpleNamespace(at=float(at), good=good))
+        out.append(accepted)
+    return out
+
+
 def test_limits():
-    assert jobs.token_bucket([0, 0, 0, 10], 2, 0.1)[0] == [True, True, False, True]
-    assert jobs.lockouts([False, False, True, True], 2)[0] == [False, False, True, True]
+    assert steps_of(timed.TokenBucket(2, 0.1), [(0, None), (0, None), (0, None), (10, None)]) == [True, True, False, True]
+    assert steps_of(timed.Lockout(2, 10), [(0, False), (1, False), (5, True), (11, True)]) == [True, True, False, True]
+    assert steps_of(timed.Lockout(2, 10), [(0, False), (1, True), (5, False), (6, False), (7, False), (16, False), (17, False), (18, True)]) == [True, True, True, True, False, True, True, False]
 
 
 def test_names():
@@ -159,7 +172,7 @@ def test_token_bucket_by_hand(steps):
     for gap, _ in steps:
         at += gap
         times.append(at)
-    passed, _ = jobs.token_bucket(times, 2, 1 / 3)
+    passed = steps_of(timed.TokenBucket(2, 1 / 3), [(t, None) for t in times])
     left, last, wanted = 2.0, None, []
     for now in times:
         left = 2.0 if last is None else min(2.0, left + (now - last) / 3)
@@ -170,17 +183,22 @@ def test_token_bucket_by_hand(steps):
     assert len(passed) == len(close) and sum(a != b for a, b in zip(passed, wanted, strict=True)) == 0
 
 
-@given(st.lists(st.booleans(), max_size=60))
-def test_lockouts_by_hand(results):
-    locked, _ = jobs.lockouts(results, 3)
-    failures, wanted = 0, []
-    for good in results:
-        wanted.append(failures >= 3)
-        if good and failures < 3:
-            failures = 0
-        elif not good:
-            failures += 1
-    assert locked == wanted
+@given(st.lists(st.tuples(st.integers(0, 9), st.booleans()), max_size=60))
+def test_lockouts_by_hand(attempts):
+    """Three failures in a row lock for ten seconds and start the count anew."""
+    now, rows = 0, []
+    for gap, good in attempts:
+        now += gap
+        rows.append((now, good))
+    locked_until, in_a_row, wanted = -1, 0, []
+    for now, good in rows:
+        wanted.append(now >= locked_until)
+        if wanted[-1]:
+            in_a_row = 0 if good else in_a_row + 1
+            if in_a_row == 3:
+                locked_until, in_a_row = now + 10, 0
+    assert steps_of(timed.Lockout(3, 10), rows) == wanted
+
 
 
 def test_cover_density_prefers_close_terms():
