@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import values
 from ..operators import classify, matching, metrics, retrieval, rules, text, tools
-from ..sources.shared import shared_dir
+from ..sources.shared import new_folder, shared_dir
+from ..streaming import maintenance
 from .matching import _items
 from .registry import query
 
@@ -217,10 +219,44 @@ def _(t):
 def _(t):
     """Totals kept up to date: only the documents whose lines changed are computed again, the others keep theirs."""
     total = lambda df: df.groupBy("doc_id").agg(F.sum("quantity").cast("decimal(28,4)").alias("quantity"))
-    kept = total(t.po_lines)
+    kept = total(t.po_lines.where("doc_id % 100 <> 1"))
     changed = t.po_lines.where("doc_id % 100 = 1").withColumn("quantity", (F.col("quantity") + 1).cast("decimal(18,4)"))
-    again = total(changed)
-    return kept.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(again)
+    return kept.unionByName(total(changed))
+
+
+INVOICE = "doc_id long, number string, po_number string, vendor_id long, total decimal(18,4)"
+
+
+def invoice_matches(affected, invoices):
+    """What an invoice's neighbours say of it: the first of its number, how many invoices its order has and their sum, and others of its vendor and total."""
+    same = lambda *keys: invoices.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).groupBy(*keys)
+    mine = invoices.join(affected, "doc_id", "left_semi")
+    by_number = same("number").agg(F.min("doc_id").alias("original"))
+    by_order = same("po_number").agg(F.count("*").alias("billed"), F.sum("total").cast("decimal(28,4)").alias("billed_total"))
+    by_total = same("vendor_id", "total").agg((F.count("*") - 1).alias("alike"))
+    found = mine.join(by_number, "number", "left").join(by_order, "po_number", "left").join(by_total, ["vendor_id", "total"], "left")
+    return found.select("doc_id", F.coalesce("original", "doc_id").alias("original"), F.coalesce("billed", F.lit(0)).alias("billed"), "billed_total", F.coalesce("alike", F.lit(0)).alias("alike"))
+
+
+def maintained_invoices(spark, path, buckets=64):
+    schema = lambda ddl: T.StructType.fromDDL(ddl)
+    result = schema("doc_id long, original long, billed long, billed_total decimal(28,4), alike long")
+    return maintenance.Maintained(spark, path, "doc_id", schema(INVOICE), [["number"], ["po_number"], ["vendor_id", "total"]], invoice_matches, result, buckets)
+
+
+@query("q09_late_documents", """
+    WITH i AS (SELECT doc_id, number, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE concat('PO-', CAST(doc_id - doc_id % 5 AS VARCHAR)) END AS po_number, vendor_id, total FROM inv_header WHERE doc_id % 13 <> 0)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY number) AS original, CASE WHEN po_number IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY po_number) END AS billed,
+        CASE WHEN po_number IS NOT NULL THEN sum(total) OVER (PARTITION BY po_number) END::DECIMAL(28,4) AS billed_total, count(*) OVER (PARTITION BY vendor_id, total) - 1 AS alike FROM i""")
+def _(t):
+    """Invoices in three batches: first with wrong orders, then late ones that change their neighbours' results, at last corrections and deletions."""
+    order = F.when(F.col("doc_id") % 5 != 4, F.concat(F.lit("PO-"), (F.col("doc_id") - F.col("doc_id") % 5).cast("string")))
+    right = t.inv_header.select("doc_id", "number", order.alias("po_number"), F.col("vendor_id").cast("long").alias("vendor_id"), "total", (F.col("doc_id") % 13 == 0).alias("deleted"))
+    kept = maintained_invoices(t.spark, new_folder(t.spark, "maintained"), 16)
+    kept.apply(right.where("doc_id % 7 <> 3").withColumns({"po_number": F.when(F.col("doc_id") % 11 == 0, "PO-0").otherwise(F.col("po_number")), "deleted": F.lit(False)}), 0)
+    kept.apply(right.where("doc_id % 7 = 3").withColumn("deleted", F.lit(False)), 1)
+    kept.apply(right.where("doc_id % 11 = 0 OR doc_id % 13 = 0"), 2)
+    return kept.results().drop("batch")
 
 
 # ---------------------------------------------------------------------------------- tools
