@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import stored
+
 
 def ratio(a: Column, b: Column) -> Column:
     """Null where undefined."""
@@ -28,16 +31,46 @@ def daily_series(df: DataFrame, day: Column, *aggregates: Column) -> DataFrame:
     return days.join(daily, "day", "left")
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, alias: str) -> DataFrame:
-    """The value at rank ``round(share * (n - 1))``, halves to even, of each group.
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = 256) -> DataFrame:
+    """``*keys`` and, for each alias of ``shares``, the value at rank ``round(share * (n - 1))``, halves to even.
 
-    Distinct values are counted first, so that what a group sorts is no longer than those.
+    No group is sorted: a group's values are counted in ``bins`` equal bins between its bounds,
+    and the bin that holds the rank gives the next bounds, until these are one value.  Counts
+    are partial sums, so a group of very many rows is at most ``bins`` rows a task before a
+    shuffle; bounds are values that occur, so each round at least parts the least from the
+    greatest.  Nulls do not count; a group without values is absent.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    all_rows = Window.partitionBy(*keys)
-    upto = F.sum("__n").over(all_rows.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    marked = counts.withColumn("__upto", upto).withColumn("__at", F.bround(share * (F.sum("__n").over(all_rows) - 1)))
-    return marked.where(F.col("__upto") > F.col("__at")).groupBy(*keys).agg(F.min(value).alias(alias))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    wanted = F.explode(F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(float(s)).alias("share")) for a, s in shares.items()]))
+    bounds = rows.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+    todo = bounds.select(*names, "low", "high", "n", wanted.alias("s"))
+    todo = stored(todo.select(*names, "low", "high", F.col("s.alias").alias("alias"), F.bround(F.col("s.share") * (F.col("n") - 1)).cast("long").alias("at")), "ranks")
+    done = []
+    while True:
+        done.append(todo.where("low = high").select(*names, "alias", F.col("low").alias("value")))
+        todo = todo.where("low < high")
+        if todo.isEmpty():
+            break
+        inside = rows.join(todo, _same(keys, names) & F.col("__v").between(F.col("low"), F.col("high")))
+        low, high = F.col("low").cast("double"), F.col("high").cast("double")
+        place = F.least(F.lit(bins - 1), F.floor((F.col("__v").cast("double") - low) / (high - low) * bins)).cast("int")
+        place = F.when(F.col("__v") == F.col("high"), bins).otherwise(F.coalesce(place, F.lit(0)))  # the greatest is a bin of its own
+        counts = inside.groupBy(*names, "alias", "at", place.alias("bin")).agg(F.count("*").alias("n"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        upto = F.sum("n").over(Window.partitionBy(*names, "alias").orderBy("bin"))
+        held = counts.withColumn("upto", upto).where((F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at")))
+        todo = stored(held.select(*names, "low", "high", "alias", (F.col("at") - F.col("upto") + F.col("n")).alias("at")), "ranks")
+    found = reduce(DataFrame.unionByName, done)
+    columns = [F.max(F.when(F.col("alias") == a, F.col("value"))).alias(a) for a in shares]
+    return found.groupBy(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)]).agg(*columns)
+
+
+def _same(a: list[str], b: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(m).eqNullSafe(F.col(n)) for m, n in zip(a, b, strict=True)], F.lit(True))
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float, alias: str) -> DataFrame:
+    return nearest_ranks(df, keys, value, {alias: share})
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
