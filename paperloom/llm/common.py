@@ -36,8 +36,7 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     happens to collect garbage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = scratch_path(spark, label)
     before = spark.conf.get(RELEASE, None)
     if release and before is not None:
         spark.conf.set(RELEASE, "true")
@@ -49,6 +48,13 @@ def materialize(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``clear_scratch`` knows."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def scratch(spark: SparkSession) -> list[str]:
     """The folders that this application has materialised and not removed."""
     return list(_written.get(spark.sparkContext.applicationId, []))

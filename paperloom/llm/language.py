@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from .common import materialize, own_columns, unpacked, with_columns
 
-#: Buckets of byte triples.
-TRIPLES = 4096
+#: Buckets of byte triples, and bytes that the text models of all languages may take in each process.
+TRIPLES, TABLE_BYTES = 4096, 64 << 20
 #: A text counts as at most so many independent triples, as its overlapping ones are not.
 EFFECTIVE = 150.0
 #: Chance that a declared language, and that an address suffix, is the text's.
@@ -49,11 +49,14 @@ def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
     })
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, languages: list[str] | None = None, keep_above: float = 0.5) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, languages: list[str] | None = None, keep_above: float = 0.5, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """Names the language of every row from four kinds of evidence, fused by Bayes' rule.
 
     The languages are ``languages``, or all that any row declares, however few do; the text
-    model of a rare one is smoothed towards equal chances.  The model counts byte triples by
+    model of a rare one is smoothed towards equal chances.  Their models go to every process;
+    where they would take more than ``table_bytes`` (2,048 languages; the world has 7,000, tables
+    of web pages declare some hundred), an error says so before any is built, and the caller
+    names the languages or grants more: none is dropped in silence.  The model counts byte triples by
     declared language over all rows: tasks
     sum their own, and one sum a language and bucket follows.  With it each row's text has a
     likelihood of every language, tempered as triples overlap.  Grouped aggregation of the
@@ -75,8 +78,11 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     of = lambda c: F.col(f"`{c}`").cast("string") if c else null
     taken = ("language", "language_probability", "text_language", "keep")
     base = docs.select(own_columns(docs, *taken).alias("own"), of(text).alias("text"), F.nullif(F.trim(F.lower(of(declared))), F.lit("")).alias("declared"), F.lower(of(host)).alias("host"), F.lower(of(suffix)).alias("suffix"))
+    most = max(1, table_bytes // (8 * TRIPLES))
     if languages is None:
-        languages = sorted(r[0] for r in base.where("declared IS NOT NULL").select("declared").distinct().collect())  # a language a row
+        languages = sorted(r[0] for r in base.where("declared IS NOT NULL").select("declared").distinct().limit(most + 1).collect())  # a language a row
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages, whose models exceed {table_bytes} bytes: name the languages, or grant more table_bytes")
     size = len(languages)
     names = F.array(*map(F.lit, languages)).cast("array<string>")
     sums = base.where(F.col("declared").isin(languages)).select("text", "declared").mapInArrow(_counted, "lang string, bucket int, n long")

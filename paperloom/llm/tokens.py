@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, scratch_path
 
 #: Words whose ids a worker remembers.
 REMEMBERED = 600_000
@@ -278,8 +278,6 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def token_offsets(docs: DataFrame, tokenizer: str, end_id: int, **options) -> DataFrame:
     """Writes a store to the shared folder and reads it back."""
-    import uuid
-
-    path = f"{shared_dir(docs.sparkSession)}/token-store-{uuid.uuid4().hex}"
+    path = scratch_path(docs.sparkSession, "token-store")
     write_token_store(docs, path, tokenizer, end_id, **options)
     return read_token_store(docs.sparkSession.read.parquet(path))

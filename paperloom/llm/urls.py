@@ -83,15 +83,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     tokens = F.array_append(F.array_distinct(F.filter(F.split("target", "[^0-9A-Za-z]+", -1), lambda t: t != "")), F.lit(""))
     asked = seen.select("url", "target", F.explode(tokens).alias("token"))
 
-    # A word of the rules is a token; one that no URL holds is the rarest of all.
-    numbered = rules.withColumn("literals", F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit(""))))
-    literals = numbered.select("rule", "is_host", "pattern", "verdict", F.explode("literals").alias("token"))
-    held = asked.select("token").join(literals.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
-    index = (
-        literals.join(held, "token", "left")
-        .groupBy("rule", "is_host", "pattern", "verdict")
-        .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
-    )
+    index = rule_index(rules, asked)
     fits = asked.join(index, "token").where(F.expr("target RLIKE pattern"))
     best = fits.groupBy("url").agg(
         F.min(F.when(F.col("is_host"), F.struct((-F.length("rule")).alias("n"), "rule", (F.col("verdict") != "block").alias("ok"), "verdict"))).alias(by_host),
@@ -104,6 +96,22 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
     }).drop(judged, by_host, by_pattern)
 
 
+def rule_index(rules: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each rule with ``token``: of its literals the one that the fewest ``asked`` (a row a URL and distinct token) hold.
+
+    A literal that no URL holds is the rarest of all; ties go to the smaller word.  A rule
+    without literals has the empty token, which every URL has.
+    """
+    numbered = rules.withColumn("literals", F.when(F.size("literals") > 0, F.col("literals")).otherwise(F.array(F.lit(""))))
+    literals = numbered.select("rule", "is_host", "pattern", "verdict", F.explode("literals").alias("token"))
+    held = asked.select("token").join(literals.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    return (
+        literals.join(held, "token", "left")
+        .groupBy("rule", "is_host", "pattern", "verdict")
+        .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+    )
+
+
 def _parts(url: Column) -> tuple[Column, Column]:
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://(.*)$", 1)
     return ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)

@@ -211,3 +211,25 @@ def test_scratch_is_cleared(spark):
     assert kept.count() == 3 and old.count() == 2
     with pytest.raises(Exception, match="FAILED_READ_FILE|does not exist"):
         gone.collect()
+
+
+def test_page_evidence_by_hand(spark):
+    """Markup, address suffix and bare text of pages, as read by eye."""
+    rows = [
+        ("https://www.site.de/en/start?x=1", '<html lang="de-AT"><head><title>T</title><script>var a = "<b>";</script></head><body>Guten&nbsp;Tag &#228; <b>du</b></body></html>', "T Guten Tag du", "de", "www.site.de", "en"),
+        ("http://Example.FR/page", "<HTML class=x LANG='fr'><style>p {}</style><!-- <p>no</p> --><p>Bon\njour</p>", "Bon jour", "fr", "example.fr", "fr"),
+        ("http://a.example.com/d/e", "<html><body lang=es>Hola", "Hola", None, "a.example.com", None),
+        ("ftp://x.org/es", "<html lang=eng>Hi", "Hi", "eng", "x.org", "es"),
+        ("no address", None, "", None, "", None), (None, "", "", None, "", None),
+    ]
+    df = spark.createDataFrame([(i, r[0], r[1], "clash") for i, r in enumerate(rows)], "page_id long, url string, html string, host string")
+    out = {r.page_id: (" ".join(r.text.split()), r.declared, r.host, r.suffix) for r in language.page_evidence(df).collect()}
+    assert out == {i: r[2:] for i, r in enumerate(rows)}
+
+
+def test_very_many_languages_are_an_error_that_names_the_bound(spark):
+    df = spark.createDataFrame([(i, "some words here", f"l{i % 9}", "h") for i in range(40)], "doc_id long, text string, lang string, source string")
+    with pytest.raises(ValueError, match="more than 4 languages"):
+        language.identify(df, declared="lang", host="source", table_bytes=4 * 8 * language.TRIPLES)
+    assert language.identify(df, declared="lang", host="source", table_bytes=9 * 8 * language.TRIPLES).count() == 40
+    assert language.identify(df, declared="lang", host="source", languages=["l1", "l2"]).where("language IN ('l1', 'l2')").count() == 40

@@ -1,6 +1,7 @@
 """Line dedup and URL filters against plain Python, and their edge cases."""
 
 import hashlib
+import re
 from collections import Counter
 
 import pytest
@@ -76,6 +77,17 @@ def test_url_tables(spark):
     assert {r.verdict for r in urls.judge_urls(df, urls.rules_frame(spark, [])).collect()} == {"allow"}
 
 
+def test_the_rarest_literal_is_the_index(spark):
+    """Pattern rules of several literals: the word that the fewest URLs hold fetches them, and only its URLs run them."""
+    addresses = [f"http://shop{i}.com/item/page/{i}" for i in range(20)] + ["http://a.com/item/free/offer", "http://b.com/item/free/x", "http://b.com/offer/item/free"]
+    rules = [urls.pattern_rule("deal", "/free/offer", "block", ["item", "free", "offer"]), urls.pattern_rule("none", "item.*zebra", "block", ["item", "zebra"]), urls.pattern_rule("all", "^nothing$", "block", [])]
+    asked = spark.createDataFrame([(u, t) for u in addresses for t in {*re.findall("[0-9A-Za-z]+", u.split("://")[1]), ""}], "url string, token string")
+    index = {r.rule: r.token for r in urls.rule_index(urls.rules_frame(spark, rules), asked).collect()}
+    assert index == {"deal": "offer", "none": "zebra", "all": ""}
+    out = urls.judge_urls(spark.createDataFrame([(u,) for u in addresses], "url string"), urls.rules_frame(spark, rules)).collect()
+    assert {r.url for r in out if r.verdict == "block"} == {"http://a.com/item/free/offer"}
+
+
 def test_hash_is_of_whole_text(spark, folder):
     row = queries.op2_line_dedup(spark, folder).orderBy("doc_id").first()
     assert len(row.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
