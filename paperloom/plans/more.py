@@ -135,7 +135,7 @@ def _(t):
 
 
 @query("n10_agreement_keys", """
-    WITH a AS (SELECT doc_id, upper(sku) AS key, unit_price FROM po_lines), b AS (SELECT doc_id, upper(sku) AS key, unit_price FROM inv_lines)
+    WITH a AS MATERIALIZED (SELECT doc_id, upper(sku) AS key, unit_price FROM po_lines), b AS MATERIALIZED (SELECT doc_id, upper(sku) AS key, unit_price FROM inv_lines)
     SELECT a.doc_id, a.unit_price = b.unit_price AS agree FROM a JOIN b ON a.doc_id = b.doc_id AND a.key = b.key""")
 def _(t):
     b = t.inv_lines.select("doc_id", F.upper("sku").alias("key"), F.col("unit_price").alias("other"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import embed
-from ..operators import lexical_index, retrieval, search, text, vector_index
+from ..operators import editing, lexical_index, retrieval, search, text, vector_index
 from ..sources.shared import new_folder, stored
 from .registry import query
 
@@ -287,3 +287,13 @@ def _(t):
     ref = F.regexp_replace("text", "[^ -~]", "?")
     hyp = F.replace(F.replace(ref, F.lit("th"), F.lit("t")), F.lit("e"), F.lit("3"))
     return t.benchmark.select("item_id", F.round(F.levenshtein(ref, hyp) / F.length(ref), 9).alias("cer"))
+
+
+@query("r19_word_error_rates", r"""
+    WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda x: x <> '')) AS n FROM documents)
+    SELECT doc_id, n AS words, n // 10 AS edits, round(CASE WHEN n > 0 THEN (n // 10) / n ELSE 0 END, 9) AS rate FROM w""")
+def _(t):
+    """Whole documents against readings that miss every tenth word: as many edits as words are missing, whatever else they are."""
+    words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+", -1), lambda w: w != "")
+    read = F.array_join(F.filter(words, lambda w, i: i % 10 != 9), " ")
+    return t.documents.select("doc_id", editing.word_errors("text", read).alias("e")).select("doc_id", F.col("e.words").alias("words"), F.col("e.edits").alias("edits"), F.round("e.rate", 9).alias("rate"))
