@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions import values
 from ..operators import classify, matching, metrics, retrieval, rules, text, tools
-from ..sources.shared import new_folder, shared_dir
+from ..sources import synthetic
+from ..sources.shared import new_folder, shared_dir, stored
 from ..streaming import maintenance
 from .matching import _items
 from .registry import query
@@ -28,6 +29,36 @@ def _(t):
     return kept.select(F.col("key").cast("long").alias("key"), F.rtrim(F.decode("content", "utf-8"), F.lit("\n")).alias("content"), (F.col("length") - 1).alias("size"))
 
 
+def generated(t, seed=42):
+    """Families of every order, written once: ``lines`` of all documents, ``headers`` of the invoices."""
+    lines = stored(synthetic.families(t.spark, t.orders, seed, "o_custkey", "o_orderdate"), "families").withColumn("confidence", F.lit(0.98))
+    invoices = lines.where("kind = 'INVOICE'")
+    headers = invoices.groupBy("doc_id", "number", F.col("o_custkey").alias("vendor_id"), F.col("o_orderdate").cast("date").alias("doc_date")).agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("total"))
+    return lines, headers.withColumn("currency", F.lit("USD"))
+
+
+def found_defects(lines, headers):
+    """``order, found``: what the comparison of lines and the search for duplicates see, without a look at what was planted."""
+    of = lambda kind: lines.where(F.col("kind") == kind).where("doc_id >= 0").select("doc_id", "sku", "quantity", "unit_price", "confidence")
+    items = matching.compare_lines(of("INVOICE"), of("PURCHASE_ORDER"), of("DELIVERY_NOTE"))
+    seen = lambda check, status, name: items.where((F.col("check") == check) & (F.col("status") == status)).select(F.col("doc_id").alias("order"), F.lit(name).alias("found"))
+    parts = [seen("unit_price", "MISMATCH", "price_changed"), seen("quantity_ordered", "MISMATCH", "quantity_raised"), seen("quantity_delivered", "MISMATCH", "short_delivery"), seen("line_on_order", "MISSING", "foreign_line")]
+    copies = matching.strongest(headers).where("strong")
+    copies = copies.select(F.greatest("doc_id", -F.col("doc_id") - 1).alias("order"), F.lit("duplicate_invoice").alias("found"))  # the copy of order n is -n - 1
+    for part in parts:
+        copies = copies.unionByName(part)
+    return copies.distinct()
+
+
+@query("s19_generated_defects")
+def _(t):
+    """Defects of generated families found again by the three-way comparison and the search for duplicates: what was planted, what was found, how often."""
+    lines, headers = generated(t)
+    planted = lines.select(F.col("o_orderkey").alias("order"), "scenario").distinct()
+    found = found_defects(lines, headers)
+    return planted.join(found, "order", "left").groupBy("scenario", F.coalesce("found", F.lit("clean")).alias("found")).agg(F.count("*").alias("n"))
+
+
 @query("s19_planted_differences", """
     SELECT 'duplicate_number' AS scenario, count(*) FILTER (WHERE o_orderkey % 31 = 0) AS n FROM orders UNION ALL SELECT 'no_order', count(*) FILTER (WHERE o_orderkey % 37 = 0) FROM orders
     UNION ALL SELECT 'other_vendor', count(*) FILTER (WHERE o_orderkey % 41 = 0) FROM orders UNION ALL SELECT 'long_terms', count(*) FILTER (WHERE o_orderkey % 43 = 0) FROM orders""")
