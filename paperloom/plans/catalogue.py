@@ -138,13 +138,16 @@ def _(t):
     return parts.select("page", rows.cast("long").alias("rows"), F.forall("parts", lambda p: p.startswith("| Part | Name |\n")).alias("headed"))
 
 
-@query("t05_overlap_tails", "SELECT doc_id, TRUE AS within, TRUE AS ends, TRUE AS less FROM documents")
+@query("t05_overlap_tails", r"""
+    WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents),
+    p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(flat, '([.!?;:])\s+([A-Z0-9("''])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM f),
+    e AS (SELECT doc_id, len(s) AS n, unnest(range(2, len(s) + 1)) AS i, s FROM p), c AS (SELECT doc_id, list_sum(list_transform(s[i:n], lambda x: length(x))) + n - i AS size FROM e WHERE n - i < 160)
+    SELECT doc_id, coalesce(max(size) FILTER (WHERE ceil(size / 4) <= 75), 0)::BIGINT AS characters FROM f LEFT JOIN c USING (doc_id) GROUP BY 1""")
 def _(t):
-    """What the next chunk repeats: whole sentences at the end, at most 75 tokens, and never all."""
+    """How long what the next chunk repeats is: the most whole sentences at the end within 75 tokens, and never all."""
     flat = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     tail = F.udf(lambda s: text.tail([s or ""], 75), "string", useArrow=True)
-    out = t.documents.select("doc_id", flat.alias("flat")).withColumn("tail", tail("flat"))
-    return out.select("doc_id", (F.length("tail") <= 300).alias("within"), F.endswith("flat", "tail").alias("ends"), ((F.col("tail") == "") | (F.length("tail") < F.length("flat"))).alias("less"))
+    return t.documents.select("doc_id", F.length(tail(flat)).cast("long").alias("characters"))
 
 
 @query("w15_chunk_packing", "SELECT doc_id, TRUE AS gapless, TRUE AS within FROM documents")
