@@ -207,10 +207,10 @@ def _(t):
 def _(t):
     """Blobs as they lie in the store against the digests on record: a fifth was changed after it was recorded, a seventh has no record."""
     folder = new_folder(t.spark, "blobs")
-    rows = t.nation.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.col("n_name").alias("value"))
+    rows = t.nation.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), F.col("n_name").alias("value"))
     rows.select(F.col("n_nationkey").alias("key"), F.when(F.col("n_nationkey") % 5 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value"))).repartition("key").write.partitionBy("key").text(folder)
     blobs = files.read_blobs(t.spark, folder)
-    at = blobs.select("path", F.regexp_extract("path", "key=([0-9]+)", 1).cast("long").alias("n_nationkey"))
+    at = blobs.select("path", F.regexp_extract("path", "key=([0-9]+)", 1).cast("int").alias("n_nationkey"))
     recorded = rows.where("n_nationkey % 7 <> 0").join(at, "n_nationkey").select("path", F.sha2(F.concat("value", F.lit("\n")), 256).alias("sha256"))
     return files.verified(blobs, recorded).join(at, "path").select("n_nationkey", "intact")
 
