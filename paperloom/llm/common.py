@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +75,12 @@ def clear_scratch(spark: SparkSession, *needed: DataFrame, since: list[str]) ->
 
 
 def in_parts(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
-    """The rows of ``batch`` in parts of about ``size`` bytes of ``column``; a longer value is a part."""
-    part = np.cumsum(pc.binary_length(batch[column]).to_numpy(zero_copy_only=False), dtype=np.int64) // size
+    """The rows of ``batch`` in parts of about ``size`` bytes of the string ``column``; a longer value is a part."""
+    if not len(batch):
+        return iter(())
+    column = batch[column]
+    at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    part = np.cumsum(np.diff(at), dtype=np.int64) // size
     edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
     return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)  # noqa: B905
 
