@@ -86,9 +86,9 @@ def _(t):
 
 
 @query("z03_token_bucket", """
-    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-    s AS (SELECT event_id, user_id, n, at, 2.0::DOUBLE AS had FROM e WHERE n = 1
-        UNION ALL SELECT e.event_id, e.user_id, e.n, e.at, least(2.0::DOUBLE, s.had - (s.had >= 1)::INT + (e.at - s.at) * (1.0::DOUBLE / 3600)) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT event_id, user_id, n, sec, 2.0::DOUBLE AS had FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.n, e.sec, least(2.0::DOUBLE, s.had - (s.had >= 1)::INT + (e.sec - s.sec) * (1.0::DOUBLE / 3600)) FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
     SELECT event_id, had >= 1 AS passed FROM s""")
 def _(t):
     passed = timed.judged(t.events, "user_id", timed.TokenBucket(2, 1 / 3600))
@@ -103,12 +103,12 @@ def _(t):
 
 
 @query("z05_lockouts", """
-    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS at, event_type = 'purchase' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-    z AS (SELECT event_id, user_id, n, at, good, 0 AS failures, 0.0::DOUBLE AS until, FALSE AS locked FROM e WHERE n = 0
-        UNION ALL SELECT event_id, user_id, n, at, good, CASE WHEN good THEN 0 ELSE 1 END, 0.0::DOUBLE, FALSE FROM e WHERE n = 1
-        UNION ALL SELECT e.event_id, e.user_id, e.n, e.at, e.good,
-            CASE WHEN e.at < z.until THEN z.failures WHEN e.good THEN 0 WHEN z.failures + 1 >= 5 THEN 0 ELSE z.failures + 1 END,
-            CASE WHEN e.at < z.until THEN z.until WHEN NOT e.good AND z.failures + 1 >= 5 THEN e.at + 43200 ELSE 0 END, e.at < z.until
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, event_type = 'purchase' AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    z AS (SELECT event_id, user_id, n, sec, good, 0 AS failures, 0.0::DOUBLE AS until, FALSE AS locked FROM e WHERE n = 0
+        UNION ALL SELECT event_id, user_id, n, sec, good, CASE WHEN good THEN 0 ELSE 1 END, 0.0::DOUBLE, FALSE FROM e WHERE n = 1
+        UNION ALL SELECT e.event_id, e.user_id, e.n, e.sec, e.good,
+            CASE WHEN e.sec < z.until THEN z.failures WHEN e.good THEN 0 WHEN z.failures + 1 >= 5 THEN 0 ELSE z.failures + 1 END,
+            CASE WHEN e.sec < z.until THEN z.until WHEN NOT e.good AND z.failures + 1 >= 5 THEN e.sec + 43200 ELSE 0 END, e.sec < z.until
         FROM z JOIN e ON e.user_id = z.user_id AND e.n = z.n + 1)
     SELECT event_id, locked FROM z""")
 def _(t):
@@ -121,11 +121,11 @@ LEASED = "CASE event_type WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'do
 
 
 @query("q03_leases", f"""
-    WITH RECURSIVE e AS (SELECT event_id, user_id % 40 AS job, event_id % 3 AS worker, epoch_us(ts) / 1e6 AS at, {LEASED} AS action, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events),
-    z AS (SELECT event_id, job, n, (CASE WHEN action = 'claim' THEN worker END) AS holder, (CASE WHEN action = 'claim' THEN at + 3600 END) AS until, action = 'claim' AS accepted, NULL::DOUBLE AS ended FROM e WHERE n = 1
-        UNION ALL SELECT event_id, job, n, CASE WHEN ok THEN CASE WHEN action <> 'done' THEN worker END ELSE held END, CASE WHEN ok THEN CASE WHEN action <> 'done' THEN at + 3600 END WHEN held IS NOT NULL THEN until END, ok, over
-        FROM (SELECT e.*, z.until, CASE WHEN z.until > e.at THEN z.holder END AS held, CASE WHEN z.until <= e.at THEN z.until END AS over,
-            CASE WHEN e.action = 'claim' THEN coalesce(z.until <= e.at, TRUE) ELSE coalesce(z.until > e.at AND z.holder = e.worker, FALSE) END AS ok FROM z JOIN e ON e.job = z.job AND e.n = z.n + 1) x)
+    WITH RECURSIVE e AS (SELECT event_id, user_id % 40 AS job, event_id % 3 AS worker, epoch_us(ts) / 1e6 AS sec, {LEASED} AS action, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS n FROM events),
+    z AS (SELECT event_id, job, n, (CASE WHEN action = 'claim' THEN worker END) AS holder, (CASE WHEN action = 'claim' THEN sec + 3600 END) AS until, action = 'claim' AS accepted, NULL::DOUBLE AS ended FROM e WHERE n = 1
+        UNION ALL SELECT event_id, job, n, CASE WHEN ok THEN CASE WHEN action <> 'done' THEN worker END ELSE held END, CASE WHEN ok THEN CASE WHEN action <> 'done' THEN sec + 3600 END WHEN held IS NOT NULL THEN until END, ok, over
+        FROM (SELECT e.*, z.until, CASE WHEN z.until > e.sec THEN z.holder END AS held, CASE WHEN z.until <= e.sec THEN z.until END AS over,
+            CASE WHEN e.action = 'claim' THEN coalesce(z.until <= e.sec, TRUE) ELSE coalesce(z.until > e.sec AND z.holder = e.worker, FALSE) END AS ok FROM z JOIN e ON e.job = z.job AND e.n = z.n + 1) x)
     SELECT event_id, job, 'row' AS kind, accepted FROM z UNION ALL SELECT NULL, job, 'expired', NULL FROM z WHERE ended IS NOT NULL""")
 def _(t):
     """Claims, heartbeats and ends of jobs by three workers: leases of an hour, extended by their holder, over by themselves."""
