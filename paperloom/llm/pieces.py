@@ -7,7 +7,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -135,12 +135,24 @@ def decoder_steps(model: Model) -> list:
     return [decoders.Replace(SPACE, " "), *([decoders.ByteFallback()] if model.byte_fallback else []), decoders.Fuse()]
 
 
+class _Parts(dict):
+    """Ids by word; those of a word that is not there are asked of ``learn``."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        return self.learn(word)
+
+
 class PieceCoder:
     """Encodes and decodes batches, and checks the library against SentencePiece itself.
 
     Where the vocabulary allows (``splits_at_spaces``) a text is normalised, cut before each
-    run of space markers, and each distinct part is encoded and decoded once, in
-    multithreaded batches; a text's ids and its decoded text are those of its parts.
+    run of space markers, and each distinct part is encoded and decoded once; a text's ids
+    and its decoded text are those of its parts.  A part is known by its word: without the
+    marker it begins with, or, where a text begins without one, behind a space.
     ``parity`` says of each text whether SentencePiece gives the whole text the same ids.
     """
 
@@ -156,64 +168,90 @@ class PieceCoder:
         self.bare = library_tokenizer(self.model)
         self.bare.normalizer = None
         self.bare.decoder = decoders.Sequence(decoder_steps(self.model))
+        self.core = self.bare.model  # all that is left of it: parts go there without an encoding's other fields
+        self.pieces = [p for p, _, _ in self.model.pieces]
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = not any(kind == USER_DEFINED for _, _, kind in self.model.pieces)
         self.by_part = self.model.splits_at_spaces and plain
         # Normalising does no more than write markers for spaces.
         self.marks_only = not self.model.charsmap and not self.model.remove_extra
         self.remembered = remembered
-        self.parts: dict[str, bytes] = {"": b""}  # ids of parts, as of late
+        self.parts = _Parts(self.learn)  # ids of parts, by word, as of late
         self.before: dict[str, bytes] = {}  # and of the time before
         self.changed: dict[str, str] = {}  # what parts decode to, where that is not the part
+        self.passing: list[str] = []  # parts that are too long to be remembered
 
     def cut(self, text: str) -> list[str]:
+        """The words of a text's parts."""
         if not text:
             return []
         if self.marks_only and SPACE not in text and "  " not in text and text[0] != " ":
-            return ((SPACE if self.model.dummy_prefix else "") + text).replace(" ", " " + SPACE).split(" ")
-        return re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", self.full.normalizer.normalize_str(text))
-
-    def learn(self, parts: set[str]) -> None:
-        """Makes the ids of ``parts`` known.
+            words = text.split(" ")
+            if not self.model.dummy_prefix:
+                words[0] = " " + words[0]
+            return words
+        parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", self.full.normalizer.normalize_str(text))
+        return [p[1:] if p[0] == SPACE else " " + p for p in parts]
+
+    def learn(self, word: str) -> bytes:
+        """The ids of a word that is not among those of late, where they are now.
+
+        Pieces that join to the part decode to it, but for what reads like a byte's piece;
+        any other part is decoded by the library.
+        """
+        ids = self.before.get(word)
+        if ids is None:
+            bare = word[:1] == " "
+            part = word[1:] if bare else SPACE + word
+            if len(word) > LONGEST:  # tokens of a whole text at once would take more memory
+                found = self.bare.encode_batch_fast([part], add_special_tokens=False)[0].ids
+            else:
+                found = [t.id for t in self.core.tokenize(part)]
+            ids = array("I", found).tobytes()
+            if "<0x" in part or "".join([self.pieces[i] for i in found]) != part:
+                text = self.bare.decode(found, skip_special_tokens=False)
+                if text != part.replace(SPACE, " "):
+                    self.changed[word] = " " + text if bare else text[1:]
+        self.parts[word] = ids
+        if len(word) > LONGEST:
+            self.passing.append(word)
+        return ids
+
+    def forget(self) -> None:
+        """What is remembered has a bound in bytes: long parts go.
 
         Beyond ``remembered`` parts those of late become those before, and what was before
         and not met since is forgotten; so frequent parts stay, whatever comes between.
         """
+        for word in self.passing:
+            del self.parts[word]
+            self.changed.pop(word, None)
+        self.passing.clear()
         if len(self.parts) > self.remembered:
-            self.before, self.parts = self.parts, {"": b""}
-            self.changed = {p: text for p, text in self.changed.items() if p in self.before}
-        parts = parts.difference(self.parts)
-        again = parts.intersection(self.before)
-        self.parts.update((p, self.before[p]) for p in again)
-        new = list(parts - again)
-        ids = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-        self.parts.update(zip(new, (array("I", x).tobytes() for x in ids), strict=True))
-        texts = self.bare.decode_batch(ids, skip_special_tokens=False)
-        self.changed.update((p, text) for p, text in zip(new, texts, strict=True) if text != p.replace(SPACE, " "))
+            self.before, self.parts = self.parts, _Parts(self.learn)
+            self.changed = {w: text for w, text in self.changed.items() if w in self.before}
 
     def code_batch(self, texts: list[str]) -> tuple[list[bytes], list[str], list[bool]]:
         """Little-endian 32-bit ids, decoded text, and parity, of each text."""
-        judged = [array("I", x).tobytes() for x in self.judge.encode(texts, num_threads=1)]
+        judged = [x.tobytes() for x in self.judge.encode(texts, num_threads=1, return_type="numpy")]  # no list of numbers
         if not self.by_part:
             found = [e.ids for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
             ids, decoded = [array("I", x).tobytes() for x in found], self.full.decode_batch(found, skip_special_tokens=False)
             return ids, decoded, [x == y for x, y in zip(ids, judged, strict=True)]
-        cut = [self.cut(t) for t in texts]
-        distinct = set().union(*cut)
-        self.learn(distinct)
-        ids = [b"".join(map(self.parts.__getitem__, parts)) for parts in cut]
-        odd = distinct.intersection(self.changed)
-        decoded = [self._told(parts, odd) for parts in cut]
-        for p in distinct:
-            if len(p) > LONGEST:  # what is remembered has a bound in bytes, too
-                self.parts.pop(p)
-                self.changed.pop(p, None)
+        ids, decoded = [], []
+        for text in texts:
+            words = self.cut(text)
+            ids.append(b"".join(map(self.parts.__getitem__, words)))
+            decoded.append(self._told(words))
+        self.forget()
         return ids, decoded, [x == y for x, y in zip(ids, judged, strict=True)]
 
-    def _told(self, parts: list[str], odd: set[str]) -> str:
-        told = [self.changed[p] if p in odd else p for p in parts] if odd else parts
-        text = "".join(told).replace(SPACE, " ")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+    def _told(self, words: list[str]) -> str:
+        told = words if self.changed.keys().isdisjoint(words) else [self.changed.get(w, w) for w in words]
+        text = " ".join(told).replace(SPACE, " ")
+        if self.model.dummy_prefix or not words:
+            return text
+        return text[1:] if words[0][:1] == " " else " " + text
 
     def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         ids, _, same = self.code_batch(texts)
