@@ -161,3 +161,11 @@ def test_column_bounds_by_brute_force(spark):
     df = spark.createDataFrame(rows, f"id long, header {box}, words {box}")
     found = {r.id: r.bounds for r in df.select("id", extraction.column_bounds(F.col("header"), F.col("words")).alias("bounds")).collect()}
     assert {i: pytest.approx(plain_bounds(h, w)) for i, h, w in rows} == found
+
+
+def test_notice_days_of_any_length(spark):
+    """More than four digits are a period too; what no number can hold is none, and no error."""
+    said = ["12345 days written notice", "notice of at least 900123 days, or thirty (30) days notice", f"notice period of {'9' * 30} days", "notice"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "nr int, said string")
+    found = df.select("nr", text.notice_days(F.col("said")).alias("days")).orderBy("nr").collect()
+    assert [r.days for r in found] == [12345, 900123, None, None]
