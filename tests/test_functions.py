@@ -1,6 +1,7 @@
 """Plain functions behind the UDFs, against hand-computed values."""
 
 import datetime as dt
+from collections import Counter
 from decimal import Decimal
 from types import SimpleNamespace
 
@@ -80,6 +81,16 @@ def test_units_and_chunks():
     assert parts[1][3].split("\n\n")[0] in parts[0][3]
 
 
+@pytest.mark.parametrize("said", [
+    "Short one. " * 40 + "Never " * 500 + ". " + "Again. " * 500, "x" * 10_000, "One here. " * 3 + "y" * 319 + "z" * 700 + ". Done.", "End. " + " ".join(["w" * 61] * 40),
+])
+def test_no_chunk_is_above_the_most(said):
+    """Neither by what it repeats nor by a word that is longer than any chunk; nothing gets lost."""
+    parts = [c for _, _, _, c in text.chunk_units([("text", said, 0)], "T", target=50, most=80, overlap=30)]
+    assert max(map(text.tokens, parts)) <= 80
+    assert Counter("".join(said.split())) <= Counter("".join("".join(parts).split()))
+
+
 def test_clause_changes():
     old = text.segment("Agreement\n1. Term\nOne year.\n2. Payment\nNet 30 days.\n3. Liability\nNone whatsoever.")
     new = text.segment("Agreement\n1. Term\nTwo years.\n2. Notices\nQuarterly shipping reports.\n3. Payment\nNet 30 days.")
