@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import values
 from paperloom.operators import extraction, fields, matching, metrics, ranking, text, tools
+from paperloom.plans import SQL
 from paperloom.plans.fields import HEADERS, LABELS
 
 LINES = "doc_id long, line int, text string"
@@ -176,3 +178,11 @@ def test_payment_terms_of_any_length(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "nr int, said string")
     found = df.select("nr", text.payment_terms(F.col("said")).alias("days")).orderBy("nr").collect()
     assert [r.days for r in found] == [[30], [1234, 7], [900123], [None], []]
+
+
+def test_yes_no_has_the_edges_of_sql(spark, duck):
+    """A letter outside ASCII ends a word for SQL, on either side; the long s is an s."""
+    said = ["noñra", "ñno", "ñno1", "nové", "not renewé", "éyes", "yeſ", "aſhall renew", "ſhall renew", "falſe", "anyes", "no_", "renews automatically", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "doc_id long, text string")
+    wanted = duck.execute(f"WITH documents(doc_id, text) AS (SELECT unnest(range({len(said)})), unnest(?)) {SQL['x17_yes_no']}", [said]).fetchall()
+    assert [tuple(r) for r in df.select("doc_id", values.yes_no(F.col("text"))).orderBy("doc_id").collect()] == sorted(wanted)
