@@ -1,6 +1,7 @@
 """Plain functions behind the UDFs, against hand-computed values."""
 
 import datetime as dt
+import timeit
 from collections import Counter
 from decimal import Decimal
 from types import SimpleNamespace
@@ -168,6 +169,13 @@ def test_search_says_what_it_understood():
     assert search.parse("invoices over 10,000 net 30 in 2026 from Kestrel").recognized == ["dated 2026-01-01 to 2026-12-31", "payment terms exactly 30 days", "total more than 10,000", "type INVOICE", "vendor 'Kestrel'"]
 
 
+def test_reading_costs_little_more_than_cutting():
+    """Words that begin no phrase are passed over: reading a sentence takes under 12 times as long as cutting it into tokens."""
+    said = "find all purchase orders from Harbor and Pine 77 over $5,000 in March 1996 mentioning steel pipes of good make"
+    cut, read = (min(timeit.repeat(lambda f=f: f(said), number=100, repeat=7)) for f in (search.Sentence, search.parse))
+    assert read < 12 * cut
+
+
 @pytest.mark.parametrize(("line", "wanted"), [
     ("Clause 7 - Fees", ("7", "Fees")), ("Article 3: Term.", ("3", "Term")), ("7.2 Cap", ("7.2", "Cap")), ("7. Fees", ("7", "Fees")), ("7) Fees", ("7", "Fees")), ("7 Fees", None), ("1.2.3.4. Scope", ("1.2.3.4", "Scope")),
     ("1.2.3.4.5 Deep", None), ("30 Days after", None), ("2. the buyer pays", None), ("2. Where the buyer is late,", None), ("3. " + "Word " * 11, None), ("", None), ("SECTION 12", None), ("section 4.1) Late payment", ("4.1", "Late payment")),
