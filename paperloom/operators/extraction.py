@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
-from statistics import median
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -154,7 +153,15 @@ class Box(NamedTuple):
 
     @classmethod
     def around(cls, parts: list[Box], glue: str = " ") -> Box:
-        return cls(glue.join(w.text for w in parts), min(w.x0 for w in parts), min(w.y0 for w in parts), max(w.x1 for w in parts), max(w.y1 for w in parts), median(w.size for w in parts))
+        if len(parts) == 1:
+            return parts[0]
+        return cls(glue.join(w.text for w in parts), min(w.x0 for w in parts), min(w.y0 for w in parts), max(w.x1 for w in parts), max(w.y1 for w in parts), _median(w.size for w in parts))
+
+
+def _median(values: Iterator[float]) -> float:
+    found = sorted(values)
+    n = len(found)
+    return found[n // 2] if n % 2 else (found[n // 2 - 1] + found[n // 2]) / 2
 
 
 def page_lines(words: list[Box], gap: float = 0.75, overlap: float = 0.5) -> list[list[Box]]:
@@ -162,7 +169,7 @@ def page_lines(words: list[Box], gap: float = 0.75, overlap: float = 0.5) -> lis
     lines: list[list[Box]] = []
     for w in sorted(words, key=lambda w: ((w.y0 + w.y1) / 2, w.x0)):
         if lines:
-            top, bottom = median(x.y0 for x in lines[-1]), median(x.y1 for x in lines[-1])
+            top, bottom = _median(x.y0 for x in lines[-1]), _median(x.y1 for x in lines[-1])
             if min(w.y1, bottom) - max(w.y0, top) >= overlap * min(w.y1 - w.y0, bottom - top):
                 lines[-1].append(w)
                 continue
@@ -170,7 +177,7 @@ def page_lines(words: list[Box], gap: float = 0.75, overlap: float = 0.5) -> lis
     out = []
     for line in lines:
         line.sort(key=lambda w: w.x0)
-        size, segments = median(w.size for w in line), [[line[0]]]
+        size, segments = _median(w.size for w in line), [[line[0]]]
         for before, w in zip(line, line[1:], strict=False):
             segments[-1].append(w) if w.x0 - before.x1 <= gap * size else segments.append([w])
         out.append([Box.around(x) for x in segments])
@@ -182,13 +189,16 @@ def _per_page(words: DataFrame, read: Callable[[list[Box]], Iterator[tuple]], sc
     word = F.struct("text", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "size")])
     pages = words.groupBy("page_id").agg(F.collect_list(word).alias("words"))
     names = [c.split()[0] for c in schema.split(", ")]
+    fields = list(Box._fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "long": pa.int64()}
         for batch in batches:
             rows = []
-            for page, held in zip(batch["page_id"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                rows += [(page, *row) for row in read([Box(**w) for w in held])]
+            ends, held = batch["words"].offsets.to_pylist(), batch["words"].values
+            boxes = list(map(Box, *[held.field(c).to_pylist() for c in fields]))  # column by column, of all pages
+            for page, start, end in zip(batch["page_id"].to_pylist(), ends, ends[1:], strict=False):
+                rows += [(page, *row) for row in read(boxes[start:end])]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, kinds[k.split()[1]]) for c, k in zip(columns, schema.split(", "), strict=True)], names)
 
@@ -216,18 +226,15 @@ class Block:
     """Segments ``(line, segment, box)`` that read as one."""
 
     def __init__(self, line: int, nr: int, box: Box):
-        self.parts, self.box, self.foot = [(line, nr, box)], box, (box.y0 + box.y1) / 2
+        self.parts, self.lines, self.box, self.foot = [(line, nr, box)], {line}, box, (box.y0 + box.y1) / 2
 
     def add(self, parts: list[tuple[int, int, Box]]) -> None:
         self.parts += parts
+        self.lines.update(line for line, _, _ in parts)
         inside = [b for _, _, b in self.parts]
         self.box = Box.around(inside)._replace(size=inside[0].size)
         self.foot = max((b.y0 + b.y1) / 2 for b in inside)
 
-    @property
-    def lines(self) -> set[int]:
-        return {line for line, _, _ in self.parts}
-
     def text(self) -> str:
         rows: dict[int, list[Box]] = {}
         for line, _, box in sorted(self.parts, key=lambda p: p[:2]):
@@ -250,8 +257,10 @@ def _amounts_only(parts: list[tuple[int, int, Box]]) -> bool:
 
 def _beside(left: Block, right: Block) -> bool:
     """Whether ``right`` holds the values of the labels in ``left``: on mostly the same lines, and near or all amounts."""
+    if right.box.x0 <= left.box.x1:
+        return False
     shared, most = len(left.lines & right.lines), max(len(left.lines), len(right.lines))
-    if right.box.x0 <= left.box.x1 or not shared or (shared == 1 and left.lines != right.lines) or shared < PAIR_LINES * most:
+    if not shared or (shared == 1 and left.lines != right.lines) or shared < PAIR_LINES * most:
         return False
     return right.box.x0 - left.box.x1 <= PAIR_GAP * left.box.size or _amounts_only(right.parts)
 
@@ -276,7 +285,7 @@ def page_blocks(words: list[Box], merge: bool = True) -> list[tuple[str, Block]]
                 target = next((b for b in blocks if any(p[:2] == (i, k - 1) for p in b.parts)), None)
             target = target or next((b for b in reversed(blocks) if b.continues_below(box)), None)
             target.add([(i, k, box)]) if target else blocks.append(Block(i, k, box))
-    body = median(w.size for w in words) if words else 0
+    body = _median(w.size for w in words) if words else 0
     found = merge_labels(blocks) if merge else blocks
     kinds = ["heading" if len(b.lines) == 1 and body and b.box.size >= HEADING_SIZE * body else "text" for b in found]
     return sorted(zip(kinds, found, strict=True), key=lambda x: (round(x[1].box.y0 / (body / 2 or 1)), x[1].box.x0))

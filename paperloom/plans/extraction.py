@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import decisions, extraction, matching, rules
+from ..sources.shared import stored
 from .matching import LINE_RULES, _items
 from .registry import query
 
@@ -123,7 +124,7 @@ def _(t):
 @query("g07_table_cells", """
     SELECT doc_id AS page_id, unnest([0, 1, 2]) AS "column", unnest([replace(sku, ' ', '-'), replace(description, ' ', '-'), CAST(quantity AS VARCHAR)]) AS text FROM po_lines""")
 def _(t):
-    lines = extraction.lay_out(_words(t))
+    lines = stored(extraction.lay_out(_words(t)), "lines")  # pages are laid out once; headers and cells both read them
     return extraction.body_cells(lines, extraction.table_headers(lines)).select("page_id", "column", "text")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import values
 from paperloom.operators import extraction, fields, matching, metrics, ranking, text, tools
-from paperloom.plans import SQL
+from paperloom.plans import QUERIES, SQL
 from paperloom.plans.fields import HEADERS, LABELS
 
 LINES = "doc_id long, line int, text string"
@@ -186,3 +186,13 @@ def test_yes_no_has_the_edges_of_sql(spark, duck):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "doc_id long, text string")
     wanted = duck.execute(f"WITH documents(doc_id, text) AS (SELECT unnest(range({len(said)})), unnest(?)) {SQL['x17_yes_no']}", [said]).fetchall()
     assert [tuple(r) for r in df.select("doc_id", values.yes_no(F.col("text"))).orderBy("doc_id").collect()] == sorted(wanted)
+
+
+def test_pages_are_laid_out_once(spark, folder):
+    """Cells and headers read the same stored lines; a block knows its lines and does not count them again."""
+    cells = QUERIES["g07_table_cells"](spark, folder)
+    assert "MapInArrow" not in cells._jdf.queryExecution().executedPlan().toString()
+    block = extraction.Block(3, 0, extraction.Box("a", 0.0, 0.0, 5.0, 9.0, 9.0))
+    lines = block.lines
+    block.add([(4, 0, extraction.Box("b", 0.0, 12.0, 5.0, 21.0, 9.0))])
+    assert block.lines is lines and lines == {3, 4}
